@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import exact, huffman, packing, simhash, toxicity
+from . import exact, huffman, packing, pii, quality, sentencepieces, simhash, suffixes, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_url_filter": urls.op1,
         "op2_token_files": huffman.op2,
         "op3_toxicity": toxicity.op3,
         "op4_simhash": simhash.op4,
+        "op5_sentencepiece": sentencepieces.op5,
+        "op6_pii_surrogates": pii.op6,
+        "op7_suffix_passages": suffixes.op7,
+        "op8_line_quality": quality.op8,
         "op9_packing": packing.op9,
         "op10_exact_dedup": exact.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact.OP10_SQL}
+    return {"op1_url_filter": urls.OP1_SQL, "op10_exact_dedup": exact.OP10_SQL}
