@@ -12,8 +12,8 @@ _LETTERS = "a-zªµºß-öø-ÿ"
 _PLAIN = re.compile("[\t-\r\x20-\x7e\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 #: What the vocabulary's splitter makes of such text, as a pattern of `re`. Fixed value.
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9ªº]|[^\\s{_LETTERS}0-9]+")
-#: Entries of a worker's cache; a full cache starts anew.
-CACHE = 1_000_000
+#: Entries of a generation of a worker's cache; a full one becomes the old one, whose entries live on if used again.
+CACHE = 150_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -25,12 +25,16 @@ def _byte_letters() -> dict[int, str]:
 class _Cache(dict):
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        self[key] = got = self.make(key)
+        self[key] = got
         return got
 
 
