@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ LONGEST = 16
 EVERY = 256
 #: A block is closed with the document that brings it to so many tokens.
 BLOCK = 1 << 17
+#: Tokens that are coded or counted at once.
+CHUNK = 1 << 19
 MAGIC = b"HUFB"
 
 
@@ -154,12 +157,24 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, ids binary")
 
 
+def _chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of about CHUNK tokens, a document at least."""
+    at, held = 0, 0
+    for k, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        held += size // 4
+        if held >= CHUNK:
+            yield batch.slice(at, k + 1 - at)
+            at, held = k + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def id_counts(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs over all documents; one row for each id and task is shuffled, one for each id collected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
-        for b in batches:
+        for b in (x for batch in batches for x in _chunks(batch, "ids")):
             got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"))
             total = np.pad(total, (0, max(0, len(got) - len(total))))
             total[: len(got)] += got
@@ -186,7 +201,7 @@ def write_token_files(tokens: DataFrame, to: str) -> np.ndarray:
     cuts = np.unique(np.array(cuts, np.float64))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in _chunks(batch, "ids")):
             ids = b.column(1).to_pylist()
             body, start, marks = pack(np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64), lengths, codes)
             part = [0 if x is None else int(np.searchsorted(cuts, x, "right")) for x in b.column(0).to_pylist()]
