@@ -110,7 +110,7 @@ def suffixes(docs: DataFrame, gram: int = GRAM, least: int = LEAST) -> DataFrame
                     continue
                 if len(known) > 1_000_000:
                     known.clear()
-                for w in set(words) - known.keys():
+                for w in [w for w in set(words) if w not in known]:
                     known[w] = xxhash.xxh3_64_intdigest(w)
                 hashes += [known[w] for w in words]
                 sizes.append(len(words))

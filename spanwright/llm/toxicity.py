@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import stage, table, texts
 
 #: Labelled rows of each class that the model is fitted on at most: those with the lowest hashes of doc_id.
-SAMPLE = 6000
+SAMPLE = 4000
 #: Terms that the model keeps, and the chi-squared statistic that each needs.
 TERMS, CHI = 8192, 12.0
 #: Lengths of the word beginnings that are terms beside the word.
@@ -49,25 +48,29 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def select_terms(docs: list[set[int]], labels: np.ndarray, most: int, least: float) -> np.ndarray:
-    """The hashes of the largest chi-squared statistics against the label."""
-    pos, neg = Counter(), Counter()
-    for own, y in zip(docs, labels, strict=True):
-        (pos if y else neg).update(own)
+def select_terms(docs: list[np.ndarray], labels: np.ndarray, most: int, least: float) -> np.ndarray:
+    """The hashes, sorted, of the largest chi-squared statistics against the label."""
+    none = np.array([], np.uint32)
+    keys, total = np.unique(np.concatenate([none, *docs]), return_counts=True)
+    keys, total = keys[total >= 5], total[total >= 5].astype(float)
+    own, count = np.unique(np.concatenate([none, *(d for d, y in zip(docs, labels, strict=True) if y)]), return_counts=True)
+    a = np.zeros(len(keys))
+    at = np.searchsorted(own, keys)
+    there = np.flatnonzero(np.r_[own, 0][at] == keys) if len(own) else np.array([], int)
+    there = there[at[there] < len(own)]
+    a[there] = count[at[there]]
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    keys = np.array([k for k in pos.keys() | neg.keys() if pos[k] + neg[k] >= 5], np.int64)
-    a, b = np.array([pos[k] for k in keys.tolist()], float), np.array([neg[k] for k in keys.tolist()], float)
-    rate = (a + b) / (n1 + n0)
-    chi = (a / n1 - b / n0) ** 2 / np.maximum(rate * (1 - rate), 1e-12) * n1 * n0 / (n1 + n0)
-    order = np.lexsort((keys, -chi))
-    return np.sort(keys[[k for k in order[:most] if chi[k] >= least]])
+    rate = total / (n1 + n0)
+    chi = (a / n1 - (total - a) / n0) ** 2 / np.maximum(rate * (1 - rate), 1e-12) * n1 * n0 / (n1 + n0)
+    order = np.lexsort((keys, -chi))[:most]
+    return np.sort(keys[order[chi[order] >= least]])
 
 
 def fit(texts_: list[str], labels: np.ndarray, share: float, factors: int = 4, rounds: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
     """Adagrad on the logistic loss; `share` is the share of label 1 among all labelled rows, to which the bias is set back."""
-    docs = [set().union(*(term_hashes(w) for w in words(t))) for t in texts_]
+    docs = [np.array(sorted({h for w in words(t) for h in term_hashes(w)}), np.uint32) for t in texts_]
     terms = select_terms(docs, labels, TERMS, CHI)
-    rows = [np.searchsorted(terms, np.array(sorted(d), np.int64)) for d in _inside(docs, terms)]
+    rows = [np.searchsorted(terms, d[np.isin(d, terms)]) for d in docs]
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), factors)), 0.0
     gw, gv, gb = np.full(len(terms), 1e-6), np.full((len(terms), factors), 1e-6), 1e-6
@@ -96,13 +99,8 @@ def fit(texts_: list[str], labels: np.ndarray, share: float, factors: int = 4, r
     return FactorizationMachine(terms, float(bias), w, v)
 
 
-def _inside(docs: list[set[int]], terms: np.ndarray) -> list[set[int]]:
-    own = set(terms.tolist())
-    return [d & own for d in docs]
-
-
-def score(docs: DataFrame, model: FactorizationMachine, *keep: str) -> DataFrame:
-    """The kept columns, and score: every word of every whole text counts; a null text is empty."""
+def score(docs: DataFrame, model: FactorizationMachine, *keep: str, to: str = "score") -> DataFrame:
+    """The kept columns, and the score as `to`: every word of every whole text counts; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {int(h): k for k, h in enumerate(model.terms)}
@@ -114,15 +112,15 @@ def score(docs: DataFrame, model: FactorizationMachine, *keep: str) -> DataFrame
                 own = words(text or "")
                 if len(known) > CACHE:
                     known.clear()
-                for w in own - known.keys():
+                for w in [w for w in own if w not in known]:
                     known[w] = tuple(place[h] for h in term_hashes(w) if h in place)
                 present = {k for w in own for k in known[w]}
                 out.append(model.score(np.array(sorted(present), int)) if present else none)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(out, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(out, pa.float64())], [*keep, to])
 
     names = list(dict.fromkeys([*keep, "text"]))
     kinds = dict(docs.dtypes)
-    return docs.select(*names).mapInArrow(run, "".join(f"`{n}` {kinds[n]}, " for n in keep) + "score double")
+    return docs.select(*names).mapInArrow(run, "".join(f"`{n}` {kinds[n]}, " for n in keep) + f"{to} double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -150,4 +148,4 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that the model does not reject, with all their columns."""
     model = fit_on(docs, labels)
-    return score(docs, model, *docs.columns).filter("score < 0.5").drop("score")
+    return score(docs, model, *docs.columns, to="_score").filter("_score < 0.5").drop("_score")

@@ -8,7 +8,7 @@ def test_learns_an_interaction():
     filler = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
     texts, labels = [], []
     for _ in range(3000):
-        a, b = rng.random(2) < 0.5
+        a, b = map(int, rng.random(2) < 0.5)
         texts.append(" ".join([*rng.choice(filler, 20), *["clownish"] * a, *["groupies"] * b]))
         labels.append(int(a and b))
     model = toxicity.fit(texts, np.array(labels), 0.25)
