@@ -1,9 +1,11 @@
 """Queries by name, and the SQL that each should equal."""
 
+from . import passages, timeline
+
 
 def queries() -> dict:
-    return {}
+    return passages.QUERIES | timeline.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return passages.SQL | timeline.SQL
