@@ -29,11 +29,11 @@ def apply_slices(stored: int, slices: list[tuple[int, int, int]], most: int) ->
     return stored, accepted, rejected, complete
 
 
-def uploads(slices: DataFrame, most: int = 512 << 20, idle_ms: int = 3_600_000) -> DataFrame:
+def uploads(slices: DataFrame, most: int = 512 << 20, idle_ms: int | None = None) -> DataFrame:
     """A stream of (media_id, seq, offset, size, total) -> the state of each upload, a row for each batch that touches it.
 
-    Slices of one batch are applied in order of seq; what does not fit is rejected, never held back. State of an
-    upload that is idle for idle_ms goes."""
+    Slices of one batch are applied in order of seq; what does not fit is rejected, never held back. With
+    idle_ms, the state of an upload that is idle so long goes; such a stream never ends by itself, as timers need batches."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -45,10 +45,11 @@ def uploads(slices: DataFrame, most: int = 512 << 20, idle_ms: int = 3_600_000)
         accepted, rejected = accepted + a, rejected + r
         complete = done if a else complete
         state.update((stored, accepted, rejected, complete))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], stored, accepted, rejected, complete)], columns=["media_id", "stored", "accepted", "rejected", "complete"])
 
-    return slices.groupBy("media_id").applyInPandasWithState(step, UPLOADS, "stored long, accepted long, rejected long, complete boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return slices.groupBy("media_id").applyInPandasWithState(step, UPLOADS, "stored long, accepted long, rejected long, complete boolean", "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def first_starts(starts: DataFrame, key: str, at: str, within: str) -> DataFrame:
