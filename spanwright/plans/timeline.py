@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import millis
-from ..operators import cues, intervals, runs, signal
+from ..operators import cues, edges, intervals, runs, signal
+from ..operators.ordered import over_others
 from ..sources import subtitles
 from ..sources.shared import new_path, table
 from ..streaming import state
@@ -98,6 +99,32 @@ def words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions(spark, sf_dir).select("clip_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), "start_ms", "end_ms")
 
 
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions as phrases of one word."""
+    return captions(spark, sf_dir).select("clip_id", F.col("event_id").alias("phrase_id"), "start_ms", "end_ms", "event_type")
+
+
+def clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = [F.col(x).alias(f"{w}_{x}") for w in ("first", "last") for x in ("start_ms", "end_ms")]
+    rows = phrases(spark, sf_dir).select("*", *word)
+    return edges.clamp(rows, intervals.coalesce(speech(spark, sf_dir), KEY)).select("clip_id", "phrase_id", "start_ms", "end_ms")
+
+
+def held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = over_others(phrases(spark, sf_dir), KEY, ["start_ms", "phrase_id"], F.col("start_ms"), "_next", "min", F.floor(F.col("start_ms") / DAY), later=True)
+    rows = rows.select("*", (F.col("phrase_id") % 2 == 0).alias("held"), (F.col("event_type") == "signup").alias("final"), (F.col("_next") - cues.LEAST_GAP).alias("cap_ms"))
+    spans = intervals.coalesce(speech(spark, sf_dir), KEY)
+    return edges.hold_tails(rows, spans, of(spark, sf_dir, "error")).select("clip_id", "phrase_id", "start_ms", "end_ms")
+
+
+def onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.onset_issues(phrases(spark, sf_dir), intervals.merge(speech(spark, sf_dir), KEY), of(spark, sf_dir, "error"), 100 * DAY)
+
+
+def energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.energy_segments(samples(spark, sf_dir).select("clip_id", F.col("i").alias("hop"), F.col("x").alias("rms")), KEY, on_share=0.3, off_share=0.25)
+
+
 QUERIES = {
     "session_islands": lambda s, d: intervals.merge(events(s, d).withColumn("end_ms", F.col("start_ms")), KEY, 30 * MINUTE),
     "speech_merged": lambda s, d: intervals.merge(speech(s, d), KEY, 2000),
@@ -120,6 +147,10 @@ QUERIES = {
     "quantized_envelope": lambda s, d: signal.quantized(signal.max_pool(samples(s, d), KEY, 20), KEY),
     "audible_end": lambda s, d: signal.audible_end(samples(s, d), KEY, 0.5),
     "hysteresis_segments": hysteresis,
+    "energy_segments": energy,
+    "clamped_phrases": clamped,
+    "held_tails": held,
+    "onset_issues": onsets,
     "repaired_cues": lambda s, d: cues.repair_edits(cue_rows(s, d)),
     "trimmed_cues": lambda s, d: cues.trim_overhang(cue_rows(s, d), silence(s, d)),
     "closed_cue_gaps": lambda s, d: cues.close_gaps(cue_rows(s, d), silence(s, d)),
@@ -163,6 +194,7 @@ def _sql(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join([_BASE, *ctes]) + "\n" + select
 
 
+_SPANS = ("nz AS (SELECT * FROM speech WHERE end_ms > start_ms)", _merged("nz", 0, "spans"))
 _NEAR = """near AS (SELECT p.event_id, p.clip_id, p.t_ms, v.t_ms AS nearest_ms, p.t_ms - v.t_ms AS residual_ms, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(p.t_ms - v.t_ms), v.t_ms) AS k
   FROM ev p JOIN ev v ON p.clip_id = v.clip_id AND p.event_type = 'purchase' AND v.event_type = 'view' AND abs(p.t_ms - v.t_ms) <= 36000000),
 res AS (SELECT event_id, clip_id, t_ms, nearest_ms, residual_ms FROM near WHERE k = 1)"""
@@ -224,6 +256,37 @@ SQL = {
         "o AS (SELECT clip_id, min(on_ms) AS start_ms, arg_max(CASE WHEN closes THEN off_ms ELSE last_ms END, on_ms) AS end_ms FROM k GROUP BY clip_id, s)",
         select="SELECT * FROM o WHERE end_ms - start_ms > 600000",
     ),
+    "energy_segments": _sql(
+        "pk AS (SELECT clip_id, max(x) AS peak FROM sam GROUP BY clip_id HAVING max(x) > 0)",
+        "f AS (SELECT s.clip_id, i, x > greatest(0.001, 0.3 * peak) AS is_on, x <= greatest(0.0005, 0.25 * peak) AS quiet FROM sam s JOIN pk USING (clip_id))",
+        "r AS (SELECT *, i - row_number() OVER (PARTITION BY clip_id, quiet ORDER BY i) AS g FROM f)",
+        "b AS (SELECT clip_id, min(i) AS a, max(i) AS z FROM r WHERE quiet GROUP BY clip_id, g HAVING count(*) >= 5)",
+        "o AS (SELECT clip_id, i, coalesce((SELECT max(z) FROM b WHERE b.clip_id = f.clip_id AND b.z < f.i), -1) AS prior, coalesce((SELECT min(a) FROM b WHERE b.clip_id = f.clip_id AND b.a > f.i), (SELECT max(i) + 1 FROM sam WHERE sam.clip_id = f.clip_id)) AS e FROM f WHERE is_on)",
+        "q AS (SELECT clip_id, min(i) * 30 AS start_ms, min(e) * 30 AS end_ms FROM o GROUP BY clip_id, prior)",
+        select="SELECT * FROM q WHERE end_ms - start_ms >= 250",
+    ),
+    "clamped_phrases": _sql(
+        *_SPANS,
+        """c AS (SELECT p.event_id, any_value(p.clip_id) AS clip_id, any_value(p.start_ms) AS s, any_value(p.end_ms) AS e,
+  min(v.start_ms) FILTER (p.start_ms BETWEEN v.start_ms AND v.end_ms) AS s_in, max(v.end_ms) FILTER (p.end_ms BETWEEN v.start_ms AND v.end_ms) AS e_in,
+  min(v.start_ms) FILTER (v.end_ms >= p.start_ms - 600 AND v.start_ms <= p.end_ms) AS s_by, max(v.end_ms) FILTER (v.start_ms <= p.end_ms + 600 AND v.end_ms >= p.start_ms) AS e_by
+  FROM cap p LEFT JOIN spans v ON p.clip_id = v.clip_id GROUP BY p.event_id)""",
+        select="""SELECT clip_id, event_id AS phrase_id, CASE WHEN abs(s_in - s) <= 1500 THEN s_in WHEN s_in IS NULL AND abs(s_by - s) <= 600 THEN s_by ELSE s END AS start_ms,
+  CASE WHEN abs(e_in - e) <= 1500 THEN e_in WHEN e_in IS NULL AND abs(e_by - e) <= 600 THEN e_by ELSE e END AS end_ms FROM c""",
+    ),
+    "held_tails": _sql(
+        *_SPANS,
+        "p AS (SELECT *, lead(start_ms) OVER (PARTITION BY clip_id ORDER BY start_ms, event_id) - 50 AS cap_ms FROM cap)",
+        """h AS (SELECT p.*, (SELECT max(v.end_ms) FROM spans v WHERE v.clip_id = p.clip_id AND p.end_ms BETWEEN v.start_ms AND v.end_ms) AS cover,
+  (SELECT min(q.start_ms) FROM ev q WHERE q.clip_id = p.clip_id AND q.event_type = 'error' AND q.start_ms > p.end_ms - 30) AS stop FROM p)""",
+        select="SELECT clip_id, event_id AS phrase_id, start_ms, CASE WHEN event_id % 2 <> 0 OR cover IS NULL THEN end_ms ELSE greatest(end_ms, least(end_ms + CASE WHEN event_type = 'signup' THEN 3500 ELSE 1800 END, cover, coalesce(cap_ms, cover), coalesce(stop, cover))) END AS end_ms FROM h",
+    ),
+    "onset_issues": _sql(
+        _merged("speech", 0, "m"),
+        "rest AS (SELECT * FROM cap c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.clip_id = c.clip_id AND abs(m.start_ms - c.start_ms) <= 100))",
+        "d AS (SELECT c.clip_id, c.event_id AS phrase_id, c.start_ms AS t, arg_min(c.start_ms - w.start_ms, abs(c.start_ms - w.start_ms) * 2 + CASE WHEN w.start_ms > c.start_ms THEN 1 ELSE 0 END) AS d FROM rest c JOIN ev w ON w.clip_id = c.clip_id AND w.event_type = 'error' AND abs(w.start_ms - c.start_ms) <= 8640000000 GROUP BY ALL)",
+        select="SELECT clip_id, phrase_id, CASE WHEN d > 350 THEN 'late_start' ELSE 'early_start' END AS kind, 'info' AS severity, t AS t0_ms, t + abs(d) AS t1_ms FROM d WHERE d > 350 OR d < -500",
+    ),
     "repaired_cues": _sql(select="SELECT clip_id, greatest(start_ms, lag(end_ms) OVER (PARTITION BY clip_id ORDER BY start_ms, end_ms)) AS start_ms, end_ms, text FROM cap"),
     "trimmed_cues": _sql(_gaps(250, "g"), select="SELECT c.clip_id, c.start_ms, coalesce(min(g.start_ms), c.end_ms) AS end_ms, c.text FROM cap c LEFT JOIN g ON c.clip_id = g.clip_id AND g.start_ms > c.start_ms AND g.start_ms < c.end_ms GROUP BY c.event_id, c.clip_id, c.start_ms, c.end_ms, c.text"),
     "audit_issues": _sql(*_AUDIT, select="SELECT * FROM issues"),
