@@ -40,8 +40,9 @@ def _sliding(x: np.ndarray, width: int, fold) -> np.ndarray:
     return now
 
 
-def minimisers(words: np.ndarray, sizes: np.ndarray, gram: int = GRAM, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of several documents, end to end -> selected positions and their grams' hashes."""
+def minimisers(words: np.ndarray, sizes: np.ndarray, gram: int = GRAM, least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """Hashes of the words of several documents, end to end -> selected positions, their grams' hashes, and the least
+    and greatest number of words that lie before the position in a window of which it is the minimiser."""
     n = len(words)
     h = np.zeros(n, np.uint64)
     for k in range(gram):
@@ -54,7 +55,12 @@ def minimisers(words: np.ndarray, sizes: np.ndarray, gram: int = GRAM, least: in
     low[left < least] = 0  # a window belongs to one document
     best = _sliding(low[::-1], width, np.maximum)[::-1]
     at = np.flatnonzero((best == h) & (left >= gram))
-    return at, h[at]
+    least_before, most_before = np.full(len(at), width), np.full(len(at), -1)
+    for k in range(width):
+        own = (at >= k) & (low[np.maximum(at - k, 0)] == h[at])
+        least_before[own & (most_before < 0)] = k
+        most_before[own] = k
+    return at, h[at], least_before, most_before
 
 
 def _chain(words: np.ndarray, at: np.ndarray, steps: int, way: int) -> np.ndarray:
@@ -69,8 +75,25 @@ def _chain(words: np.ndarray, at: np.ndarray, steps: int, way: int) -> np.ndarra
     return out
 
 
-_NAMES = ["suffix", "before", "text", "pos", "right", "left"]
-_SCHEMA = "suffix binary, before binary, text binary, pos int, right int, left int"
+_NAMES = ["suffix", "before", "text", "pos", "room"]
+_SCHEMA = "suffix binary, before binary, text binary, pos int, room long"
+
+
+def _packed(*parts: np.ndarray) -> np.ndarray:
+    """Four small numbers in one."""
+    return sum(np.asarray(x, np.int64) << (15 * k) for k, x in enumerate(parts))
+
+
+def _parts(packed: np.ndarray) -> list[np.ndarray]:
+    return [(packed >> (15 * k)) & 0x7FFF for k in range(4)]
+
+
+def _prefixes(chain: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, ... entries of each row."""
+    out = np.zeros((len(chain), chain.shape[1] + 1), np.uint64)
+    for k in range(chain.shape[1]):
+        out[:, k + 1] = _mix(out[:, k] * np.uint64(0x9E3779B97F4A7C15) + chain[:, k].astype(np.uint64) + _ONE)
+    return out
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -81,20 +104,21 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 def suffixes(docs: DataFrame, gram: int = GRAM, least: int = LEAST) -> DataFrame:
     """(text_id binary, text) -> one row per minimiser: the suffix (its gram's hash, then the chain of the words after
-    it), the chain of the words before it, and how many words there are on either side, `least - gram` at most. A task
-    leaves out texts that it has had."""
+    it), the chain of the words before it, and as `room` how many words there are to the right and to the left,
+    `least - gram` at most, and how many at least and at most lie before it in its windows. A task leaves out texts
+    that it has had."""
     reach = least - gram
 
     def rows(hashes: list[int], sizes: list[int], ids: list[bytes]) -> pa.RecordBatch:
         words, n = np.array(hashes, np.uint64), np.array(sizes, np.int64)
-        at, h = minimisers(words, n, gram, least)
+        at, h, least_before, most_before = minimisers(words, n, gram, least)
         doc = np.searchsorted(np.cumsum(n), at, "right")
         pos = at - (np.cumsum(n) - n)[doc]
         suffix = np.concatenate([h.astype(">u8").view(np.uint8).reshape(-1, 8), _chain(words, at + gram, reach, 1).view(np.uint8).reshape(-1, 2 * reach)], 1)
         before = _chain(words, at - 1, reach, -1).view(np.uint8).reshape(-1, 2 * reach)
         text = np.frombuffer(b"".join(ids), np.uint8).reshape(-1, 16)[doc]
         right, left = np.minimum(reach, n[doc] - pos - gram), np.minimum(reach, pos)
-        return pa.RecordBatch.from_arrays([_binary(suffix), _binary(before), _binary(text), *(pa.array(x.astype(np.int32)) for x in (pos, right, left))], _NAMES)
+        return pa.RecordBatch.from_arrays([_binary(suffix), _binary(before), _binary(text), pa.array(pos.astype(np.int32)), pa.array(_packed(right, left, least_before, most_before))], _NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -137,11 +161,13 @@ class _Compared:
     def arrays(self, b: pa.RecordBatch) -> list[np.ndarray]:
         width = {"suffix": 8 + 2 * self.reach, "before": 2 * self.reach, "text": 16}
         out = [np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint8).reshape(-1, w) for n, w in width.items()]
-        return [*out, *(b.column(n).to_numpy().astype(np.int64) for n in ("pos", "right", "left"))]
+        return [*out, *(b.column(n).to_numpy().astype(np.int64) for n in ("pos", "room"))]
 
-    def passages(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of which some passage of `least` words or more is in another text too, and where it begins and ends."""
-        suffix, before, text, pos, right, left = rows
+    def passages(self, rows: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Rows of which some passage of `least` words or more is in another text too, and where it begins and ends;
+        then rows, starts and hashes of the windows that a suffix further away may have too."""
+        suffix, before, text, pos, room = rows
+        right, left, least_before, most_before = _parts(room)
         n = len(pos)
         chain, back = suffix[:, 8:].copy().view(">u2"), before.copy().view(">u2")
         ids = text.copy().view("V16").ravel()
@@ -162,10 +188,32 @@ class _Compared:
                 np.minimum.at(start, own, pos[own] - lead[ok])
                 np.maximum.at(end, own, pos[own] + self.gram + r[ok])
         found = np.flatnonzero(end > pos)
-        return found, start[found], end[found]
+        return found, start[found], end[found], *self.windows(rows, chain, back, start, end)
+
+    def windows(self, rows: list[np.ndarray], chain: np.ndarray, back: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order is by suffix, so suffixes past the last neighbour that is compared agree with this one to the right
+        no further than that neighbour does. A window of this minimiser that needs no more of the right than that, and
+        isn't in what was found, may be shared with one of them."""
+        suffix, _, _, pos, room = rows
+        right, _, least_before, most_before = _parts(room)
+        here, agree = np.arange(len(pos)), np.full(len(pos), -1)
+        for a, b in ((here[: -self.near], here[self.near :]), (here[self.near :], here[: -self.near])):
+            same = (suffix[a, :8] == suffix[b, :8]).all(1)
+            a, b = a[same], b[same]
+            agree[a] = np.maximum(agree[a], np.minimum(_equal(chain[a], chain[b]), right[a]))
+        some = np.flatnonzero((agree >= 0) & (self.reach - agree <= most_before))
+        # words of the window before the minimiser
+        ahead = np.arange(self.reach + 1)[None, :]
+        inside = (ahead <= (pos - start)[some, None]) & (ahead >= (pos + self.least - end)[some, None])
+        first = np.maximum(least_before, self.reach - agree)[some, None]
+        row, ahead = np.nonzero((ahead >= first) & (ahead <= most_before[some, None]) & ~inside)
+        gram = suffix[some, :8].copy().view(">u8").ravel().astype(np.uint64)
+        to_left, to_right = _prefixes(back[some])[row, ahead], _prefixes(chain[some])[row, self.reach - ahead]
+        keys = _mix(_mix(gram[row] + np.uint64(0x9E3779B97F4A7C15) * to_left) + to_right)
+        return some[row], pos[some[row]] - ahead, keys.view(np.int64)
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """text, start, end of what is found; and the first and last rows as they are, for the neighbours in other parts."""
+        """text, start, end of what is found; windows left to compare by hash; and the first and last rows as they are, for the neighbours in other parts."""
         held, first = None, True
         for b in batches:
             if not b.num_rows:
@@ -176,8 +224,9 @@ class _Compared:
                 rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
             same = np.r_[False, (rows[3][1:] == rows[3][:-1]) & (rows[2][1:] == rows[2][:-1]).all(1)]
             rows = [x[~same] for x in rows]
-            found, start, end = self.passages(rows)
+            found, start, end, left, begin, keys = self.passages(rows)
             yield self.out(rows[2][found], start, end)
+            yield self.out(rows[2][left], begin, begin + self.least, keys)
             if first:
                 yield self.edge([x[: self.near] for x in rows])
                 first = False
@@ -185,17 +234,18 @@ class _Compared:
         if held is not None:
             yield self.edge(held)
 
-    _SCHEMA = "found binary, start long, end long, " + _SCHEMA
+    _FOUND = ["found", "start", "end", "window"]
+    _SCHEMA = "found binary, start long, end long, window long, " + _SCHEMA
 
-    def out(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    def out(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, window: np.ndarray | None = None) -> pa.RecordBatch:
         n = len(start)
-        none = [pa.nulls(n, pa.binary())] * 3 + [pa.nulls(n, pa.int32())] * 3
-        return pa.RecordBatch.from_arrays([_binary(text), pa.array(start), pa.array(end), *none], ["found", "start", "end", *_NAMES])
+        none = [pa.nulls(n, pa.binary())] * 3 + [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
+        return pa.RecordBatch.from_arrays([_binary(text), pa.array(start), pa.array(end), pa.nulls(n, pa.int64()) if window is None else pa.array(window), *none], [*self._FOUND, *_NAMES])
 
     def edge(self, rows: list[np.ndarray]) -> pa.RecordBatch:
         n = len(rows[3])
-        own = [_binary(x) for x in rows[:3]] + [pa.array(x.astype(np.int32)) for x in rows[3:]]
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *own], ["found", "start", "end", *_NAMES])
+        own = [_binary(x) for x in rows[:3]] + [pa.array(rows[3].astype(np.int32)), pa.array(rows[4])]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), *[pa.nulls(n, pa.int64())] * 3, *own], [*self._FOUND, *_NAMES])
 
 
 def passages(docs: DataFrame, gram: int = GRAM, least: int = LEAST, near: int = NEAR) -> DataFrame:
@@ -204,7 +254,8 @@ def passages(docs: DataFrame, gram: int = GRAM, least: int = LEAST, near: int =
 
     Words are divided by ASCII white space. Suffixes at minimisers are sorted over the whole corpus, dealt by ranges
     of suffix, context, text and position, so that no passage, however frequent, is one task's; each is compared with its neighbours and
-    matches are extended to the left and right. Suffixes on both sides of a cut between parts, a few for each part, are
+    matches are extended to the left and right. Windows that a suffix further away in the order could have too are then
+    grouped by hash, so no match is missed where very many texts share a phrase. Suffixes on both sides of a cut between parts, a few for each part, are
     compared in a second step. Equal texts are one text in the search, and copies of each other as a whole. A null text
     is empty; repeated rows are copies of each other; passages that one text has twice don't count; an empty table
     gives no rows. Passages are compared by hashes: one can be a word too long in one of 65,536 cases."""
@@ -216,7 +267,10 @@ def passages(docs: DataFrame, gram: int = GRAM, least: int = LEAST, near: int =
     first = stage(sorted_.mapInArrow(kernel.run, kernel._SCHEMA), "compared")
     # as many rows as there are partitions, times twice the neighbours
     edges = first.filter("suffix is not null").select(*_NAMES).coalesce(1).sortWithinPartitions(*order)
-    found = first.unionByName(edges.mapInArrow(kernel.run, kernel._SCHEMA)).filter("found is not null")
+    every = first.unionByName(stage(edges.mapInArrow(kernel.run, kernel._SCHEMA), "edges")).filter("found is not null").select(*kernel._FOUND)
+    further = every.filter("window is not null")
+    common = further.groupBy("window").agg(F.min(F.xxhash64("found")).alias("a"), F.max(F.xxhash64("found")).alias("b")).filter("a < b").select("window")
+    found = every.filter("window is null").unionByName(further.join(common, "window", "left_semi"))
     spans = found.groupBy(F.col("found").alias("text_id")).agg(F.array_sort(F.collect_set(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))).alias("spans"))
 
     def join(done, x):

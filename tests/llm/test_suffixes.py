@@ -49,6 +49,32 @@ def test_equals_brute_force(spark):
         assert dict(covered(suffixes.passages(df))) == want
 
 
+def crowd(spark, seed):
+    """Short phrases that most texts share, around which some pairs of texts share 50 words and more."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    phrases = [fresh(rng.choice([10, 14, 30, 45])) for _ in range(3)]
+    rows = []
+    for k in range(80):
+        text = fresh(rng.randrange(0, 40))
+        for _ in range(3):
+            text += rng.choice(phrases) + fresh(rng.randrange(0, 45))
+        rows.append(text)
+    for _ in range(12):
+        a, b = rng.sample(range(80), 2)
+        at = rng.randrange(0, max(1, len(rows[a]) - 60))
+        rows[b] = rows[b] + fresh(3) + rows[a][at : at + rng.choice([49, 50, 55, 60])] + fresh(30)
+    return spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(rows)], "doc_id long, text string").repartition(3)
+
+
+def test_no_match_is_missed_in_a_crowd(spark):
+    for seed in range(4):
+        df = crowd(spark, seed)
+        want = {d: c for d, c in slow(df.collect()) if c}
+        assert dict(covered(suffixes.passages(df))) == want
+        assert dict(covered(suffixes.passages(df, near=1))) == want
+
+
 def test_odd_rows(odd, nothing):
     rows = odd.collect()
     want = slow(rows)
