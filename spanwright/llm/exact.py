@@ -183,7 +183,8 @@ def exact_groups(docs: DataFrame, held: int = HELD) -> DataFrame:
 def exact_stage(docs: DataFrame) -> DataFrame:
     """Of each group of equal texts, the row that stays."""
     keep = stage(owners(docs).select(F.col("keep_id").alias("_kept")).distinct(), "keep")
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    # the ids grow with the corpus, so they are never broadcast; hashing them spares a sort of the whole texts
+    return docs.join(keep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
