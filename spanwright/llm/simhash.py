@@ -156,7 +156,8 @@ def simhash_components(docs: DataFrame, size: int = 3, distance: int = 2, bucket
 def near_duplicate_stage(docs: DataFrame) -> DataFrame:
     """Of each component, the document of the smallest doc_id stays (of rows repeated with that doc_id, all)."""
     keep = simhash_components(docs).filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(stage(keep, "keep").withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*(docs[c] for c in docs.columns))
+    # the ids grow with the corpus, so they are never broadcast; hashing them spares a sort of the whole texts
+    return docs.join(stage(keep, "keep").withColumnRenamed("doc_id", "_kept").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*(docs[c] for c in docs.columns))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
