@@ -192,9 +192,10 @@ class _Compared:
 
     def windows(self, rows: list[np.ndarray], chain: np.ndarray, back: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The order is by suffix, so suffixes past the last neighbour that is compared agree with this one to the right
-        no further than that neighbour does. A window of this minimiser that needs no more of the right than that, and
-        isn't in what was found, may be shared with one of them."""
-        suffix, _, _, pos, room = rows
+        no further than that neighbour does. A window of this minimiser that needs no more of the right than that may be
+        shared with one of them. Those in what was found are known to be shared, but a suffix further away may have
+        nothing else to meet: of them, each window stays with two texts."""
+        suffix, _, text, pos, room = rows
         right, _, least_before, most_before = _parts(room)
         here, agree = np.arange(len(pos)), np.full(len(pos), -1)
         for a, b in ((here[: -self.near], here[self.near :]), (here[self.near :], here[: -self.near])):
@@ -206,12 +207,22 @@ class _Compared:
         ahead = np.arange(self.reach + 1)[None, :]
         inside = (ahead <= (pos - start)[some, None]) & (ahead >= (pos + self.least - end)[some, None])
         first = np.maximum(least_before, self.reach - agree)[some, None]
-        row, ahead = np.nonzero((ahead >= first) & (ahead <= most_before[some, None]) & ~inside)
+        row, ahead = np.nonzero((ahead >= first) & (ahead <= most_before[some, None]))
         gram = suffix[some, :8].copy().view(">u8").ravel().astype(np.uint64)
         to_left, to_right = _prefixes(back[some])[row, ahead], _prefixes(chain[some])[row, self.reach - ahead]
         keys = _mix(_mix(gram[row] + np.uint64(0x9E3779B97F4A7C15) * to_left) + to_right)
+        known = np.flatnonzero(inside[row, ahead])
+        stay = np.r_[np.flatnonzero(~inside[row, ahead]), known[self.witnesses(keys[known], text[some[row[known]]])]]
+        row, ahead, keys = row[stay], ahead[stay], keys[stay]
         return some[row], pos[some[row]] - ahead, keys.view(np.int64)
 
+    @staticmethod
+    def witnesses(keys: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Places of the first and the last text of each key: two different ones wherever there are two."""
+        order = np.lexsort((text[:, 8:].copy().view("<u8").ravel(), text[:, :8].copy().view("<u8").ravel(), keys))
+        new = keys[order][1:] != keys[order][:-1]
+        return order[np.r_[True, new] | np.r_[new, True]] if len(keys) else order
+
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """text, start, end of what is found; windows left to compare by hash; and the first and last rows as they are, for the neighbours in other parts."""
         held, first = None, True
@@ -254,7 +265,7 @@ def passages(docs: DataFrame, gram: int = GRAM, least: int = LEAST, near: int =
 
     Words are divided by ASCII white space. Suffixes at minimisers are sorted over the whole corpus, dealt by ranges
     of suffix, context, text and position, so that no passage, however frequent, is one task's; each is compared with its neighbours and
-    matches are extended to the left and right. Windows that a suffix further away in the order could have too are then
+    matches are extended to the left and right. Windows that a suffix further away in the order could have too, found or not, are then
     grouped by hash, so no match is missed where very many texts share a phrase. Suffixes on both sides of a cut between parts, a few for each part, are
     compared in a second step. Equal texts are one text in the search, and copies of each other as a whole. A null text
     is empty; repeated rows are copies of each other; passages that one text has twice don't count; an empty table

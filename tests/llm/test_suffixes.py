@@ -75,6 +75,24 @@ def test_no_match_is_missed_in_a_crowd(spark):
         assert dict(covered(suffixes.passages(df, near=1))) == want
 
 
+def test_a_third_text_far_from_a_found_pair(spark):
+    """Two texts agree around a crowded phrase; a third, sorted elsewhere, shares only the words before and the phrase."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(12):
+        phrase, before, after = fresh(28), fresh(30), fresh(42)
+        rows += [fresh(20) + before + phrase + after + fresh(20) for _ in range(2)]
+        rows += [fresh(20) + before + phrase + fresh(60)]
+        # start from one partner, end from another
+        rows += [fresh(40) + before[-22:] + phrase + fresh(60), fresh(60) + phrase + after[:22] + fresh(40)]
+        rows += [fresh(30) + phrase + fresh(30) for _ in range(30)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(rows)], "doc_id long, text string").repartition(3)
+    want = {d: c for d, c in slow(df.collect()) if c}
+    for near in (1, 4):
+        assert dict(covered(suffixes.passages(df, near=near))) == want
+
+
 def test_odd_rows(odd, nothing):
     rows = odd.collect()
     want = slow(rows)
