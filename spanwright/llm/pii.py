@@ -37,6 +37,9 @@ SYLLABLES = {
     "cyrillic": ["ба", "бел", "ва", "вол", "га", "гор", "да", "дор", "ка", "кор", "ла", "лин", "ма", "мор", "на", "нов"],
 }
 KEY = "spanwright"
+#: Attempts that keep the length of a number or key; each one after adds a digit, up to LONGER of them.
+ALIKE = 8
+LONGER = 8
 
 
 def kind_of(entity: Column) -> Column:
@@ -88,28 +91,35 @@ def _reshaped(entity: Column, stream: Column, keep: Column) -> Column:
     return F.array_join(F.transform(F.split(entity, ""), one), "")
 
 
-def _pick(stream: Column, at: int, words: list[str]) -> Column:
+def _pick(stream: Column, at: int | Column, words: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), _number(stream, at) % len(words) + 1)
 
 
 def surrogate(entity: Column, kind: Column, same: Column, attempt: Column, key: str = KEY) -> Column:
     """The replacement at some attempt. It depends on the key and the canonical form, so mentions stay coreferent, and
-    keeps the kind, script, gender and format of the mention."""
-    return _let(_stream(kind, same, attempt, key), lambda s: _made(entity, kind, s))
+    keeps the kind, script, gender and format of the mention. Later attempts draw from larger spaces: family names grow
+    by a syllable each; after ALIKE attempts numbers and keys grow by a digit each, as short formats can run out."""
+    return _let(_stream(kind, same, attempt, key), lambda s: _made(entity, kind, s, attempt))
 
 
-def _made(entity: Column, kind: Column, s: Column) -> Column:
+def _made(entity: Column, kind: Column, s: Column, attempt: Column) -> Column:
     email = F.concat(F.lit("user"), F.substr(s, F.lit(1), F.lit(12)), F.lit("@mail"), (_number(s, 20) % 10).cast("string"), F.lit(".example.org"))
     # addresses of private use, and numbers that are never given out
-    ip = F.concat_ws(".", F.lit("10"), *((_number(s, k) % 256).cast("string") for k in (1, 5, 9)))
+    net = F.when(attempt < ALIKE, "10").otherwise((240 + _number(s, 13) % 16).cast("string"))
+    ip = F.concat_ws(".", net, *((_number(s, k) % 256).cast("string") for k in (1, 5, 9)))
     prefix = F.length(F.regexp_extract(entity, r"^(\D*[=:]\s*[\"']?|AKIA|ASIA|[A-Z]{2}(?=\d{2})|\+\d{1,3}(?=[ .\-(]))", 1))
-    shaped = _reshaped(entity, s, prefix)
+    more = F.array_join(F.transform(F.sequence(F.lit(1), F.least(attempt - ALIKE + 1, F.lit(LONGER))), lambda k: (_number(s, 93 + 4 * k) % 10).cast("string")), "")
+    # before a closing quote
+    longer = lambda x: F.concat(F.regexp_extract(x, r"^(.*?)([\"']?)$", 1), more, F.regexp_extract(x, r"^(.*?)([\"']?)$", 2))
+    shaped = _let(_reshaped(entity, s, prefix), lambda x: F.when(attempt < ALIKE, x).otherwise(longer(x)))
     woman = entity.rlike(WOMEN)
     cyrillic = entity.rlike(r"\p{IsCyrillic}")
 
     def of(script: str) -> Column:
         first = F.when(woman, _pick(s, 1, NAMES[script, "f"])).otherwise(_pick(s, 1, NAMES[script, "m"]))
-        last = F.initcap(F.concat(*(_pick(s, k, SYLLABLES[script]) for k in (5, 9, 13, 17))))
+        added = F.transform(F.sequence(F.lit(1), F.least(attempt, F.lit(16))), lambda k: _pick(s, 17 + 4 * k, SYLLABLES[script]))
+        added = F.when(attempt > 0, F.array_join(added, "")).otherwise("")
+        last = F.initcap(F.concat(*(_pick(s, k, SYLLABLES[script]) for k in (5, 9, 13, 17)), added))
         two = entity.rlike(r"^\S+ \S+ \S")
         return F.concat(F.regexp_extract(entity, r"^\S+ ", 0), F.when(two, F.concat_ws(" ", first, last)).otherwise(last))
 
@@ -130,15 +140,15 @@ def entities(docs: DataFrame) -> DataFrame:
     return one.select("m.*").distinct()
 
 
-def collisions(found: DataFrame, key: str = KEY, rounds: int = 8) -> DataFrame:
+def collisions(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, same, attempt) of the entities whose first surrogate won't do; all others have attempt 0.
 
     A surrogate won't do if another entity has the same (the lowest canonical form keeps it) or if it is an entity of
-    the corpus itself. Those are tried anew until none is left; only they, few by the size of the surrogates' space,
-    are shuffled again."""
+    the corpus itself. Those are tried anew until none is left, in a space that grows with the attempt (of IP addresses,
+    to 2^28 at most); only they, few by the size of the surrogates' space, are shuffled again."""
     real = stage(found.select("kind", "same").distinct(), "real")
     open_, taken, out = found.withColumn("attempt", F.lit(0)), None, None
-    for _ in range(rounds):
+    while True:
         made = open_.withColumn("made", surrogate(F.col("entity"), F.col("kind"), F.col("same"), F.col("attempt"), key))
         made = made.select("entity", "kind", "same", "attempt", canonical(F.col("made"), F.col("kind")).alias("made"))
         made = stage(made, "made")
@@ -158,8 +168,6 @@ def collisions(found: DataFrame, key: str = KEY, rounds: int = 8) -> DataFrame:
         open_ = stage(open_.join(bad, ["kind", "same"], "left_semi").withColumn("attempt", F.col("attempt") + 1), "open")
         retried = open_.select("kind", "same", "attempt").distinct()
         out = retried if out is None else out.unionByName(retried)
-    else:
-        raise ValueError(f"surrogates still collide after {rounds} rounds; their space is too small for this corpus")
     empty = found.select("kind", "same", F.lit(0).alias("attempt")).limit(0)
     return (empty if out is None else out).groupBy("kind", "same").agg(F.max("attempt").alias("attempt"))
 

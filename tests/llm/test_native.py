@@ -98,3 +98,13 @@ def test_collisions_are_settled(spark):
     real = {t for _, t in rows}
     assert len({r.text for r in got}) == len(rows) and not {r.text for r in got} & real
     assert pii.collisions(pii.entities(df)).count() > 0
+
+
+def test_crowded_formats_grow_until_none_collides(spark, monkeypatch):
+    # 6000 of 10,000 four-digit numbers leave too few others; two syllables make 16 family names
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "ner"])
+    rows = [(k, f"call +{k:04d} now") for k in range(6000)]
+    rows += [(10000 + k, f"Herr Muster{chr(97 + k % 26)}{chr(97 + k // 26)}x spoke") for k in range(300)]
+    got = pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.n_entities == 1 for r in got)
+    assert len({r.text for r in got}) == len(rows) and not {r.text for r in got} & {t for _, t in rows}
