@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a new temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a new temporary one on a local master (tests); a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spanwright-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -40,6 +43,16 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names beginning with these that df doesn't have, in any case."""
+    own, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in own:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

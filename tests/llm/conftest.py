@@ -20,7 +20,7 @@ def odd(spark):
     rows += [(40, "x " * 30000, "en", "a", 5), (41, "\n".join(["same line here"] * 50), "de", None, 5), (12, "again", "en", "a", 1), (12, "again", "en", "a", 1)]
     rows += [(50 + k, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 900))), "en", "b", 1) for k in range(40)]
     df = spark.createDataFrame(rows, SCHEMA)
-    for c in ("hash", "ids", "length", "part", "fp", "mask", "score", "start", "block", "n", "key"):
+    for c in ("hash", "ids", "length", "part", "fp", "mask", "score", "start", "block", "n", "key", "_kept", "n_entities", "_mentions", "_score", "_tries", "_text", "payload", "string", "band"):
         df = df.selectExpr("*", f"'clash' AS {c}")
     return df.repartition(5)
 
