@@ -276,8 +276,8 @@ def passages(docs: DataFrame, gram: int = GRAM, least: int = LEAST, near: int =
     kernel = _Compared(gram, least, near)
     sorted_ = suffixes(own, gram, least).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     first = stage(sorted_.mapInArrow(kernel.run, kernel._SCHEMA), "compared")
-    # as many rows as there are partitions, times twice the neighbours
-    edges = first.filter("suffix is not null").select(*_NAMES).coalesce(1).sortWithinPartitions(*order)
+    # as many rows as there are partitions, times twice the neighbours: they are picked out where they lie, then sent to one task
+    edges = first.filter("suffix is not null").select(*_NAMES).repartition(1).sortWithinPartitions(*order)
     every = first.unionByName(stage(edges.mapInArrow(kernel.run, kernel._SCHEMA), "edges")).filter("found is not null").select(*kernel._FOUND)
     further = every.filter("window is not null")
     common = further.groupBy("window").agg(F.min(F.xxhash64("found")).alias("a"), F.max(F.xxhash64("found")).alias("b")).filter("a < b").select("window")
