@@ -112,7 +112,8 @@ def pack(pieces: DataFrame, capacity: int = LONGEST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(sequence), pa.array(slot)], [*keep, "sequence_id", "offset"])
 
     inside = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.join(stage(base, "base"), ["length", "_part"]).withColumn("_rank", F.col("_base") + F.row_number().over(inside) - 1)
+    # lengths times parts of the input: they grow with it, so they are never broadcast
+    ranked = pieces.join(stage(base, "base").hint("shuffle_hash"), ["length", "_part"]).withColumn("_rank", F.col("_base") + F.row_number().over(inside) - 1)
     names = [f for f in pieces.schema if f.name != "_part"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names) + ", sequence_id long, offset long"
     return ranked.select(*(f.name for f in names), "_rank").mapInArrow(place, schema)
