@@ -94,7 +94,7 @@ def pack(pieces: DataFrame, capacity: int = LONGEST) -> DataFrame:
     alone (at most `capacity` numbers, counted over all pieces), and each piece finds its place by its rank among
     those of its length. Ranks are counted in two steps, inside a part of the input and over parts, so a length that a
     third of all pieces share is never in one task."""
-    pieces = stage(pieces.withColumn("_part", F.spark_partition_id()), "pieces")
+    pieces = stage(pieces.withColumn("_part", F.spark_partition_id()), "pieces", compression="zstd")
     counts = stage(pieces.groupBy("length", "_part").agg(F.count("*").alias("n")), "counts")
     over = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "_part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("_base"))

@@ -68,15 +68,15 @@ def _keys(fps: DataFrame, masks: Column) -> DataFrame:
 
 
 def local_roots(fps: np.ndarray, distance: int) -> np.ndarray:
-    """For distinct fingerprints of one bucket, the index of the root that each is linked to, by breadth-first search."""
-    root, rest = np.arange(len(fps)), np.arange(len(fps))
+    """For distinct fingerprints (rows of 64-bit words) of one bucket, the index of the root that each is linked to, by breadth-first search."""
+    root, rest, left = np.arange(len(fps)), np.arange(len(fps)), fps
     while rest.size:
-        seed, rest = rest[0], rest[1:]
+        seed, rest, left = rest[0], rest[1:], left[1:]
         stack = [seed]
         while stack and rest.size:
-            near = np.bitwise_count(fps[rest] ^ fps[stack.pop()]) <= distance
+            near = np.bitwise_count(left ^ fps[stack.pop()]).sum(1, dtype=np.int64) <= distance
             if near.any():
-                hit, rest = rest[near], rest[~near]
+                hit, rest, left = rest[near], rest[~near], left[~near]
                 root[hit] = seed
                 stack.extend(hit)
     return root
@@ -88,7 +88,7 @@ def _linker(distance: int):
         a, b = [], []
         for k in np.flatnonzero(np.diff(cut) > 1):
             own = fp[cut[k] : cut[k + 1]]
-            root = local_roots(own.view(np.uint64), distance)
+            root = local_roots(own.view(np.uint64).reshape(-1, 1), distance)
             linked = np.flatnonzero(root != np.arange(len(own)))
             a.append(own[linked])
             b.append(own[root[linked]])
@@ -153,13 +153,6 @@ def simhash_components(docs: DataFrame, size: int = 3, distance: int = 2, bucket
     return fps.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicate_stage(docs: DataFrame) -> DataFrame:
-    """Of each component, the document of the smallest doc_id stays (of rows repeated with that doc_id, all)."""
-    keep = simhash_components(docs).filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    # the ids grow with the corpus, so they are never broadcast; hashing them spares a sort of the whole texts
-    return docs.join(stage(keep, "keep").withColumnRenamed("doc_id", "_kept").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*(docs[c] for c in docs.columns))
-
-
 def op4(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
