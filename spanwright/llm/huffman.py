@@ -24,7 +24,9 @@ EVERY = 256
 BLOCK = 1 << 17
 #: Tokens that are coded or counted at once.
 CHUNK = 1 << 19
-MAGIC = b"HUFB"
+#: Beginning of each block, and the version of blocks and header.
+MAGIC, VERSION = b"HUFB", 1
+_HEADER = "version int, end_id long, longest int, lengths binary, crc32 long"
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -119,20 +121,25 @@ def unpack(data: bytes, at: np.ndarray, counts: np.ndarray, symbols: np.ndarray,
 
 
 def write_block(start: int, doc_ids: list, sizes: list[int], bodies: list[bytes], marks: list[np.ndarray]) -> bytes:
-    """header: magic, documents, tokens before this block; per document: id present, id, tokens, bytes; checkpoints; bits."""
+    """Magic, version, CRC-32 of the rest; documents, tokens before this block; per document: id present, id, tokens, bytes; checkpoints; bits."""
     docs = np.array([(x is not None, x or 0, n, len(b)) for x, n, b in zip(doc_ids, sizes, bodies, strict=True)], "<i8").reshape(-1, 4)
-    return MAGIC + struct.pack("<qq", len(docs), start) + docs.tobytes() + np.concatenate([np.array([], "<u4"), *marks]).astype("<u4").tobytes() + b"".join(bodies)
+    rest = struct.pack("<qq", len(docs), start) + docs.tobytes() + np.concatenate([np.array([], "<u4"), *marks]).astype("<u4").tobytes() + b"".join(bodies)
+    return MAGIC + struct.pack("<II", VERSION, zlib.crc32(rest)) + rest
 
 
 def read_block(block: bytes, symbols: np.ndarray, sizes: np.ndarray) -> tuple[int, list, np.ndarray, np.ndarray]:
-    """Tokens before the block, doc_ids, tokens of each, and all ids."""
-    if block[:4] != MAGIC:
+    """Tokens before the block, doc_ids, tokens of each, and all ids. A block of another format or version, or one that has changed, is an error."""
+    version, crc = struct.unpack_from("<II", block, 4) if block[:4] == MAGIC else (0, 0)
+    block = block[12:]
+    if version != VERSION:
         raise ValueError("not a block of this format")
-    n, start = struct.unpack_from("<qq", block, 4)
-    docs = np.frombuffer(block, "<i8", 4 * n, 20).reshape(-1, 4)
+    if zlib.crc32(block) != crc:
+        raise ValueError("a block has changed since it was written")
+    n, start = struct.unpack_from("<qq", block)
+    docs = np.frombuffer(block, "<i8", 4 * n, 16).reshape(-1, 4)
     tokens, room = docs[:, 2], docs[:, 3]
     lanes = np.maximum(1, -(-tokens // EVERY))
-    marks = np.frombuffer(block, "<u4", int((lanes - 1).sum()), 20 + 32 * n)
+    marks = np.frombuffer(block, "<u4", int((lanes - 1).sum()), 16 + 32 * n)
     first = np.r_[0, np.cumsum(lanes)]
     at = np.zeros(int(first[-1]), np.int64)
     opens = np.zeros(len(at), bool)
@@ -141,12 +148,14 @@ def read_block(block: bytes, symbols: np.ndarray, sizes: np.ndarray) -> tuple[in
     at += np.repeat(8 * np.r_[0, np.cumsum(room)][:-1], lanes)
     counts = np.full(len(at), EVERY, np.int64)
     counts[first[1:] - 1] = tokens - EVERY * (lanes - 1)
-    ids = unpack(block[20 + 32 * n + marks.nbytes :], at, counts, symbols, sizes)
+    ids = unpack(block[16 + 32 * n + marks.nbytes :], at, counts, symbols, sizes)
     return start, [int(x) if there else None for there, x in docs[:, :2]], tokens, ids
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, ids: little-endian unsigned 32-bit, end id appended); a null text is empty."""
+    """(doc_id, text, ...) -> (doc_id, ids: little-endian unsigned 32-bit, end id appended): one row per row, whole texts.
+
+    A null or empty text has the end id alone; repeated rows stay; an empty table gives no rows; other columns are left out."""
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,25 +196,36 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     return counts
 
 
-def write_token_files(tokens: DataFrame, to: str) -> np.ndarray:
-    """Write (doc_id, ids) in ascending doc_id order under the path `to`; the code's lengths, for reading.
+def write_token_files(tokens: DataFrame, to: str, end_id: int) -> None:
+    """Write (doc_id, ids) in ascending doc_id order under the path `to`, so that it can be read from the path alone.
 
-    Documents are coded where they lie, dealt by ranges of doc_id (rows of one doc_id together, in order of their
-    bytes; null first) and joined into independent blocks. Folder `blocks` has range, place in it, tokens before the
-    block in its range, and the block; folder `ranges` has each range's tokens.
-    """
+    Folder `header` has one row: version, end id, longest code, the lengths of the canonical code, and their CRC-32.
+    Documents are coded where they lie, dealt by ranges of doc_id (null first) and joined into independent blocks, each
+    with a CRC-32 of its own. A doc_id with many rows is dealt over as many ranges as it fills, by a hash of the bits;
+    inside a range its rows are in order of their bits. Folder `blocks` has range, place in it, tokens before the block
+    in its range, and the block; folder `ranges` has each range's tokens. Very long texts are one document of a block,
+    found by its checkpoints; an empty table gives a header and no blocks; other columns are left out."""
     spark = tokens.sparkSession
     lengths = code_lengths(id_counts(tokens))
+    header = [(VERSION, end_id, LONGEST, bytearray(lengths.tobytes()), zlib.crc32(lengths.tobytes()))]
+    spark.createDataFrame(header, _HEADER).coalesce(1).write.parquet(f"{to}/header")
     codes, p = canonical(lengths), partitions(spark)
     cuts = tokens.approxQuantile("doc_id", [k / p for k in range(1, p)], 0.1 / p) if p > 1 else []
-    cuts = np.unique(np.array(cuts, np.float64))
+    cuts = np.array(cuts, np.float64)
+
+    def range_of(doc_id: int | None, body: bytes) -> int:
+        if doc_id is None:
+            return 0
+        lo, hi = (int(np.searchsorted(cuts, doc_id, side)) for side in ("left", "right"))
+        return lo + 1 + zlib.crc32(body) % (hi - lo) if hi - lo > 1 else hi
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for batch in batches for x in _chunks(batch, "ids")):
             ids = b.column(1).to_pylist()
-            body, start, marks = pack(np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64), lengths, codes)
-            part = [0 if x is None else int(np.searchsorted(cuts, x, "right")) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([body[x:y] for x, y in zip(start[:-1], start[1:], strict=False)], pa.binary()), pa.array([m.astype("<u4").tobytes() for m in marks], pa.binary())], ["part", "doc_id", "n", "body", "marks"])
+            packed, start, marks = pack(np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64), lengths, codes)
+            bodies = [packed[x:y] for x, y in zip(start[:-1], start[1:], strict=False)]
+            part = [range_of(x, body) for x, body in zip(b.column(0).to_pylist(), bodies, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(bodies, pa.binary()), pa.array([m.astype("<u4").tobytes() for m in marks], pa.binary())], ["part", "doc_id", "n", "body", "marks"])
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, before, rows, held = TaskContext.get().partitionId(), 0, 0, [], 0
@@ -228,14 +248,18 @@ def write_token_files(tokens: DataFrame, to: str) -> np.ndarray:
     dealt = tokens.select("doc_id", "ids").mapInArrow(coded, "part int, doc_id long, n long, body binary, marks binary").repartitionById(p, F.col("part")).sortWithinPartitions("doc_id", "body")
     dealt.select("doc_id", "n", "body", "marks").mapInArrow(blocked, "part long, seq long, before long, tokens long, block binary").write.option("compression", "none").parquet(f"{to}/blocks")
     spark.read.parquet(f"{to}/blocks").groupBy("part").agg(F.sum("tokens").alias("tokens")).coalesce(1).write.parquet(f"{to}/ranges")
-    return lengths
 
 
-def read_token_files(spark: SparkSession, at: str, lengths: np.ndarray, with_ids: bool = True) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids if asked for; blocks decode alone."""
+def read_token_files(spark: SparkSession, at: str, with_ids: bool = True) -> DataFrame:
+    """The files under a path -> doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids if asked
+    for: one row per row that was written; blocks decode alone."""
+    version, _, longest, lengths, crc = spark.read.schema(_HEADER).parquet(f"{at}/header").first()
+    if version != VERSION or zlib.crc32(lengths) != crc:
+        raise ValueError("not a header of this format")
+    lengths = np.frombuffer(bytes(lengths), np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, sizes = decoding_table(lengths)
+        symbols, sizes = decoding_table(lengths, longest)
         for b in batches:
             for block, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 start, doc_ids, tokens, ids = read_block(block, symbols, sizes)
@@ -260,5 +284,5 @@ def op2(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> Data
 
     tokens = stage(tokenize(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json"), 2), "tokens", compression="zstd")
     to = new_path(spark, "token_files")
-    lengths = write_token_files(tokens, to)
-    return read_token_files(spark, to, lengths, with_ids=False)
+    write_token_files(tokens, to, 2)
+    return read_token_files(spark, to, with_ids=False)

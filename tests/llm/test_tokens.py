@@ -1,3 +1,6 @@
+import pathlib
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -8,6 +11,7 @@ from tokenizers import Tokenizer
 from spanwright.llm import huffman, packing
 from spanwright.llm.tokens import WordEncoder
 
+ROOT = pathlib.Path(__file__).parents[2]
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -27,11 +31,7 @@ def want(rows, library, end):
     return [(r.doc_id, library.encode(r.text or "", add_special_tokens=False).ids + [end]) for r in rows]
 
 
-def test_files_give_back_every_id(spark, odd, library, tmp_path):
-    tokens = huffman.tokenize(odd, PATH, 2)
-    lengths = huffman.write_token_files(tokens, str(tmp_path / "f"))
-    got = huffman.read_token_files(spark, str(tmp_path / "f"), lengths).orderBy("start").collect()
-    rows = want(odd.collect(), library, 2)
+def checked(got, rows):
     assert sorted(map(str, rows)) == sorted(str((r.doc_id, np.frombuffer(r.ids, "<u4").tolist())) for r in got)
     at, last = 0, -1
     for r in got:
@@ -40,9 +40,44 @@ def test_files_give_back_every_id(spark, odd, library, tmp_path):
         at, last = at + r.n_tokens, r.doc_id if r.doc_id is not None else -1
 
 
+def test_files_give_back_every_id(spark, odd, library, tmp_path):
+    tokens = huffman.tokenize(odd, PATH, 2)
+    huffman.write_token_files(tokens, str(tmp_path / "f"), 2)
+    checked(huffman.read_token_files(spark, str(tmp_path / "f")).orderBy("start").collect(), want(odd.collect(), library, 2))
+
+
+def test_one_doc_id_fills_several_ranges(spark, library, tmp_path):
+    df = spark.createDataFrame([(5 if k % 2 else k, f"word {k} and more") for k in range(400)], "doc_id long, text string")
+    huffman.write_token_files(huffman.tokenize(df, PATH, 2), str(tmp_path / "f"), 2)
+    checked(huffman.read_token_files(spark, str(tmp_path / "f")).orderBy("start").collect(), want(df.collect(), library, 2))
+    assert spark.read.parquet(str(tmp_path / "f/ranges")).count() == 4
+
+
+def test_another_process_reads_the_path_alone(spark, odd, library, tmp_path):
+    huffman.write_token_files(huffman.tokenize(odd, PATH, 2), str(tmp_path / "f"), 2)
+    code = """
+import sys
+from pyspark.sql import SparkSession
+from spanwright.llm import huffman
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+huffman.read_token_files(spark, sys.argv[1]).write.parquet(sys.argv[2])
+"""
+    subprocess.run([sys.executable, "-c", code, str(tmp_path / "f"), str(tmp_path / "got")], check=True, cwd=ROOT, timeout=200)
+    checked(spark.read.parquet(str(tmp_path / "got")).orderBy("start").collect(), want(odd.collect(), library, 2))
+
+
+def test_changed_blocks_are_refused():
+    block = huffman.write_block(0, [1], [2], [b"\x01\x02"], [])
+    table = huffman.decoding_table(huffman.code_lengths(np.array([3, 2, 1])))
+    assert huffman.read_block(block, *table)[1] == [1]
+    for bad in (block[:-1] + b"\x03", b"XXXX" + block[4:]):
+        with pytest.raises(ValueError):
+            huffman.read_block(bad, *table)
+
+
 def test_no_documents(spark, nothing, tmp_path):
-    lengths = huffman.write_token_files(huffman.tokenize(nothing, PATH, 2), str(tmp_path / "f"))
-    assert huffman.read_token_files(spark, str(tmp_path / "f"), lengths).count() == 0
+    huffman.write_token_files(huffman.tokenize(nothing, PATH, 2), str(tmp_path / "f"), 2)
+    assert huffman.read_token_files(spark, str(tmp_path / "f")).count() == 0
     assert packing.pack_documents(nothing, PATH).count() == 0
 
 
