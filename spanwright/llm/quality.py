@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, stage, table
+from .common import SPACE, new_names, stage, table
 
 #: A line is boilerplate on a host if over this share of the host's documents have it, and over so many documents.
 SHARE, LEAST = 0.02, 20
@@ -62,47 +62,110 @@ def line_table(text: Column) -> Column:
     return F.transform(lines(text), lambda x: F.struct(F.xxhash64(normalized(x)).alias("line"), F.size(words(x)).alias("n")))
 
 
-def frequent_lines(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(host, frequent array<long>): the lines above the limits, for each host (a null host is one).
-
-    A line counts once a distinct text, so copies of a document do not make its lines boilerplate. Counts are combined
-    before each shuffle. Of lines that over `share` of a host's documents have, there are at most the average number
-    of lines over `share`, so the arrays are bounded whatever the host's size."""
-    own = docs.select(F.col("source").alias("host"), F.xxhash64("text").alias("doc"), F.array_distinct(F.transform(lines(F.col("text")), lambda x: F.xxhash64(normalized(x)))).alias("lines"))
-    own = stage(own.groupBy("host", "doc").agg(F.first("lines").alias("lines")), "distinct_texts")
-    hosts = own.groupBy("host").agg(F.count("*").alias("docs"))
-    counts = stage(own.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > least), "line_counts")
-    above = counts.join(stage(hosts, "hosts"), "host").filter(F.col("n") > share * F.col("docs"))
-    return above.groupBy("host").agg(F.collect_set("line").alias("frequent"))
-
-
-def judge(docs: DataFrame, share: float = SHARE, least: int = LEAST, depleted: float = DEPLETED) -> DataFrame:
-    """(doc_id, text, source, ...) -> one row per document with its measures, base_failed and kept.
-
-    Lines that too many of the host's documents have are removed; a document that loses over `depleted` of its words is
-    rejected. The host is `source`; null is a host of its own. A null text has no words and fails the base rules;
-    repeated rows stay and count once in line counts; an empty table gives no rows. Two windows count as equal if
-    their 64-bit hashes are; a text of a million windows has such a pair by chance in 3 of 10^8 cases."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"))
-    frequent = stage(frequent_lines(docs, share, least), "frequent")
+def measures(docs: DataFrame) -> DataFrame:
+    """One pass over the texts: doc_id, source, the base measures of each row, and its line_table as `lines`; a null text is empty, a null source its own host."""
     text = F.col("text")
-    own = docs.join(frequent.withColumnRenamed("host", "source"), "source", "left")
-    own = own.withColumn("_words", words(text)).withColumn("_lines", lines(text))
-    lost = F.aggregate(
-        F.filter(line_table(text), lambda x: F.array_contains("frequent", x["line"])), F.lit(0).cast("long"), lambda a, x: a + x["n"]
-    )
-    got = own.select(
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"))
+    own = own.select("*", words(text).alias("_words"), lines(text).alias("_lines"), line_table(text).alias("lines"))
+    return own.select(
         "doc_id",
+        "source",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
-        F.when(F.col("frequent").isNull(), F.lit(0).cast("long")).otherwise(lost).alias("n_boilerplate_words"),
+        "lines",
     )
+
+
+def frequent_lines(measured: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """(doc_id, source, lines) -> (source, frequent array<long>): of each host, the lines that over `least` and over
+    `share` of its distinct documents have.
+
+    A document is a doc_id: rows repeated with it count once, copies under other ids count each; rows without one are
+    one document together. Counts are combined before each shuffle, and a host's rows are dealt by line, so a host with
+    a third of all rows is many tasks' work. A host has at most the average number of lines over `share` such lines,
+    so the arrays are bounded whatever its size; the number of documents that a line needs grows with the host."""
+    document = F.struct("doc_id")
+    hosts = measured.groupBy("source").agg(F.count_distinct(document).alias("docs"))
+    one = measured.select("source", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    counts = stage(one.groupBy("source", "line").agg(F.count_distinct(document).alias("n")).filter(F.col("n") > least), "line_counts")
+    above = counts.join(stage(hosts, "hosts"), "source").filter(F.col("n") > share * F.col("docs"))
+    return above.groupBy("source").agg(F.collect_set("line").alias("frequent"))
+
+
+def cleaned(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    """docs with `text` less the lines that are frequent on the row's host; all other columns, rows and lines stay.
+
+    Blank lines stay. A null text stays null; a null source is a host of its own; no column name clashes. Whole texts move only if
+    `frequent` is past Spark's limit for broadcasts, and then adaptive execution splits a hot host."""
+    host, lost = new_names(docs, "_host", "_frequent")
+    own = frequent.select(F.col("source").alias(host), F.col("frequent").alias(lost))
+    rows = docs.join(own, F.coalesce(docs["source"], F.lit("")) == F.col(host), "left")
+    keep = F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains(lost, F.xxhash64(normalized(x)))))
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
+    return rows.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+
+
+def judged(measured: DataFrame, frequent: DataFrame, depleted: float = DEPLETED) -> DataFrame:
+    """measures with n_boilerplate_words (words in frequent lines), base_failed and kept; no text is needed."""
+    lost = F.aggregate(F.filter("lines", lambda x: F.array_contains("frequent", x["line"])), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    got = measured.join(frequent, "source", "left").withColumn("n_boilerplate_words", F.when(F.col("frequent").isNull(), F.lit(0).cast("long")).otherwise(lost))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    return got.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_boilerplate_words") <= depleted * F.col("n_words")))
+    got = got.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_boilerplate_words") <= depleted * F.col("n_words")))
+    return got.drop("source", "lines", "frequent")
+
+
+def judge(docs: DataFrame, share: float = SHARE, least: int = LEAST, depleted: float = DEPLETED) -> DataFrame:
+    """(doc_id, text, source, ...) -> one row per document with its measures, base_failed and kept.
+
+    Lines that too many of the host's documents have are removed; a document that loses over `depleted` of its words is
+    rejected. The host is `source`; null is a host of its own. A null text has no words and fails the base rules;
+    repeated rows stay and count once in line counts; very long texts are measured whole; an empty table gives no rows;
+    other columns are left out. Two windows count as equal if their 64-bit hashes are; a text of a million windows has
+    such a pair by chance in 3 of 10^8 cases."""
+    measured = stage(measures(docs), "measures")
+    return judged(measured, stage(frequent_lines(measured, share, least), "frequent"), depleted)
+
+
+def quality_stage(docs: DataFrame, share: float = SHARE, least: int = LEAST, depleted: float = DEPLETED) -> DataFrame:
+    """The documents that are kept, with all their columns, and their texts less frequent lines. A row is kept by what it
+    holds itself, so repeated rows and clashing column names need no care; nulls, empty and long texts as in judge and cleaned."""
+    frequent = stage(frequent_lines(stage(measures(docs), "measures"), share, least), "frequent")
+    host, lost = new_names(docs, "_host", "_frequent")
+    own = frequent.select(F.col("source").alias(host), F.col("frequent").alias(lost))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.join(own, F.coalesce(docs["source"], F.lit("")) == F.col(host), "left")
+    gone = F.aggregate(F.filter(line_table(text), lambda x: F.array_contains(lost, x["line"])), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+
+    def good(own: Column) -> Column:
+        n = F.size(own)
+        return (n >= MIN_WORDS) & (100 * repeated_words(own) <= REPEATED_PERCENT * n) & (F.col(lost).isNull() | (gone <= depleted * n))
+
+    return cleaned(rows.filter(_let(words(text), good)).select(*(docs[c] for c in docs.columns)), frequent)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
+
+
+_SPACE = "[\\x20\\x09-\\x0D]"
+OP8_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents),
+w AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) > 5),
+t AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i : i + 4]) AS c FROM g) WHERE c > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM t) GROUP BY doc_id),
+x AS (SELECT doc_id, source, unnest(l) AS line FROM w),
+y AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '{_SPACE}+', ' ', 'g'), '[0-9]+', '0', 'g')) AS line, len(list_filter(regexp_split_to_array(line, '{_SPACE}+'), lambda x: x <> '')) AS n FROM x),
+h AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
+f AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT doc_id) AS c FROM y GROUP BY source, line) JOIN h USING (source) WHERE c > {LEAST} AND c > {SHARE} * docs),
+b AS (SELECT doc_id, sum(n) AS n FROM y JOIN f USING (source, line) GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{_SPACE}', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_boilerplate_words FROM w LEFT JOIN r USING (doc_id) LEFT JOIN b USING (doc_id)),
+e AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEATED_PERCENT} * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND n_boilerplate_words <= {DEPLETED} * n_words AS kept FROM e
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": urls.OP1_SQL, "op10_exact_dedup": exact.OP10_SQL}
+    return {"op1_url_filter": urls.OP1_SQL, "op8_line_quality": quality.OP8_SQL, "op10_exact_dedup": exact.OP10_SQL}

@@ -66,9 +66,47 @@ def test_boilerplate_lines(spark):
     got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[k].kept and got[k].n_boilerplate_words == 14 for k in range(100))
     assert not got[200].kept and got[201].kept and got[202].kept
-    # copies of one document don't make its lines boilerplate
-    rows = [(k, own(0), "h") for k in range(100)] + [(k, own(k), "h") for k in range(101, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = {r.doc_id: r.text for r in quality.quality_stage(docs).collect()}
+    assert left[5] == own(5) and left[201] == boiler and left[202] == own(0) + "\n" + boiler and 200 not in left
+    # rows repeated with one doc_id count once, copies under other ids each
+    rows = [(1, own(0), "h")] * 100 + [(k, own(k), "h") for k in range(101, 140)]
     assert all(r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    rows = [(k, own(0), "h") for k in range(100)] + [(k, own(k), "h") for k in range(101, 140)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r.kept == (r.doc_id > 100) for r in got)
+
+
+def slow_lines(rows, share=quality.SHARE, least=quality.LEAST):
+    norm = lambda x: re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", x.lower())).strip(" ")
+    docs, having = defaultdict(set), defaultdict(set)
+    for r in rows:
+        docs[r.source or ""].add(r.doc_id)
+        for x in (r.text or "").split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", x):
+                having[r.source or "", norm(x)].add(r.doc_id)
+    often = {k for k, v in having.items() if len(v) > least and len(v) > share * len(docs[k[0]])}
+    out = []
+    for r in rows:
+        parts = (r.text or "").split("\n")
+        lost = [x for x in parts if (r.source or "", norm(x)) in often and re.search(r"[^\x20\x09-\x0D]", x)]
+        n, gone = len((r.text or "").split()), sum(len(x.split()) for x in lost)
+        kept = not slow_quality(r.text)[-1] and gone <= quality.DEPLETED * n
+        clean = None if r.text is None else "\n".join(x for x in parts if x not in lost)
+        out.append((r.doc_id, gone, kept, clean))
+    return out
+
+
+def test_verdicts_and_texts_equal_brute_force(spark, odd, nothing):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    for df, limits in ((docs, (0.05, 1)), (odd.select("doc_id", "text", "source"), (0.1, 2))):
+        want = slow_lines(df.collect(), *limits)
+        got = quality.judge(df, *limits).select("doc_id", "n_boilerplate_words", "kept").collect()
+        assert sorted(str(tuple(r)) for r in got) == sorted(str(x[:3]) for x in want)
+        assert any(x[1] for x in want)
+        left = quality.quality_stage(df, *limits).select("doc_id", "text").collect()
+        assert sorted(str(tuple(r)) for r in left) == sorted(str((x[0], x[3])) for x in want if x[2])
+    assert quality.quality_stage(odd).dtypes == odd.dtypes and quality.quality_stage(nothing).count() == 0
 
 
 def test_surrogates(spark):
