@@ -213,19 +213,19 @@ def write_token_files(tokens: DataFrame, to: str, end_id: int) -> None:
     cuts = tokens.approxQuantile("doc_id", [k / p for k in range(1, p)], 0.1 / p) if p > 1 else []
     cuts = np.array(cuts, np.float64)
 
-    def range_of(doc_id: int | None, body: bytes) -> int:
-        if doc_id is None:
-            return 0
-        lo, hi = (int(np.searchsorted(cuts, doc_id, side)) for side in ("left", "right"))
-        return lo + 1 + zlib.crc32(body) % (hi - lo) if hi - lo > 1 else hi
+    def ranges_of(doc_ids: pa.Array, bodies: list[bytes]) -> np.ndarray:
+        there, ids = doc_ids.is_valid().to_numpy(zero_copy_only=False), doc_ids.fill_null(0).to_numpy()
+        lo, hi = (np.searchsorted(cuts, ids, side) for side in ("left", "right"))
+        for k in np.flatnonzero(there & (hi - lo > 1)):
+            hi[k] = lo[k] + 1 + zlib.crc32(bodies[k]) % (hi[k] - lo[k])
+        return np.where(there, hi, 0).astype(np.int32)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for batch in batches for x in _chunks(batch, "ids")):
             ids = b.column(1).to_pylist()
             packed, start, marks = pack(np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64), lengths, codes)
             bodies = [packed[x:y] for x, y in zip(start[:-1], start[1:], strict=False)]
-            part = [range_of(x, body) for x, body in zip(b.column(0).to_pylist(), bodies, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(bodies, pa.binary()), pa.array([m.astype("<u4").tobytes() for m in marks], pa.binary())], ["part", "doc_id", "n", "body", "marks"])
+            yield pa.RecordBatch.from_arrays([pa.array(ranges_of(b.column(0), bodies)), b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(bodies, pa.binary()), pa.array([m.astype("<u4").tobytes() for m in marks], pa.binary())], ["part", "doc_id", "n", "body", "marks"])
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, before, rows, held = TaskContext.get().partitionId(), 0, 0, [], 0
