@@ -21,7 +21,7 @@ SAMPLE = 4000
 TERMS, CHI = 8192, 12.0
 #: Terms in most documents of the sample among which pairs are sought, pairs that are kept, and how far a pair's
 #: statistic has to be above that of either of its terms: with so many pairs, chance gives less.
-COMMON, PAIRS, BEYOND = 3072, 512, 40.0
+COMMON, PAIRS, BEYOND = 2048, 512, 40.0
 #: Documents of the sample that a term needs.
 LEAST = 5
 #: Lengths of the word beginnings that are terms beside the word.
@@ -65,19 +65,21 @@ def chi_squared(a: np.ndarray, total: np.ndarray, n1: int, n0: int) -> np.ndarra
 
 
 def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, chi: np.ndarray, most: int = PAIRS, beyond: float = BEYOND) -> np.ndarray:
-    """Terms (places in `chi`, their own statistics) of pairs that tell together far more than either does alone. A
-    pair's counts are a product of the documents' presence matrix with itself."""
+    """Terms (places in `chi`, their own statistics) of pairs that tell together far more than either does alone. Each
+    term has the documents that it is in as bits, so a pair is counted by the bits that both have."""
+    order = np.argsort(-labels, kind="stable")
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    present = np.zeros((len(rows), len(chi)), np.float32)
-    for k, own in enumerate(rows):
-        present[k, own] = 1
-    a = present[labels == 1].T @ present[labels == 1]
-    total = a + present[labels == 0].T @ present[labels == 0]
-    gain = chi_squared(a, total, n1, n0) - np.maximum(chi[:, None], chi[None, :])
-    gain[(total < LEAST) | ~np.tri(len(chi), k=-1, dtype=bool)] = 0
-    top = np.argsort(-gain, axis=None, kind="stable")[:most]
-    top = top[gain.ravel()[top] >= beyond]
-    return np.unique(np.r_[top // max(1, len(chi)), top % max(1, len(chi))]).astype(int)
+    bits = np.zeros((len(chi), -(-n1 // 64) * 64 + -(-n0 // 64) * 64), bool)
+    for k, doc in enumerate(order):
+        bits[rows[doc], k if labels[doc] else k - int(labels.sum()) + -(-n1 // 64) * 64] = True
+    bits, ones, best = np.packbits(bits, axis=1).view(np.uint64), -(-n1 // 64), []
+    for i in range(1, len(chi)):
+        both = np.bitwise_count(bits[:i] & bits[i])
+        a, total = both[:, :ones].sum(1, dtype=np.int64), both.sum(1, dtype=np.int64)
+        gain = chi_squared(a, total, n1, n0) - np.maximum(chi[i], chi[:i])
+        best += [(-float(gain[j]), i, int(j)) for j in np.flatnonzero((gain >= beyond) & (total >= LEAST))]
+        best = sorted(best)[:most] if len(best) > 4 * most else best
+    return np.unique([t for _, i, j in sorted(best)[:most] for t in (i, j)]).astype(int)
 
 
 def fit(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, share: float, factors: int = 4, rounds: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
@@ -185,13 +187,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriz
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [np.searchsorted(every, x[np.isin(x, every)]).tolist() for x in (np.array(t, np.int64) for t in b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(own, pa.list_(pa.int16()))], ["toxic", "own"])
+            own = [np.searchsorted(every, x[np.isin(x, every)]).astype("<i2").tobytes() for x in (np.array(t, np.int64) for t in b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(own, pa.binary())], ["toxic", "own"])
 
-    rows = found.mapInArrow(places, "toxic long, own array<short>").toPandas()
-    rows["key"] = [np.asarray(x, np.int16).tobytes() for x in rows["own"]]
-    rows = rows.sort_values(["toxic", "key"], kind="stable")
-    own, labels_ = [np.asarray(x, np.int64) for x in rows["own"]], rows["toxic"].to_numpy(np.int64)
+    rows = sorted((r[0], bytes(r[1])) for r in found.mapInArrow(places, "toxic long, own binary").toLocalIterator())
+    own, labels_ = [np.frombuffer(x, "<i2").astype(np.int32) for _, x in rows], np.array([y for y, _ in rows], np.int64)
     # among the common terms, by their places
     keys = np.array(sorted(common), np.int64)
     at = np.full(len(every), -1)
