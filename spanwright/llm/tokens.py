@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +14,7 @@ _PLAIN = re.compile("[\t-\r\x20-\x7e\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 #: What the vocabulary's splitter makes of such text, as a pattern of `re`. Fixed value.
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9ªº]|[^\\s{_LETTERS}0-9]+")
 #: Entries of a generation of a worker's cache; a full one becomes the old one, whose entries live on if used again.
-CACHE = 150_000
+CACHE = 450_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -50,9 +51,19 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        letters, model = _byte_letters(), self.library.model
-        piece = _Cache(lambda w: np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))], "<u4").tobytes())
-        self.word = _Cache(lambda w: piece[w] if w.isascii() and w.isalpha() else b"".join([piece[x] for x in _PIECES.findall(w)]))
+        letters, tokenize = _byte_letters(), self.library.model.tokenize
+
+        def piece(p: str) -> bytes:
+            # printable ASCII letters stand for themselves
+            return array("I", [t.id for t in tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters))]).tobytes()
+
+        def word(w: str) -> bytes:
+            if w.isascii() and w.isalpha():
+                return piece(w)
+            pieces = _PIECES.findall(w)
+            return piece(w) if len(pieces) == 1 else b"".join([known[x] for x in pieces])
+
+        self.word = known = _Cache(word)
 
     def __call__(self, text: str) -> bytes:
         if "<|" not in text and _PLAIN.fullmatch(text):
