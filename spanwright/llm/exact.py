@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 from .common import partitions, stage, table
 
 #: Bytes of strings that a trie holds before a subtree is spilled.
-HELD = 64 << 20
+HELD = 24 << 20
 #: Content-hash values of each band of lengths, for each shuffle partition; a spilled subtree is dealt by so many times more.
 DEALT, FINER = 4, 256
 _SPACE = b" \t\n\x0b\x0c\r"

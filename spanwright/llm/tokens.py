@@ -14,7 +14,7 @@ _PLAIN = re.compile("[\t-\r\x20-\x7e\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 #: What the vocabulary's splitter makes of such text, as a pattern of `re`. Fixed value.
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9ªº]|[^\\s{_LETTERS}0-9]+")
 #: Entries of a generation of a worker's cache; a full one becomes the old one, whose entries live on if used again.
-CACHE = 450_000
+CACHE = 400_000
 
 
 def _byte_letters() -> dict[int, str]:

@@ -28,7 +28,7 @@ LEAST = 5
 STEMS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 #: Entries of a task's cache of words.
-CACHE = 1_000_000
+CACHE = 250_000
 
 
 def term_hashes(word: str) -> set[int]:
