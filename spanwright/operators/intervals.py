@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import over_others
+from .ordered import Over, over_others
 
 BUCKET_MS = 86_400_000
 
@@ -27,10 +27,10 @@ def islands(spans: DataFrame, keys: list[str], gap_ms: int, bucket_ms: int = BUC
     # rows of equal start and end are alike, so counting them makes the order total
     rows = _whole(spans, keys).groupBy(*keys, "start_ms", "end_ms").agg(F.count("*").alias("n"))
     order, bucket = ["start_ms", "end_ms"], _bucket("start_ms", bucket_ms)
-    rows = over_others(rows, keys, order, F.col("end_ms"), "_reach", "max", bucket)
+    rows = over_others(rows, keys, order, bucket, Over("_reach", "max", F.col("end_ms")))
     opens = F.when(F.col("_reach").isNull() | (F.col("start_ms") > F.col("_reach") + gap_ms), F.col("start_ms"))
     rows = rows.withColumn("_opens", opens)
-    rows = over_others(rows, keys, order, F.col("_opens"), "_before", "max", bucket)
+    rows = over_others(rows, keys, order, bucket, Over("_before", "max", F.col("_opens")))
     return rows.withColumn("island_ms", F.coalesce("_opens", "_before")).drop("_reach", "_opens", "_before")
 
 
@@ -53,7 +53,7 @@ def union_length(spans: DataFrame, keys: list[str]) -> DataFrame:
 def gaps(spans: DataFrame, keys: list[str], least_ms: int, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Between merged runs, what lasts least_ms or longer."""
     runs = merge(spans, keys, 0, 0, bucket_ms)
-    runs = over_others(runs, keys, ["start_ms"], F.col("start_ms"), "_next", "min", _bucket("start_ms", bucket_ms), later=True)
+    runs = over_others(runs, keys, ["start_ms"], _bucket("start_ms", bucket_ms), Over("_next", "min", F.col("start_ms"), later=True))
     return runs.filter(F.col("_next") - F.col("end_ms") >= least_ms).select(*keys, F.col("end_ms").alias("start_ms"), F.col("_next").alias("end_ms"))
 
 
@@ -66,11 +66,9 @@ def sweep(left: DataFrame, right: DataFrame, keys: list[str], bucket_ms: int = B
     """(keys, start_ms, end_ms, a, b): between neighbouring boundaries, how many of either side's intervals hold."""
     steps = _steps(_whole(left, keys), keys, "a").unionByName(_steps(_whole(right, keys), keys, "b"))
     steps = steps.groupBy(*keys, "t").agg(F.sum("a").alias("da"), F.sum("b").alias("db"))
-    bucket = _bucket("t", bucket_ms)
-    for d in ("a", "b"):
-        steps = over_others(steps, keys, ["t"], F.col(f"d{d}"), d, "sum", bucket).withColumn(d, F.coalesce(d, F.lit(0)) + F.col(f"d{d}"))
-    steps = over_others(steps, keys, ["t"], F.col("t"), "_next", "min", bucket, later=True)
-    return steps.filter("_next is not null").select(*keys, F.col("t").alias("start_ms"), F.col("_next").alias("end_ms"), "a", "b")
+    steps = over_others(steps, keys, ["t"], _bucket("t", bucket_ms), Over("a", "sum", F.col("da")), Over("b", "sum", F.col("db")), Over("_next", "min", F.col("t"), later=True))
+    held = [(F.coalesce(d, F.lit(0)) + F.col(f"d{d}")).alias(d) for d in ("a", "b")]
+    return steps.filter("_next is not null").select(*keys, F.col("t").alias("start_ms"), F.col("_next").alias("end_ms"), *held)
 
 
 def subtract(spans: DataFrame, cover: DataFrame, keys: list[str], least_ms: int = 0) -> DataFrame:
@@ -114,7 +112,7 @@ def _latest(points: DataFrame, marks: DataFrame, keys: list[str], bucket_ms: int
     both = mine.select(F.struct(*columns).alias("_point"), *keys, F.col("t_ms").alias("_t")).withColumn("_run", F.lit(None).cast(marks.schema["_run"].dataType))
     every = both.unionByName(marks, allowMissingColumns=True).withColumn("_side", F.col("_point").isNotNull().cast("int") * (-1 if later else 1)).withColumn("_row", F.monotonically_increasing_id())
     value = F.when(F.col("_run").isNotNull(), F.struct("_t", "_run"))
-    got = over_others(every, keys, ["_t", "_side", "_row"], value, "_found", "min" if later else "max", F.floor(F.col("_t") / bucket_ms), later)
+    got = over_others(every, keys, ["_t", "_side", "_row"], F.floor(F.col("_t") / bucket_ms), Over("_found", "min" if later else "max", value, later))
     return got.filter("_point is not null").select("_point.*", F.col("_found._run").alias("_run"))
 
 

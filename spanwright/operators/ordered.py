@@ -2,34 +2,48 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
+
 _HOW = {"max": F.max, "min": F.min, "sum": F.sum}
 
 
-def over_others(df: DataFrame, keys: list[str], order: list[str], value: Column, to: str, how: str, bucket: Column, later: bool = False) -> DataFrame:
-    """df with `to`: max, min or sum of `value` over all earlier (or later) rows of the key; null where there is none.
+class Over(NamedTuple):
+    """A value over all earlier (or later) rows of the key: how is max, min or sum."""
+
+    to: str
+    how: str
+    value: Column
+    later: bool = False
+
+
+def over_others(df: DataFrame, keys: list[str], order: list[str], bucket: Column, *values: Over) -> DataFrame:
+    """df with each value's `to`; null where there is no earlier (later) row.
 
     `order` must be total in a key and `bucket` must not fall along it. A key's rows are dealt over its buckets: the
     buckets' own values (combined before the shuffle) are accumulated in one small window, and each bucket's rows in
-    another, so a key with a third of all rows is many tasks' work. Keys must not be null."""
-    combine = _HOW[how]
-    df = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    end = Window.unboundedPreceding
-    sign = (lambda c: F.col(c).desc()) if later else F.col
-    totals = df.groupBy(*keys, "_bucket").agg(combine("_value").alias("_total"))
-    over = Window.partitionBy(*keys).orderBy(sign("_bucket")).rowsBetween(end, -1)
-    base = totals.select(*keys, "_bucket", combine("_total").over(over).alias("_base"))
-    inside = combine("_value").over(Window.partitionBy(*keys, "_bucket").orderBy(*map(sign, order)).rowsBetween(end, -1))
-    both = df.withColumn("_own", inside).join(base, [*keys, "_bucket"])
-    if how == "sum":
-        found = F.coalesce(F.col("_own") + F.col("_base"), "_own", "_base")
-    else:
-        found = (F.greatest if how == "max" else F.least)("_own", "_base") if dict(both.dtypes)["_own"][:6] != "struct" else _of_structs(how)
-    return both.withColumn(to, found).drop("_bucket", "_value", "_total", "_base", "_own")
-
-
-def _of_structs(how: str) -> Column:
-    pick = F.array_max if how == "max" else F.array_min
-    return pick(F.filter(F.array("_own", "_base"), lambda x: x.isNotNull()))
+    another, so a key with a third of all rows is many tasks' work. All values take one pass, over a staged copy of df,
+    as it is read for the buckets and for the rows. Keys must not be null."""
+    columns = df.columns
+    df = staged(df.select("*", bucket.alias("_bucket"), *(v.value.alias(f"_v{k}") for k, v in enumerate(values))), "ordered")
+    totals = df.groupBy(*keys, "_bucket").agg(*(_HOW[v.how](f"_v{k}").alias(f"_t{k}") for k, v in enumerate(values)))
+
+    def over(part: list[str], by: list[str], later: bool) -> Window:
+        sign = (lambda c: F.col(c).desc()) if later else F.col
+        return Window.partitionBy(*part).orderBy(*map(sign, by)).rowsBetween(Window.unboundedPreceding, -1)
+
+    base = totals.select(*keys, "_bucket", *(_HOW[v.how](f"_t{k}").over(over(keys, ["_bucket"], v.later)).alias(f"_b{k}") for k, v in enumerate(values)))
+    inside = df.select("*", *(_HOW[v.how](f"_v{k}").over(over([*keys, "_bucket"], order, v.later)).alias(f"_o{k}") for k, v in enumerate(values)))
+    both = inside.join(base, [*keys, "_bucket"])
+
+    def found(k: int, how: str) -> Column:
+        own, before = F.col(f"_o{k}"), F.col(f"_b{k}")
+        if how == "sum":
+            return F.coalesce(own + before, own, before)
+        return (F.array_max if how == "max" else F.array_min)(F.filter(F.array(own, before), lambda x: x.isNotNull()))
+
+    return both.select(*columns, *(found(k, v.how).alias(v.to) for k, v in enumerate(values)))

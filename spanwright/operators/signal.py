@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import over_others
+from .ordered import Over, over_others
 
 
 def rms_per_hop(samples: DataFrame, keys: list[str], hop: int) -> DataFrame:
@@ -17,7 +17,7 @@ def bucket_max_carried(samples: DataFrame, keys: list[str], size: int) -> DataFr
     """Maximum of each bucket; a bucket of zero takes the last that isn't, through any number of zeros."""
     top = samples.groupBy(*keys, F.floor(F.col("i") / size).alias("b")).agg(F.max("x").alias("x"))
     value = F.when(F.col("x") != 0, F.struct("b", "x"))
-    top = over_others(top, keys, ["b"], value, "_last", "max", F.floor(F.col("b") / 4096))
+    top = over_others(top, keys, ["b"], F.floor(F.col("b") / 4096), Over("_last", "max", value))
     return top.select(*keys, "b", F.when(F.col("x") != 0, F.col("x")).otherwise(F.coalesce("_last.x", F.lit(0.0))).alias("x"))
 
 

@@ -83,6 +83,10 @@ r AS (SELECT doc_id, item_id, CAST(min(place) AS INTEGER) AS doc_from, CAST(max(
 runs AS (SELECT * FROM (SELECT *, round(matched / (canon_to - canon_from), 6) AS score FROM r) WHERE matched >= 4 AND score >= 0.55)"""
 
 SQL = {
+    "media_types": """WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u, regexp_extract(url, '([^/]*)$', 1) AS id FROM pages),
+x AS (SELECT *, lower(regexp_extract(u, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM p)
+SELECT page_id, CASE ext %s ELSE 'application/octet-stream' END AS kind, regexp_full_match(id, '[A-Za-z0-9_-]{1,64}') AS valid FROM x"""
+    % " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.MEDIA.items()),
     "normalized_tokens": f"SELECT doc_id, md5({_FOLD}) AS digest, CAST(len({_words(_FOLD)}) AS BIGINT) AS n_words FROM documents",
     "token_stats": f"SELECT word, count(*) AS n, count(DISTINCT conv_id) AS df FROM (SELECT conv_id, unnest({_words('text')}) AS word FROM conversations) GROUP BY word",
     "inverted_index": f"SELECT word, count(DISTINCT item_id) AS df, count(*) AS n, min(item_id) AS first_key FROM (SELECT item_id, unnest({_words('text')}) AS word FROM benchmark) GROUP BY word",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import millis
 from ..operators import cues, edges, intervals, runs, signal
-from ..operators.ordered import over_others
+from ..operators.ordered import Over, over_others
 from ..sources import subtitles
 from ..sources.shared import new_path, table
 from ..streaming import state
@@ -84,14 +84,22 @@ def expired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replays `events` as a stream into a table in the shared folder; sessions still open at the end of the watermark stay out."""
+    """Replays `events` as a stream into a table in the shared folder; what is still open at the end of the watermark is
+    worked out from each user's events behind the last session that the stream gave out."""
     # a pattern, as a stream's path that is no pattern has to be a folder
     path = f"{sf_dir}/events.parque[t]"
-    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(path).select("user_id", F.col("ts").cast("timestamp").alias("at"))
+    events_ = table(spark, sf_dir, "events")
+    columns = ["user_id", F.col("ts").cast("timestamp").alias("at")]
+    stream = spark.readStream.schema(events_.schema).parquet(path).select(*columns)
     to, log = new_path(spark, "sessions"), new_path(spark, "sessions-log")
     query = state.sessions(stream, "user_id", "at", "30 minutes", "1 hour").writeStream.format("parquet").option("path", to).option("checkpointLocation", log).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema("user_id long, start timestamp, end timestamp, n_events long").parquet(to)
+    done = spark.read.schema("user_id long, start timestamp, end timestamp, n_events long").parquet(to)
+    last = done.groupBy("user_id").agg(F.max("end").alias("last"))
+    rest = events_.select(*columns).dropna().join(last, "user_id", "left").filter("last is null or at > last")
+    every = done.unionByName(state.sessions(rest, "user_id", "at", "30 minutes", "1 hour"))
+    ms = lambda c: millis(F.col(c).cast("timestamp_ntz")).alias(f"{c}_ms")
+    return every.select("user_id", ms("start"), ms("end"), "n_events")
 
 
 def words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +119,7 @@ def clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = over_others(phrases(spark, sf_dir), KEY, ["start_ms", "phrase_id"], F.col("start_ms"), "_next", "min", F.floor(F.col("start_ms") / DAY), later=True)
+    rows = over_others(phrases(spark, sf_dir), KEY, ["start_ms", "phrase_id"], F.floor(F.col("start_ms") / DAY), Over("_next", "min", F.col("start_ms"), later=True))
     rows = rows.select("*", (F.col("phrase_id") % 2 == 0).alias("held"), (F.col("event_type") == "signup").alias("final"), (F.col("_next") - cues.LEAST_GAP).alias("cap_ms"))
     spans = intervals.coalesce(speech(spark, sf_dir), KEY)
     return edges.hold_tails(rows, spans, of(spark, sf_dir, "error")).select("clip_id", "phrase_id", "start_ms", "end_ms")
@@ -121,6 +129,18 @@ def onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.onset_issues(phrases(spark, sf_dir), intervals.merge(speech(spark, sf_dir), KEY), of(spark, sf_dir, "error"), 100 * DAY)
 
 
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as words of a transcript: their places in a canon rise and step back."""
+    order = Window.partitionBy("clip_id").orderBy("t_ms", "event_id")
+    rows = events(spark, sf_dir).select("clip_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), "start_ms", F.least("end_ms", F.col("start_ms") + 60_000).alias("end_ms"), "event_id")
+    return rows.withColumn("place", F.when(F.col("event_id") % 13 != 0, F.col("idx") - F.col("event_id") % 3))
+
+
+def cue_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cues.phrases(placed(spark, sf_dir), silence(spark, sf_dir))
+    return cues.grouped(rows, 30 * MINUTE).select("clip_id", "phrase", "idx", F.col("cue").cast("long").alias("cue"))
+
+
 def energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.energy_segments(samples(spark, sf_dir).select("clip_id", F.col("i").alias("hop"), F.col("x").alias("rms")), KEY, on_share=0.3, off_share=0.25)
 
@@ -155,6 +175,10 @@ QUERIES = {
     "trimmed_cues": lambda s, d: cues.trim_overhang(cue_rows(s, d), silence(s, d)),
     "closed_cue_gaps": lambda s, d: cues.close_gaps(cue_rows(s, d), silence(s, d)),
     "corrected_words": lambda s, d: cues.corrected_words(words_of(s, d), intervals.coalesce(speech(s, d), KEY)),
+    "silence_between_words": lambda s, d: cues.silence_between(words_of(s, d), silence(s, d)),
+    "pause_phrases": lambda s, d: cues.phrases(words_of(s, d), silence(s, d)),
+    "stamp_phrases": lambda s, d: cues.phrases(words_of(s, d), None),
+    "cue_groups": cue_groups,
     "snapped_words": lambda s, d: cues.snap_words(words_of(s, d), silence(s, d)),
     "shown_cues": lambda s, d: cues.show(cue_rows(s, d), silence(s, d)),
     "audit_issues": lambda s, d: cues.audit(cue_rows(s, d), speech(s, d)),
@@ -204,6 +228,12 @@ pool AS (SELECT clip_id, CAST(b AS BIGINT) AS b, coalesce(x, 0) AS x FROM (SELEC
 _FIRST = "first AS (SELECT clip_id, event_type, event_id, t_ms FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, event_type ORDER BY t_ms, event_id) AS k FROM ev) WHERE k = 1)"
 _CLOCK = lambda c, mark: f"lpad(CAST({c} // 3600000 AS VARCHAR), CAST(greatest(2, length(CAST({c} // 3600000 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST({c} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({c} // 1000 % 60 AS VARCHAR), 2, '0') || '{mark}' || lpad(CAST({c} % 1000 AS VARCHAR), 3, '0')"
 _BLOCKS = lambda mark: f"blocks AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY start_ms, end_ms, text) AS n, row_number() OVER (PARTITION BY clip_id ORDER BY start_ms, end_ms, text) || chr(10) || {_CLOCK('start_ms', mark)} || ' --> ' || {_CLOCK('end_ms', mark)} || chr(10) || text || chr(10) AS block FROM cap)"
+_WORDS = "words AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY t_ms, event_id) - 1 AS idx, start_ms, end_ms FROM cap)"
+_BETWEEN = """nx AS (SELECT *, lead(start_ms) OVER (PARTITION BY clip_id ORDER BY idx) AS until FROM words),
+bt AS (SELECT n.clip_id, n.idx, any_value(n.start_ms) AS start_ms, any_value(n.end_ms) AS end_ms, any_value(until - n.end_ms) AS gap_ms,
+  CASE WHEN any_value(until) IS NOT NULL THEN CAST(coalesce(sum(greatest(0, least(g.end_ms, until + 120) - greatest(g.start_ms, n.end_ms - 120))) FILTER (g.clip_id IS NOT NULL), 0) AS BIGINT) END AS silent_ms
+  FROM nx n LEFT JOIN g ON n.clip_id = g.clip_id AND g.start_ms < until + 120 AND g.end_ms > n.end_ms - 120 GROUP BY n.clip_id, n.idx),
+ph AS (SELECT clip_id, idx, start_ms, end_ms, coalesce(sum(CASE WHEN silent_ms >= 400 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS phrase FROM bt)"""
 _AUDIT = (
     _gaps(400, "br"),
     "wide AS (SELECT clip_id, start_ms - 20 AS start_ms, end_ms + 60 AS end_ms FROM cap)",
@@ -289,6 +319,74 @@ SQL = {
     ),
     "repaired_cues": _sql(select="SELECT clip_id, greatest(start_ms, lag(end_ms) OVER (PARTITION BY clip_id ORDER BY start_ms, end_ms)) AS start_ms, end_ms, text FROM cap"),
     "trimmed_cues": _sql(_gaps(250, "g"), select="SELECT c.clip_id, c.start_ms, coalesce(min(g.start_ms), c.end_ms) AS end_ms, c.text FROM cap c LEFT JOIN g ON c.clip_id = g.clip_id AND g.start_ms > c.start_ms AND g.start_ms < c.end_ms GROUP BY c.event_id, c.clip_id, c.start_ms, c.end_ms, c.text"),
+    "silence_between_words": _sql(_gaps(250, "g"), _WORDS, _BETWEEN, select="SELECT * FROM bt"),
+    "pause_phrases": _sql(_gaps(250, "g"), _WORDS, _BETWEEN, select="SELECT clip_id, idx, start_ms, end_ms, CAST(phrase AS BIGINT) AS phrase FROM ph"),
+    "stamp_phrases": _sql(
+        _WORDS,
+        "nx AS (SELECT *, coalesce(lead(start_ms) OVER (PARTITION BY clip_id ORDER BY idx) - end_ms >= 1000, false) AS cut FROM words)",
+        "rg AS (SELECT *, coalesce(sum(CAST(cut AS INTEGER)) OVER (PARTITION BY clip_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM nx)",
+        "st AS (SELECT clip_id, r, count(*) < 3 OR arg_max(end_ms, idx) - arg_min(start_ms, idx) < 1200 AS small FROM rg GROUP BY clip_id, r)",
+        "gr AS (SELECT clip_id, r, sum(CASE WHEN r > 0 AND NOT small THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY r ROWS UNBOUNDED PRECEDING) AS g FROM st)",
+        "jo AS (SELECT clip_id, idx, start_ms, end_ms, g FROM rg JOIN gr USING (clip_id, r))",
+        "fi AS (SELECT clip_id, (count(*) FILTER (g = 0) < 3 OR arg_max(end_ms, idx) FILTER (g = 0) - arg_min(start_ms, idx) FILTER (g = 0) < 1200) AND max(g) > 0 AS less FROM jo GROUP BY clip_id)",
+        select="SELECT clip_id, idx, start_ms, end_ms, CAST(greatest(0, g - CASE WHEN less THEN 1 ELSE 0 END) AS BIGINT) AS phrase FROM jo JOIN fi USING (clip_id)",
+    ),
+    "cue_groups": _sql(
+        _gaps(250, "g"),
+        "words AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY t_ms, event_id) - 1 AS idx, start_ms, least(end_ms, start_ms + 60000) AS end_ms, event_id FROM ev)",
+        _BETWEEN,
+        "pl AS (SELECT p.clip_id, phrase, p.idx, p.start_ms, p.end_ms, CASE WHEN event_id % 13 <> 0 THEN p.idx - event_id % 3 END AS place, row_number() OVER (PARTITION BY p.clip_id, phrase ORDER BY p.idx) AS k FROM ph p JOIN words w ON p.clip_id = w.clip_id AND p.idx = w.idx)",
+        """cg AS (SELECT clip_id, phrase, idx, k, place AS first, end_ms, 0 AS cue FROM pl WHERE k = 1 UNION ALL
+  SELECT p.clip_id, p.phrase, p.idx, p.k, CASE WHEN n THEN p.place ELSE c.first END, p.end_ms, c.cue + CASE WHEN n THEN 1 ELSE 0 END
+  FROM (SELECT p.*, c.first, c.cue, p.start_ms - c.end_ms >= 1800000 OR coalesce(p.place < c.first OR p.place - c.first >= 3, false) AS n FROM cg c JOIN pl p ON p.clip_id = c.clip_id AND p.phrase = c.phrase AND p.k = c.k + 1) p JOIN cg c ON p.clip_id = c.clip_id AND p.phrase = c.phrase AND p.k = c.k + 1)""",
+        select="SELECT clip_id, CAST(phrase AS BIGINT) AS phrase, idx, CAST(cue AS BIGINT) AS cue FROM cg",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    "snapped_words": _sql(
+        _gaps(250, "g"),
+        _WORDS,
+        "n AS (SELECT w.clip_id, idx, w.start_ms AS s, w.end_ms AS e, g.start_ms AS a, g.end_ms AS b FROM words w LEFT JOIN g ON w.clip_id = g.clip_id AND g.end_ms >= w.start_ms - 400 AND g.start_ms <= w.end_ms + 400)",
+        "m AS (SELECT *, greatest(s, max(CASE WHEN abs(s - b) <= 400 THEN b END) OVER (PARTITION BY clip_id, idx)) AS t FROM n)",
+        "o AS (SELECT *, greatest(t, least(e, min(CASE WHEN abs(e - a) <= 400 OR (b - a >= 400 AND a - t >= 200 AND a < e) THEN a END) OVER (PARTITION BY clip_id, idx))) AS u FROM m)",
+        "i AS (SELECT clip_id, idx, any_value(t) AS t, any_value(u) AS u, min(a) FILTER (b - a >= 400 AND 2 * t < a + b AND a + b < 2 * u) AS a, arg_min(b, a) FILTER (b - a >= 400 AND 2 * t < a + b AND a + b < 2 * u) AS b FROM o GROUP BY clip_id, idx)",
+        select="SELECT clip_id, idx, CASE WHEN a IS NULL OR t + u <= a + b THEN t ELSE least(u, b) END AS start_ms, CASE WHEN a IS NOT NULL AND t + u <= a + b THEN greatest(t, a) ELSE u END AS end_ms FROM i",
+    ),
+    "shown_cues": _sql(
+        _gaps(250, "g"),
+        "l AS (SELECT clip_id, event_id, start_ms, end_ms, text, greatest(0, start_ms - 20) AS t FROM cap)",
+        "p AS (SELECT l.*, greatest(t, (SELECT arg_min(g.end_ms, g.start_ms) FROM g WHERE g.clip_id = l.clip_id AND g.start_ms < t AND t <= g.end_ms + 30)) AS push FROM l)",
+        "q AS (SELECT *, lead(push) OVER (PARTITION BY clip_id ORDER BY start_ms, end_ms) AS nx, greatest(50, push) AS st FROM p)",
+        "c AS (SELECT clip_id, event_id, unnest([least(end_ms + 60, nx - 50), least(end_ms, nx - 50), least(st + 500, nx - 50)]) AS t FROM q)",
+        "e AS (SELECT event_id, max(least(t, (SELECT min(g.start_ms) FROM g WHERE g.clip_id = c.clip_id AND g.start_ms - 30 <= t AND t < g.end_ms))) AS en FROM c GROUP BY event_id)",
+        "r AS (SELECT q.*, CASE WHEN en > st THEN en ELSE st + 500 END AS en, CASE WHEN en > st OR nx IS NULL THEN 1 ELSE 0 END AS shown FROM q JOIN e USING (event_id))",
+        "h AS (SELECT *, coalesce(sum(shown) OVER (PARTITION BY clip_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM r)",
+        select="SELECT clip_id, arg_max(st, shown) AS start_ms, arg_max(en, shown) AS end_ms, list_reduce(list(text ORDER BY start_ms, end_ms), lambda h, t: CASE WHEN h = '' OR contains(t, h) THEN t ELSE h || ' ' || t END) AS text FROM h GROUP BY clip_id, k",
+    ),
+    "closed_cue_gaps": _sql(
+        _gaps(250, "g"),
+        "n AS (SELECT *, lead(start_ms) OVER (PARTITION BY clip_id ORDER BY start_ms, end_ms) AS nx FROM cap)",
+        "b AS (SELECT n.event_id, g.start_ms AS a, g.end_ms AS b FROM n JOIN g ON n.clip_id = g.clip_id AND nx - n.end_ms > 100 AND g.start_ms < nx - 20 AND g.end_ms > n.end_ms + 20)",
+        "c AS (SELECT n.clip_id, event_id, start_ms, nx, text, CASE WHEN coalesce(nx - end_ms <= 100, true) THEN end_ms WHEN f.a IS NULL THEN nx - 1 WHEN f.a > start_ms + 20 THEN f.a ELSE end_ms END AS end_ms FROM n LEFT JOIN (SELECT event_id, min(a) AS a FROM b GROUP BY event_id) f USING (event_id))",
+        "i AS (SELECT c.clip_id, greatest(b.b, c.end_ms) AS start_ms, coalesce(lead(b.a) OVER (PARTITION BY event_id ORDER BY b.a), nx) AS u, text FROM b JOIN c USING (event_id))",
+        select="SELECT clip_id, start_ms, end_ms, text FROM c UNION ALL SELECT clip_id, start_ms, u - 1, text FROM i WHERE u - start_ms > 100",
+    ),
+    "corrected_words": _sql(
+        *_SPANS,
+        _WORDS,
+        "j AS (SELECT w.clip_id, idx, any_value(w.start_ms) AS s, any_value(w.end_ms) AS e, min(v.start_ms) AS a, arg_min(v.end_ms, v.start_ms) AS b FROM words w JOIN spans v ON w.clip_id = v.clip_id AND w.end_ms >= w.start_ms AND least(w.end_ms, v.end_ms + 400) - greatest(w.start_ms, v.start_ms - 400) > 0 GROUP BY w.clip_id, idx)",
+        "d AS (SELECT *, a - min(s) OVER k AS d0, b - max(e) OVER k AS d1, count(*) OVER k AS n FROM j WINDOW k AS (PARTITION BY clip_id, a, b))",
+        "m AS (SELECT clip_id, idx, CASE WHEN n < 2 THEN 0 ELSE CAST(greatest(-600, least(600, round(d0 + (s - a) / greatest(1, b - a) * (d1 - d0)))) AS BIGINT) END AS x FROM d)",
+        select="SELECT clip_id, idx, start_ms + coalesce(x, 0) AS start_ms, end_ms + coalesce(x, 0) AS end_ms FROM words LEFT JOIN m USING (clip_id, idx)",
+    ),
+    "packed_chunks": _sql(
+        *_SPANS,
+        "c AS (SELECT clip_id, end_ms, unnest(range(start_ms, end_ms, 3600000)) AS s FROM spans)",
+        "p AS (SELECT clip_id, s, least(end_ms, s + 3600000) AS e, row_number() OVER (PARTITION BY clip_id ORDER BY s, end_ms) AS k FROM c)",
+        "r AS (SELECT clip_id, k, s AS a, e AS b FROM p WHERE k = 1 UNION ALL SELECT p.clip_id, p.k, CASE WHEN e - a <= 3600000 THEN a ELSE s END, CASE WHEN e - a <= 3600000 THEN greatest(b, e) ELSE e END FROM r JOIN p ON p.clip_id = r.clip_id AND p.k = r.k + 1)",
+        select="SELECT clip_id, a AS start_ms, max(b) AS end_ms FROM r GROUP BY clip_id, a",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    "streamed_sessions": _sql(
+        "pts AS (SELECT clip_id, start_ms, start_ms AS end_ms FROM ev)", _merged("pts", 1800000, "m"), select="SELECT clip_id AS user_id, start_ms, end_ms + 1800000 AS end_ms, n AS n_events FROM m"
+    ),
     "audit_issues": _sql(*_AUDIT, select="SELECT * FROM issues"),
     "audit_counts": _sql(*_AUDIT, select="SELECT clip_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ("over_silence", "empty_speech", "zero_duration", "flash_cue", "overlap")) + ", CAST(sum(CASE WHEN kind = 'over_silence' THEN t1_ms - t0_ms ELSE 0 END) AS BIGINT) AS over_silence_ms FROM issues GROUP BY clip_id"),
     "srt_blocks": _sql(_BLOCKS(","), select="SELECT * FROM blocks"),

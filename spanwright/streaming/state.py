@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ordered import over_others
+from ..operators.ordered import Over, over_others
 
 UPLOADS = "media_id string, stored long, accepted long, rejected long, complete boolean"
 
@@ -67,7 +67,7 @@ def evictions(files: DataFrame, cap: int) -> DataFrame:
     total is at most `cap`; only eligible ones can go: a file goes iff what is left without the older ones is too much."""
     total = files.groupBy(F.lit(1).alias("_all")).agg(F.sum("size").alias("_total"))
     rows = files.filter("eligible").withColumn("_all", F.lit(1))
-    rows = over_others(rows, ["_all"], ["mtime", "path"], F.col("size"), "_older", "sum", F.floor(F.col("mtime") / 86_400_000))
+    rows = over_others(rows, ["_all"], ["mtime", "path"], F.floor(F.col("mtime") / 86_400_000), Over("_older", "sum", F.col("size")))
     return rows.join(total, "_all").filter(F.col("_total") - F.coalesce("_older", F.lit(0)) > cap).select("path", "mtime", "size")
 
 

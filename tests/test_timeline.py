@@ -82,16 +82,38 @@ def test_hysteresis_equals_a_loop(spark):
         assert got(segments) == slow_hysteresis(frames, 0.5, 0.35, 100, 250)
 
 
-def test_padding_cases():
-    one = cues.padded([(51_108, 51_130, "a"), (51_158, 52_200, "a")], [])
-    assert len(one) == 1 and one[0][0] == 51_138 and one[0][2] == "a"
-    two = cues.padded([(10_000, 10_400, "a"), (10_450, 10_500, "b")], [(10_560, 11_500)])
-    assert two[1][0] == 10_430 and all(s < e <= 10_560 for s, e, _ in two)
-    assert [c[:2] for c in cues.padded([(10_000, 10_400, "a"), (12_000, 12_500, "b")], [])] == [(9980, 10_480), (11_980, 12_560)]
-    assert cues.padded([], []) == []
+def shown(spark, given, silent=()):
+    df = cues.show(spark.createDataFrame([(1, *c) for c in given], CUE), spans(spark, *silent) if silent else spans(spark, (0, 1)).limit(0))
+    return got(df, "start_ms", "end_ms", "text")
 
 
-def words(*pairs):
+def test_padding_cases(spark):
+    one = shown(spark, [(51_108, 51_130, "a"), (51_158, 52_200, "a")])
+    assert len(one) == 1 and one[0][0] == 51_138 and one[0][2] == "a"
+    two = shown(spark, [(10_000, 10_400, "a"), (10_450, 10_500, "b")], [(10_560, 11_500)])
+    assert two[1][0] == 10_430 and all(s < e <= 10_560 for s, e, _ in two)
+    assert [c[:2] for c in shown(spark, [(10_000, 10_400, "a"), (12_000, 12_500, "b")])] == [(9980, 10_480), (11_980, 12_560)]
+    assert shown(spark, [(0, 5, "x")])[0][0] == 50
+    # no room: the text goes on to the next, and is not said twice; the last one is always shown
+    assert [c[2] for c in shown(spark, [(1000, 1100, "a"), (1010, 1100, "a"), (1020, 3000, "a c")])] == ["a c"]
+    assert shown(spark, [(1000, 1001, "a"), (1001, 1002, "b")], [(900, 5000)])[0] == (5000, 5500, "a b")
+    # moved behind the silence that it begins in, and cut off where the next begins
+    assert [c[0] for c in shown(spark, [(1000, 3000, "a"), (4000, 5000, "b")], [(900, 1500)])] == [1500, 3980]
+    assert cues.show(spark.createDataFrame([], CUE), spans(spark, (0, 1))).count() == 0
+
+
+def test_shown_cues_keep_their_distance(spark):
+    rng = random.Random(4)
+    given = sorted((t, t + rng.randrange(1, 1500), f"t{k}") for k, t in enumerate(rng.sample(range(60_000), 60)))
+    silent = [(t, t + rng.randrange(250, 700)) for t in range(500, 60_000, 1500)]
+    rows = shown(spark, given, silent)
+    assert all(x[0] < x[1] for x in rows) and all(y[0] - x[1] >= 50 for x, y in zip(rows, rows[1:], strict=False))
+    # every text is shown, alone or with those that it made no room for
+    assert all(sum(t in x.split() or any(t in w for w in x.split()) for *_, x in rows) >= 1 for *_, t in given)
+    assert len(rows) < len(given)
+
+
+def word_rows(*pairs):
     out, t = [], 0
     for length, gap in pairs:
         out.append((t, t + length))
@@ -99,22 +121,42 @@ def words(*pairs):
     return out
 
 
-def test_phrase_cases():
-    assert len(cues.phrases(words(*[(400, 100)] * 4), None)) == 1
-    assert len(cues.phrases(words((400, 100), (400, 700), (400, 100), (400, 100)), None)) == 1
+WORD = "clip_id long, idx long, start_ms long, end_ms long"
+
+
+def phrase_count(spark, rows, silent):
+    df = spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], WORD)
+    runs_ = None if silent is None else spans(spark, *silent) if silent else spans(spark, (0, 1)).limit(0)
+    found = [r.phrase for r in cues.phrases(df, runs_).orderBy("idx").collect()]
+    assert found == sorted(found) and len(found) == len(rows)
+    return len(set(found))
+
+
+def test_phrase_cases(spark):
+    assert phrase_count(spark, word_rows(*[(400, 100)] * 4), None) == 1
+    assert phrase_count(spark, word_rows((400, 100), (400, 700), (400, 100), (400, 100)), None) == 1
     six = [(400, 100), (400, 100), (400, 1200), (400, 100), (400, 100), (400, 100)]
-    assert len(cues.phrases(words(*six), None)) == 2
-    assert len(cues.phrases(words((200, 1200), *[(400, 100)] * 2, (400, 1200), *[(400, 100)] * 3), None)) == 2
-    own = words(*six)
-    assert len(cues.phrases(own, [])) == 1 and len(cues.phrases(own, [(own[2][1], own[3][0])])) == 2
-    assert cues.phrases([], None) == []
-
-
-def test_snapping_and_grouping():
-    assert cues.snapped(1000, 2600, [(1200, 2200)]) == (1000, 1200)
-    assert cues.snapped(500, 1240, [(1200, 2800)]) == (500, 1200) and cues.snapped(2760, 3000, [(1200, 2800)]) == (2800, 3000)
-    assert cues.snapped(5000, 5200, [(1200, 2800)]) == (5000, 5200)
-    assert cues.grouped([(0, 100, 0), (150, 250, 1), (600, 700, 2), (750, 800, 1), (820, 900, 2), (910, 950, 4)]) == [(0, 1), (2, 2), (3, 4), (5, 5)]
+    assert phrase_count(spark, word_rows(*six), None) == 2
+    assert phrase_count(spark, word_rows((200, 1200), *[(400, 100)] * 2, (400, 1200), *[(400, 100)] * 3), None) == 2
+    own = word_rows(*six)
+    assert phrase_count(spark, own, []) == 1 and phrase_count(spark, own, [(own[2][1], own[3][0])]) == 2
+    assert cues.phrases(spark.createDataFrame([], WORD), None).count() == 0
+
+
+def snapped(spark, start, end, *silent):
+    df = cues.snap_words(spark.createDataFrame([(1, 0, start, end)], WORD), spans(spark, *silent))
+    return got(df)[0]
+
+
+def test_snapping_and_grouping(spark):
+    assert snapped(spark, 1000, 2600, (1200, 2200)) == (1000, 1200)
+    assert snapped(spark, 500, 1240, (1200, 2800)) == (500, 1200) and snapped(spark, 2760, 3000, (1200, 2800)) == (2800, 3000)
+    assert snapped(spark, 5000, 5200, (1200, 2800)) == (5000, 5200)
+    # a long run that the word begins just before: the longer side stays
+    assert snapped(spark, 900, 3000, (1000, 1450)) == (1450, 3000)
+    rows = [(0, 100, 0), (150, 250, 1), (600, 700, 2), (750, 800, 1), (820, 900, 2), (910, 950, 4), (951, 960, None), (1300, 1310, 9), (1311, 1320, 11), (1321, 1330, 12)]
+    df = spark.createDataFrame([(1, 0, k, *r) for k, r in enumerate(rows)], "clip_id long, phrase long, idx long, start_ms long, end_ms long, place long")
+    assert [r.cue for r in cues.grouped(df).orderBy("idx").collect()] == [0, 0, 1, 2, 2, 3, 3, 4, 4, 5]
 
 
 def test_wordless_gaps(spark):
