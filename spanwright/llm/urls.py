@@ -13,8 +13,17 @@ from .common import stage, table
 
 #: (rule, verdict): a host, and the beginning of its path from the first slash on.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-#: Hosts with such a word among their labels are listed. Fixed values.
-WORDS = ["adult", "bet", "bets", "betting", "casino", "gambling", "poker", "porn", "sex", "slots", "warez", "xxx"]
+#: Words that name a kind of unwanted host, by category. What is listed is a table of hosts: `listed_hosts` makes one from
+#: hosts that carry such a word as a label, or as a part of one between hyphens; a list from elsewhere can take its place.
+CATEGORIES = {
+    "adult": ["adult", "porn", "sex", "xxx"],
+    "gambling": ["bet", "bets", "betting", "casino", "gambling", "poker", "slots"],
+    "malware": ["malware", "phish", "phishing", "virus", "warez"],
+    "pharmacy": ["pharmacy", "pills", "viagra"],
+    "spam": ["spam", "spammy"],
+    "tracking": ["ads", "adserver", "doubleclick", "track", "tracker", "tracking"],
+}
+WORDS = sorted(w for own in CATEGORIES.values() for w in own)
 LISTED_HOST = r"(?:^|[.\-])(?:" + "|".join(WORDS) + r")(?:$|[.\-])"
 #: Bits of one level that go into a query plan at most; beyond, keys are judged shard by shard.
 MOST_BITS = 1 << 23
@@ -134,25 +143,33 @@ def filter_keys(rows: DataFrame, keys: str, found: Cascade, to: str) -> DataFram
     return out
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], listed_host: Callable[[Column], Column], most_bits: int = MOST_BITS) -> DataFrame:
-    """(page_id, url, ...) -> page_id, host, path, rule, verdict: one row per page, all pages.
+def listed_hosts(pages: DataFrame, pattern: str = LISTED_HOST) -> DataFrame:
+    """(host): the block list over the hosts of pages, and over the domains above them, that carry a word of CATEGORIES."""
+    hosts = pages.select(F.explode(parents(host_and_path(F.col("url"))[0])).alias("host")).distinct()
+    return hosts.filter(F.col("host").rlike(pattern))
 
-    Allow rules, block rules and listed hosts are keys of three cascades over the corpus's complete key universe (every
-    rule that could fit some page, and every host with the domains above it), so membership is exact and no page is
-    joined. Of the rules that fit, the longest wins and gives the verdict; without a rule a page is blocked iff its
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(page_id, url, ...) and listed (host) -> page_id, host, path, rule, verdict: one row per page, all pages.
+
+    Allow rules, block rules and listed hosts are keys of three cascades over one staged universe of the corpus's keys
+    (every rule that could fit some page, and every host with the domains above it), so membership is exact and no page
+    is joined. Of the rules that fit, the longest wins and gives the verdict; without a rule a page is blocked iff its
     host or a domain above it is listed. A null url or one without :// has empty host and path, and is allowed if no
-    rule fits. Repeated rows stay; other columns are left out; an empty table gives no rows."""
+    rule fits; very long urls are one key each. Repeated rows stay; hosts listed twice or null count once or not at all;
+    other columns are left out; an empty table gives no rows."""
     lengths = sorted({len(r) - r.index("/") for r, _ in rules})
     host, path = host_and_path(F.col("url"))
     work = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     work = work.withColumn("_rules", rule_keys(F.col("host"), F.col("path"), lengths)).withColumn("_hosts", parents(F.col("host")))
-
-    def universe(keys: str, listed: Column) -> DataFrame:
-        return stage(work.select(F.explode(keys).alias("key")).distinct().withColumn("listed", listed), "universe")
-
+    # the keys of a page's host and path; a domain has no slash, a rule has one
+    every = stage(work.select(F.explode(F.concat("_rules", "_hosts")).alias("key")).distinct(), "keys")
     of_rules = {v: [r for r, x in rules if x == v] for v in ("allow", "block")}
-    found = {v: cascade(universe("_rules", F.col("key").isin(own)), most_bits) for v, own in of_rules.items()}
-    found["listed"] = cascade(universe("_hosts", listed_host(F.col("key"))), most_bits)
+    named = listed.select(F.col("host").alias("key")).dropna().distinct().withColumn("listed", F.lit(True))
+    is_rule = F.contains("key", F.lit("/"))
+    hosts = stage(every.filter(~is_rule).join(named, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False))), "hosts")
+    found = {v: cascade(every.filter(is_rule).withColumn("listed", F.col("key").isin(own)), most_bits) for v, own in of_rules.items()}
+    found["listed"] = cascade(hosts, most_bits)
     for name, keys in (("allow", "_rules"), ("block", "_rules"), ("listed", "_hosts")):
         work = filter_keys(work, keys, found[name], f"_{name}")
 
@@ -166,7 +183,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], listed_host: Callable[
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"), RULES, lambda host: host.rlike(LISTED_HOST))
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, RULES, listed_hosts(pages))
 
 
 OP1_SQL = rf"""
