@@ -24,9 +24,11 @@ CACHED = 64
 class Pieces:
     """A SentencePiece model file: text -> ids of the segmentation with the highest sum of piece scores, and back.
 
-    Spaces become SPACE and one is put first, as the model's files ask for; nothing else is normalised, so decoding
-    gives the text back. A character without a piece falls back to its bytes. Of segmentations with equal sums the one
-    whose last differing piece is longer wins."""
+    For Unigram models this is the library's own segmentation. A BPE model's scores are ranks of merges; the highest sum of them is
+    a segmentation into the same pieces, but not the one that its merges lead to (README has figures). Spaces become SPACE
+    and one is put first, as the model's files ask for; nothing else is normalised. A character without a piece falls
+    back to its bytes, and so does SPACE itself where a text has it, so decoding gives every text back. Of segmentations
+    with equal sums the one whose last differing piece is longer wins."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -92,8 +94,15 @@ class Pieces:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if SPACE in text:
+            mark = np.array([self.bytes[b] for b in SPACE.encode()], "<u4").tobytes()
+            head, *parts = text.split(SPACE)
+            return (self.encode(head) or self._stretches(SPACE)) + b"".join(mark + self._stretches(x.replace(" ", SPACE)) for x in parts)
+        return self._stretches(SPACE + text.replace(" ", SPACE))
+
+    def _stretches(self, text: str) -> bytes:
         known, stretch = self._known, self._stretch
-        return b"".join([known[s] if len(s) <= CACHED else stretch(s) for s in self.stretches.findall(SPACE + text.replace(" ", SPACE))])
+        return b"".join([known[s] if len(s) <= CACHED else stretch(s) for s in self.stretches.findall(text)])
 
     def decode(self, ids: bytes) -> str:
         surface = self.surface
@@ -110,7 +119,9 @@ def pieces(path: str) -> Pieces:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, ids): one row per document, whole texts; a null or empty text has no ids."""
+    """(doc_id, text, ...) -> (doc_id, ids): one row per row, whole texts, however long; a null or empty text has no ids.
+
+    Repeated rows stay; an empty table gives no rows; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)

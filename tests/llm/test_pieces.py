@@ -63,3 +63,55 @@ def test_round_trip(odd, nothing):
     back = sentencepieces.decode(sentencepieces.encode(odd, PATH), PATH)
     assert sorted(str((r.doc_id, r.text)) for r in back.collect()) == sorted(str((r.doc_id, r.text or "")) for r in odd.collect())
     assert sentencepieces.encode(nothing, PATH).count() == 0
+
+
+def field(number, value):
+    """One field of a protocol buffer."""
+    import struct
+
+    def varint(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, bytes):
+        return varint(number << 3 | 2) + varint(len(value)) + value
+    return varint(number << 3) + varint(value)
+
+
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    """A Unigram model file written by hand: pieces with scores of their own, and bytes to fall back to."""
+    rng = random.Random(7)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    own = {"▁"} | set("abcdeñ") | {"".join(rng.choice("▁abcdeñ") if k else rng.choice("▁abcde") for k in range(rng.randrange(2, 7))) for _ in range(400)}
+    own = {p for p in own if "▁" not in p[1:]}
+    pieces += [(p, -rng.uniform(2, 12), 1) for p in sorted(own)]
+    model = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, kind)) for p, s, kind in pieces)
+    trainer = field(3, 1) + field(4, len(pieces)) + field(35, 1)
+    normalizer = field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1)
+    path = tmp_path_factory.mktemp("unigram") / "own.model"
+    path.write_bytes(model + field(2, trainer) + field(3, normalizer))
+    return str(path)
+
+
+def test_unigram_ids_are_the_librarys(unigram):
+    from sentencepiece import SentencePieceProcessor
+
+    sp, mine, rng = SentencePieceProcessor(model_file=unigram), sentencepieces.Pieces(unigram), random.Random(8)
+    texts = ["".join(rng.choice("aabbccddeeñ  xz漢") for _ in range(rng.randrange(1, 200))) for _ in range(300)] + ["a", " ", "  a  b  ", "abc" * 500, "漢字", "\n a\tb"]
+    different = 0
+    for text in texts:
+        ids = np.frombuffer(mine.encode(text), "<u4").tolist()
+        different += ids != sp.encode(text)
+        assert mine.decode(np.array(ids, "<u4").tobytes()) == text
+    assert different == 0
+
+
+def test_every_text_comes_back(own, unigram):
+    for model in (own, sentencepieces.Pieces(unigram)):
+        for text in ["a▁b", "▁", "▁▁ a", " ▁ ", "x ▁y▁", "漢▁字 \n", ""]:
+            assert model.decode(model.encode(text)) == text
