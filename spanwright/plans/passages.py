@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import runs, search
+from ..operators import detector, runs, search
 from ..sources.shared import table
 
 
@@ -53,7 +53,23 @@ def even_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.one_to_one_words(chunks, "item_id", "a", "b", "text")
 
 
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detector.fragments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
+def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detector.chain_runs(fragments(spark, sf_dir), "doc_id", "item_id").drop("run")
+
+
+def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detector.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "canon_fragments": fragments,
+    "chained_runs": chained,
+    "detected_claims": detected,
+    "covered_items": lambda s, d: detector.covered_items(chained(s, d), "doc_id", "item_id"),
     "normalized_tokens": normalized,
     "token_stats": token_stats,
     "inverted_index": lambda s, d: search.inverted_index(table(s, d, "benchmark"), "item_id"),
@@ -82,7 +98,26 @@ n AS (SELECT *, CASE WHEN next_opens THEN 8 ELSE least(8, step) END AS own, sum(
 r AS (SELECT doc_id, item_id, CAST(min(place) AS INTEGER) AS doc_from, CAST(max(place) + 8 AS INTEGER) AS doc_to, CAST(min(pos) AS INTEGER) AS canon_from, CAST(max(pos) + 8 AS INTEGER) AS canon_to, CAST(sum(own) AS BIGINT) AS matched FROM n GROUP BY doc_id, item_id, diag, run),
 runs AS (SELECT * FROM (SELECT *, round(matched / (canon_to - canon_from), 6) AS score FROM r) WHERE matched >= 4 AND score >= 0.55)"""
 
+_FRAGMENTS = f"""dw AS (SELECT doc_id, {_words("text")} AS w FROM documents), cw AS (SELECT item_id, {_words("text")} AS w FROM benchmark),
+dp AS (SELECT doc_id, unnest(range(len(w) - 1)) AS place, w FROM dw WHERE len(w) > 1), cp AS (SELECT item_id, unnest(range(len(w) - 1)) AS pos, w FROM cw WHERE len(w) > 1),
+dg AS (SELECT doc_id, place, w[place + 1] || ' ' || w[place + 2] AS pair FROM dp), cg AS (SELECT item_id, pos, w[pos + 1] || ' ' || w[pos + 2] AS pair FROM cp),
+rare AS (SELECT pair FROM cg GROUP BY pair HAVING count(*) <= 100),
+hit AS (SELECT doc_id, item_id, place, pos, place - pos AS diag FROM dg JOIN cg USING (pair) JOIN rare USING (pair)),
+st AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item_id, diag ORDER BY pos) AS g FROM hit),
+fr AS (SELECT doc_id, item_id, CAST(min(place) AS INTEGER) AS doc_from, CAST(max(place) + 2 AS INTEGER) AS doc_to, CAST(min(pos) AS INTEGER) AS canon_from, CAST(max(pos) + 2 AS INTEGER) AS canon_to FROM st GROUP BY doc_id, item_id, diag, g)"""
+_CHAINS = f"""{_FRAGMENTS},
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY doc_from, canon_from, doc_to, canon_to) AS k FROM fr),
+c AS (SELECT doc_id, item_id, k, 0 AS run, doc_from, doc_to, canon_from, canon_to, doc_to - doc_from AS matched FROM o WHERE k = 1 UNION ALL
+  SELECT doc_id, item_id, k, CASE WHEN joins THEN run ELSE run + 1 END, CASE WHEN joins THEN a ELSE doc_from END, doc_to, CASE WHEN joins THEN b ELSE canon_from END, canon_to, CASE WHEN joins THEN m ELSE 0 END + doc_to - doc_from
+  FROM (SELECT o.*, c.run, c.doc_from AS a, c.canon_from AS b, c.matched AS m, o.doc_from BETWEEN c.doc_to AND c.doc_to + 25 AND o.canon_from >= c.canon_to AND o.canon_from - c.canon_to < CASE WHEN c.matched < 20 THEN 6 ELSE 25 END AS joins
+    FROM c JOIN o ON o.doc_id = c.doc_id AND o.item_id = c.item_id AND o.k = c.k + 1)),
+ru AS (SELECT doc_id, item_id, min(doc_from) AS doc_from, CAST(arg_max(doc_to, k) AS INTEGER) AS doc_to, min(canon_from) AS canon_from, CAST(arg_max(canon_to, k) AS INTEGER) AS canon_to, CAST(max(matched) AS BIGINT) AS matched FROM c GROUP BY doc_id, item_id, run),
+rs AS (SELECT * FROM (SELECT *, round(least(1.0, matched / (canon_to - canon_from)), 6) AS score FROM ru) WHERE matched >= 4 AND score >= 0.55)"""
+
 SQL = {
+    "canon_fragments": f"WITH {_FRAGMENTS} SELECT * FROM fr",
+    "chained_runs": f"WITH RECURSIVE {_CHAINS} SELECT * FROM rs",
+    "covered_items": f"WITH RECURSIVE {_CHAINS} SELECT doc_id, item_id, CAST(sum(matched) AS BIGINT) AS matched, min(canon_from) AS offset_from, max(canon_to) AS offset_to FROM rs GROUP BY doc_id, item_id",
     "media_types": """WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u, regexp_extract(url, '([^/]*)$', 1) AS id FROM pages),
 x AS (SELECT *, lower(regexp_extract(u, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM p)
 SELECT page_id, CASE ext %s ELSE 'application/octet-stream' END AS kind, regexp_full_match(id, '[A-Za-z0-9_-]{1,64}') AS valid FROM x"""
