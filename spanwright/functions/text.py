@@ -93,3 +93,68 @@ def millis(ts: Column) -> Column:
     since = ts - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     part = lambda unit, n: F.extract(F.lit(unit), since).cast("long") * n
     return part("DAY", 86_400_000) + part("HOUR", 3_600_000) + part("MINUTE", 60_000) + F.floor(F.extract(F.lit("SECOND"), since) * 1000).cast("long")
+
+
+#: Endings of the soundtrack of a video file, as a pattern. Fixed value.
+SOUNDTRACK = r"(?i)(\.(?:mp4|webm|mov|avi|mkv|m4v|ogv))\.audio\.ogg$"
+
+
+def is_soundtrack(name: Column) -> Column:
+    """Whether a file name is that of a video's soundtrack; null is none."""
+    return F.coalesce(name.rlike(SOUNDTRACK), F.lit(False))
+
+
+def video_of(name: Column) -> Column:
+    """The video's name that a soundtrack's name was made from; any other name stays."""
+    return F.regexp_replace(F.coalesce(name, F.lit("")), SOUNDTRACK, "$1")
+
+
+def within_alphabet(text: Column, alphabet: str) -> Column:
+    """Letters of an aligner: marks go, forms fold, a space is |; empty if a letter outside the alphabet is left."""
+    marks = "".join(map(chr, [*range(0x064B, 0x0653), 0x0670]))
+    plain = F.translate(F.translate(text, "ةىٱ" + marks, "هيا"), " ", "|")
+    return F.when(F.translate(plain, alphabet, "") == "", plain).otherwise("")
+
+
+def clause_span(own: Column, first: Column, last: Column) -> Column:
+    """struct(first, last): places first..last of the words, last exclusive, widened on either side to the nearest end of a clause."""
+    n = F.size(own)
+    a = F.greatest(F.lit(0), F.least(first, n - 1))
+    b = F.greatest(a + 1, F.least(last, n))
+    opens = F.filter(F.sequence(F.lit(0), a), lambda k: (k == 0) | ends_clause(F.get(own, k - 1)))
+    closes = F.filter(F.sequence(b, n), lambda k: (k == n) | ends_clause(F.get(own, k - 1)))
+    return F.when(n > 0, F.struct(F.array_max(opens).alias("first"), F.array_min(closes).alias("last"))).otherwise(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last")))
+
+
+def trimmed(own: Column, other: Column, first: Column, last: Column) -> Column:
+    """struct(own, other): the words first..last of `own`, and in proportion of its translation `other`, whole clauses."""
+    n, m = F.size(own), F.size(other)
+    at = lambda k: F.when((m > 0) & (m != n), F.bround(k * m / n).cast("int")).otherwise(k)
+    span = clause_span(other, at(first), at(last))
+    cut = lambda w, a, b: F.array_join(F.slice(w, a + 1, F.greatest(F.lit(0), b - a)), " ")
+    return F.struct(cut(own, first, last).alias("own"), F.when(m > 0, cut(other, span["first"], span["last"])).otherwise("").alias("other"))
+
+
+def leading_openers(own: Column, openers: dict[str, list[str]]) -> Column:
+    """The names of the opening phrases that words begin with, in the given order; each may be absent. Words are compared folded, in either spelling."""
+    at, found = F.lit(0), []
+    for name, phrase in openers.items():
+        wanted = [F.array(fold(F.lit(w)), fold_standard(F.lit(w))) for w in phrase]
+        there = F.size(own) >= at + len(phrase)
+        for k, forms in enumerate(wanted):
+            there = there & F.arrays_overlap(forms, F.array(F.coalesce(fold(F.get(own, at + k)), F.lit("")), F.coalesce(fold_standard(F.get(own, at + k)), F.lit(""))))
+        there = F.coalesce(there, F.lit(False))
+        found.append(F.when(there, F.lit(name)))
+        at = F.when(there, at + len(phrase)).otherwise(at)
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def json_words(text: Column) -> Column:
+    """Array of struct(text, start, end) from the JSON that a speech service gives; what isn't that, or a word without letters or in no order of time, is left out."""
+    rows = F.from_json(text, "array<struct<text:string,start:double,end:double>>", {"mode": "PERMISSIVE"})
+    return F.filter(F.coalesce(rows, F.array().cast("array<struct<text:string,start:double,end:double>>")), lambda w: F.coalesce((F.trim(w["text"]) != "") & (w["end"] >= w["start"]), F.lit(False)))
+
+
+def clamped(value: Column, low: float, high: float, default: float) -> Column:
+    """value between low and high; what is no number is the default."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(value.try_cast("double"), F.lit(default))))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -63,11 +63,12 @@ def primary_match(matches: DataFrame, key: str, item: str) -> DataFrame:
     return matches.groupBy(key).agg(F.max_by(F.struct(item, "doc_from", "doc_to", "score"), rank).alias("m")).select(key, "m.*")
 
 
-def idf_candidates(docs: DataFrame, canon: DataFrame, doc_key: str = "doc_id", canon_key: str = "item_id", first: int = 60, top: int = 3) -> DataFrame:
+def idf_candidates(docs: DataFrame, canon: DataFrame, doc_key: str = "doc_id", canon_key: str = "item_id", first: int = 60, top: int = 3, most: int = 100) -> DataFrame:
     """Of each document's first words (a feature: openings tell passages apart), the canon rows with the highest sums of
-    1/(1+df), in millionths so that sums are exact; ties go to the lower key."""
+    1/(1+df), in millionths so that sums are exact; ties go to the lower key. Words of over `most` canon rows tell
+    next to nothing and are left out, so a document meets `first` * `most` canon rows at most."""
     index = positions(canon, canon_key).select("word", canon_key).distinct()
-    freq = index.groupBy("word").agg(F.count("*").alias("df"))
+    freq = index.groupBy("word").agg(F.count("*").alias("df")).filter(F.col("df") <= most)
     weight = index.join(freq, "word").withColumn("w", F.floor(F.lit(1_000_000) / (1 + F.col("df"))))
     heads = docs.select(doc_key, F.explode(F.slice(words(F.col("text")), 1, first)).alias("word")).groupBy(doc_key, "word").agg(F.count("*").alias("n"))
     sums = heads.join(weight, "word").groupBy(doc_key, canon_key).agg(F.sum(F.col("n") * F.col("w")).alias("score"))
@@ -103,11 +104,25 @@ def ratio(a: str | None, b: str | None) -> float:
     return 200.0 * _lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+def partial_ratio(a: str | None, b: str | None) -> float:
+    """The best similarity of the shorter text with any stretch of the longer one that is as long, or shorter at either end."""
+    short, long = sorted((a or "", b or ""), key=len)
+    if not short:
+        return 0.0 if long else 100.0
+    n = len(short)
+    return max(ratio(short, long[max(0, k) : k + n]) for k in range(1 - n, len(long)))
+
+
 @F.pandas_udf(DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def fuzzy_partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([partial_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def align_pair(heard: list[str], canon: list[str], weight: dict[str, float], band: int = 700) -> list[tuple[int, int]]:
     """Places (heard, canon) of a best alignment: either side may skip words free of cost, a match earns its word's
     weight, a mismatch costs 1; under ten heard words there is none."""
@@ -117,22 +132,34 @@ def align_pair(heard: list[str], canon: list[str], weight: dict[str, float], ban
     codes = {w: k for k, w in enumerate(dict.fromkeys([*heard, *canon]))}
     h, c = np.array([codes[w] for w in heard]), np.array([codes[w] for w in canon])
     gain = np.array([weight.get(w, 0.5) for w in codes])
-    best, diagonal = np.zeros(m + 1), np.zeros((n, m + 1), bool)
-    came = np.zeros((n, m + 1), np.int32)
-    for k in range(n):
-        centre = round(k * m / max(1, n - 1))
-        lo, hi = max(1, centre - band), min(m, centre + band)
-        step = np.full(m + 1, -np.inf)
-        step[lo : hi + 1] = best[lo - 1 : hi] + np.where(c[lo - 1 : hi] == h[k], gain[h[k]], -1.0)
-        row = np.maximum(best, step)
-        diagonal[k] = step > best
-        top = np.maximum.accumulate(row)
-        came[k] = np.maximum.accumulate(np.where(row >= top, np.arange(m + 1), 0))
-        best = top
+    width = min(m, 2 * band + 1)
+    centres = [round(k * m / max(1, n - 1)) for k in range(n)]
+    lows = [min(max(1, x - band), m - width + 1) for x in centres]
+    best, diagonal, came = np.zeros(m + 1), np.zeros((n, width), bool), np.zeros((n, width), np.int32)
+    for k, (lo, centre) in enumerate(zip(lows, centres, strict=True)):
+        own, away = slice(lo, lo + width), np.abs(np.arange(lo, lo + width) - centre)
+        step = best[lo - 1 : lo + width - 1] + np.where(c[lo - 1 : lo + width - 1] == h[k], gain[h[k]], -1.0)
+        step[away > band] = -np.inf
+        diagonal[k] = step > best[own]
+        row = np.maximum(best[own], step)
+        top = np.maximum(np.maximum.accumulate(row), best[lo - 1])
+        # the column that the best value up to here stands in; left of the band nothing has changed
+        here = np.maximum.accumulate(np.where(row >= top, np.arange(lo, lo + width), 0))
+        came[k] = here
+        best[own] = top
+        best[lo + width :] = np.maximum(best[lo + width :], top[-1])
     j, out = int(best.argmax()), []
     for k in range(n - 1, -1, -1):
-        j = int(came[k, j])
-        if diagonal[k, j]:
+        at = j - lows[k]
+        if at < 0:
+            continue
+        at = min(at, width - 1)
+        j = int(came[k, at])
+        if j == 0:
+            # the best value was carried from left of the band, where this word is skipped
+            j = lows[k] - 1
+            continue
+        if diagonal[k, j - lows[k]]:
             if heard[k] == canon[j - 1]:
                 out.append((k, j - 1))
             j -= 1
@@ -164,8 +191,3 @@ def one_to_one_words(chunks: DataFrame, key: str, start: str, end: str, text: st
     at = own.select(key, start, end, F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
     edge = lambda k: F.col(start) + F.floor((F.col(end) - F.col(start)) * k / F.col("n"))
     return at.select(key, "pos", "word", edge(F.col("pos")).alias("start_ms"), edge(F.col("pos") + 1).alias("end_ms"))
-
-
-def column_overlap(hole: Column, form: Column) -> Column:
-    """Share of the hole's words, repeats counted, that the form has."""
-    return F.when(F.size(hole) > 0, F.size(F.filter(hole, lambda x: F.array_contains(form, x))) / F.size(hole)).otherwise(0.0)

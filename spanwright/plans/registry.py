@@ -1,11 +1,11 @@
 """Queries by name, and the SQL that each should equal."""
 
-from . import passages, timeline
+from . import passages, small, timeline
 
 
 def queries() -> dict:
-    return passages.QUERIES | timeline.QUERIES
+    return passages.QUERIES | timeline.QUERIES | small.QUERIES
 
 
 def oracle_sql() -> dict:
-    return passages.SQL | timeline.SQL
+    return passages.SQL | timeline.SQL | small.SQL
