@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a task holds few texts as Python objects at once."""
+    for b in batches:
+        for k in range(0, max(1, b.num_rows), rows):
+            yield b.slice(k, rows)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that other columns cannot clash; a null text is empty."""
     return docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import partitions, stage, table
+from .common import partitions, slices, stage, table
 
 #: Bytes of strings that a trie holds before a subtree is spilled.
 HELD = 24 << 20
@@ -282,7 +282,7 @@ def exact_stage(docs: DataFrame, held: int = HELD) -> DataFrame:
 
         def out() -> Iterator[tuple]:
             size = 0
-            for b in batches:
+            for b in slices(batches):
                 for payload in b.column(0).to_pylist():
                     text = (payload["text"] or "").encode("utf-8", "surrogatepass")
                     key = normalized(text)
@@ -305,7 +305,7 @@ def exact_stage(docs: DataFrame, held: int = HELD) -> DataFrame:
     def run(finer: int):
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[tuple]:
-                for b in batches:
+                for b in slices(batches):
                     for _, band, short, chars, doc_id, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                         text = (payload["text"] or "").encode("utf-8", "surrogatepass")
                         yield (band, short), normalized(text), [-chars, _id(doc_id), text, payload]

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, stage, table, texts
+from .common import new_path, partitions, slices, stage, table, texts
 from .tokens import encoder
 
 #: Longest code, in bits; the decoding table has 2 ** LONGEST entries.
@@ -160,7 +160,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode(t) + end for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, ids binary")

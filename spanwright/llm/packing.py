@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table, texts
+from .common import slices, stage, table, texts
 from .tokens import encoder
 
 LONGEST = 4096
@@ -74,7 +74,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = 1, longest: int = LONGE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = encode(text) + end

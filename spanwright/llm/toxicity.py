@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import new_names, stage, table, texts
+from .common import new_names, slices, stage, table, texts
 
 #: Labelled rows of each class that the model is fitted on at most: those with the lowest hashes of doc_id.
 SAMPLE = 4000
@@ -125,7 +125,7 @@ def score(docs: DataFrame, model: FactorizationMachine, *keep: str, to: str = "s
         place = {int(h): k for k, h in enumerate(model.terms)}
         known: dict[str, tuple[int, ...]] = {}
         none = model.score(np.array([], int))
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in b.column("text").to_pylist():
                 own = words(text or "")
