@@ -27,7 +27,7 @@ def grams(df: DataFrame, key: str, size: int) -> DataFrame:
     """(key, pos, gram): the hash of each `size` words."""
     own = df.select(key, words(F.col("text")).alias("w")).filter(F.size("w") >= size)
     at = F.sequence(F.lit(0), F.size("w") - size)
-    return own.select(key, F.posexplode(F.transform(at, lambda i: F.xxhash64(F.slice("w", i + 1, F.lit(size))))).alias("pos", "gram"))
+    return own.select(key, F.posexplode(F.transform(at, lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(size))))).alias("pos", "gram"))
 
 
 def passage_runs(docs: DataFrame, canon: DataFrame, doc_key: str = "doc_id", canon_key: str = "item_id", size: int = 8, least: int = 4, score: float = 0.55, jump: int = 25) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import intervals, lookups, runs, search
+from ..sources import subtitles
 from ..sources.shared import table
 from . import passages, timeline
 from .timeline import KEY, MINUTE, captions, cue_rows, events, of, samples, speech, words_of
@@ -135,6 +136,11 @@ def opener_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, other = F.col("event_type"), F.when(F.col("event_id") % 3 > 0, F.upper("event_type"))
+    return events(spark, sf_dir).select("event_id", *(subtitles.in_language(own, other, x).alias(x) for x in ("own", "translation", "both")))
+
+
 def column_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicates and small parsers over urls and the words of conversations' first lines."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get(text.words(F.col("text")), F.lit(1)).alias("word"), F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"), F.when(F.col("turn") % 2 == 0, ":7").otherwise("")).alias("ref"))
@@ -182,6 +188,7 @@ QUERIES = {
     "trimmed_texts": trimmed_texts,
     "opener_names": opener_names,
     "column_functions": column_functions,
+    "cue_languages": languages,
 }
 
 _words, _sql, _merged, _SPANS, _WORDS = passages._words, timeline._sql, timeline._merged, timeline._SPANS, timeline._WORDS
@@ -190,6 +197,7 @@ _CLAUSE = lambda w, a, b: f"""len({w}) AS n, greatest(0, least({a}, len({w}) - 1
 _SPAN = lambda w: f"list_max(list_filter(range(a + 1), lambda k: k = 0 OR {_ENDS(f'{w}[k]')})) AS f, list_min(list_filter(range(b, n + 1), lambda k: k = n OR {_ENDS(f'{w}[k]')})) AS l"
 
 SQL = {
+    "cue_languages": _sql(select="SELECT event_id, event_type AS own, CASE WHEN event_id % 3 > 0 THEN upper(event_type) ELSE event_type END AS translation, CASE WHEN event_id % 3 > 0 THEN event_type || chr(10) || upper(event_type) ELSE event_type END AS \"both\" FROM ev"),
     "verse_texts": _sql("c AS (SELECT item_id // 10 AS chapter, item_id % 10 + 1 AS verse, text FROM benchmark)", select="SELECT event_id, clip_id % 7 AS chapter, event_id % 12 + 1 AS verse, coalesce(c.text, '') AS text FROM ev LEFT JOIN c ON c.chapter = clip_id % 7 AND c.verse = event_id % 12 + 1"),
     "chapter_names": _sql(select="SELECT event_id, clip_id AS chapter, coalesce(n_name, '') AS name FROM ev LEFT JOIN nation ON n_nationkey = clip_id"),
     "verse_range": "SELECT item_id // 10 AS chapter, item_id % 10 + 1 AS verse, text FROM benchmark WHERE item_id // 10 = 1 AND item_id % 10 + 1 BETWEEN 3 AND 7",

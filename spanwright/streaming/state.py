@@ -14,22 +14,22 @@ from ..operators.ordered import Over, over_others
 UPLOADS = "media_id string, stored long, accepted long, rejected long, complete boolean"
 
 
-def apply_slices(stored: int, slices: list[tuple[int, int, int]], most: int) -> tuple[int, int, int, bool]:
+def apply_slices(stored: int, slices: list[tuple[int, int, int]], most: int, strict: bool = True) -> tuple[int, int, int, bool]:
     """Slices (offset, size, total) in order of arrival onto `stored` bytes: offset 0 starts anew, any offset but the
-    stored size is rejected, as is what would pass `most` bytes."""
+    stored size is rejected, as is what would pass `most` bytes. Without `strict` a slice goes wherever it says."""
     accepted = rejected = 0
     complete = False
     for offset, size, total in slices:
         base = 0 if offset == 0 else stored
-        if offset != base or offset + size > most:
+        if (strict and offset != base) or offset + size > most:
             rejected += 1
             continue
-        stored, accepted = offset + size, accepted + 1
+        stored, accepted = offset + size if strict or offset == 0 else max(stored, offset + size), accepted + 1
         complete = stored >= total > 0
     return stored, accepted, rejected, complete
 
 
-def uploads(slices: DataFrame, most: int = 512 << 20, idle_ms: int | None = None) -> DataFrame:
+def uploads(slices: DataFrame, most: int = 512 << 20, idle_ms: int | None = None, strict: bool = True) -> DataFrame:
     """A stream of (media_id, seq, offset, size, total) -> the state of each upload, a row for each batch that touches it.
 
     Slices of one batch are applied in order of seq; what does not fit is rejected, never held back. With
@@ -41,7 +41,7 @@ def uploads(slices: DataFrame, most: int = 512 << 20, idle_ms: int | None = None
             return
         stored, accepted, rejected, complete = state.get if state.exists else (0, 0, 0, False)
         rows = sorted(t for f in frames for t in zip(f["seq"], f["offset"], f["size"], f["total"], strict=True))
-        stored, a, r, done = apply_slices(int(stored), [tuple(map(int, t[1:])) for t in rows], most)
+        stored, a, r, done = apply_slices(int(stored), [tuple(map(int, t[1:])) for t in rows], most, strict)
         accepted, rejected = accepted + a, rejected + r
         complete = done if a else complete
         state.update((stored, accepted, rejected, complete))
@@ -52,6 +52,12 @@ def uploads(slices: DataFrame, most: int = 512 << 20, idle_ms: int | None = None
     return slices.groupBy("media_id").applyInPandasWithState(step, UPLOADS, "stored long, accepted long, rejected long, complete boolean", "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
+def latest_status(updates: DataFrame) -> DataFrame:
+    """Updates (media_id, batch, ...) of uploads, as a table sink keeps them -> the last of each."""
+    columns = [c for c in updates.columns if c != "media_id"]
+    return updates.groupBy("media_id").agg(F.max_by(F.struct(*columns), "batch").alias("x")).select("media_id", "x.*")
+
+
 def first_starts(starts: DataFrame, key: str, at: str, within: str) -> DataFrame:
     """A stream of job starts -> one row per key while the watermark still covers it."""
     return starts.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
