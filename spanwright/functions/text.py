@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,6 +151,30 @@ def leading_openers(own: Column, openers: dict[str, list[str]]) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def without_openings(own: Column, leading: dict[str, list[str]], anywhere: list[str]) -> Column:
+    """Words without the opening phrases that they begin with, and without a phrase wherever it stands; words are compared folded."""
+    sizes = F.create_map(*(F.lit(x) for name, phrase in leading.items() for x in (name, len(phrase))))
+    phrase, n = F.array(*(fold(F.lit(w)) for w in anywhere)), len(anywhere)
+
+    def behind(w: Column) -> Column:
+        skip = F.aggregate(leading_openers(w, leading), F.lit(0), lambda a, name: a + F.try_element_at(sizes, name))
+        return F.slice(w, skip + 1, F.size(w))
+
+    def stands(folded: Column, i: Column) -> Column:
+        here = [F.when((i >= k) & (i - k + n <= F.size(folded)), F.slice(folded, i - k + 1, F.lit(n)) == phrase).otherwise(False) for k in range(n)]
+        return reduce(lambda a, b: a | b, here)
+
+    def strip(w: Column, folded: Column) -> Column:
+        return F.transform(F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), stands(folded, i).alias("gone"))), lambda x: ~x["gone"]), lambda x: x["x"])
+
+    return once(once(own, behind), lambda w: once(F.transform(w, fold), lambda folded: strip(w, folded)))
+
+
 def json_words(text: Column) -> Column:
     """Array of struct(text, start, end) from the JSON that a speech service gives; what isn't that, or a word without letters or in no order of time, is left out."""
     rows = F.from_json(text, "array<struct<text:string,start:double,end:double>>", {"mode": "PERMISSIVE"})

@@ -160,3 +160,32 @@ def overlapped_windows(clips: DataFrame, keys: list[str], piece_ms: int = 120_00
     """(keys, duration_ms) -> request windows: pieces of piece_ms, widened by reach_ms on either side within the clip."""
     rows = clips.filter("duration_ms > 0").select(*keys, "duration_ms", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("duration_ms") - 1, F.lit(piece_ms).cast("long"))).alias("window", "s"))
     return rows.select(*keys, "window", F.greatest(F.lit(0), F.col("s") - reach_ms).alias("start_ms"), F.least("duration_ms", F.col("s") + piece_ms + reach_ms).alias("end_ms"))
+
+
+def request_plan(slices: DataFrame, speech: DataFrame, keys: list[str], longest_ms: int = 240_000, late: float = 0.6) -> DataFrame:
+    """Slices (keys, start_ms, end_ms), in order of start, joined into requests of longest_ms at most: (keys, start_ms, end_ms).
+
+    A slice that is longer itself is cut at the last end of speech in the last part of the time that a request has (from
+    `late` of it on), else where that time is over; what is left of it is joined on. Where a request ends hangs on those before,
+    so one clip's slices and ends of speech are folded as arrays; a clip is one recording."""
+    own = _whole(slices, keys).filter("end_ms > start_ms").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("p"))
+    ends = _whole(speech, keys).groupBy(*keys).agg(F.array_sort(F.collect_set("end_ms")).alias("_ends"))
+    rows = own.join(ends, keys, "left").withColumn("_ends", F.coalesce("_ends", F.array().cast("array<bigint>")))
+    span = lambda s, e: F.struct(s.alias("start_ms"), e.alias("end_ms"))
+
+    def cut(plan: Column) -> Column:
+        """The last request of the plan, if too long, in two."""
+        last = F.element_at(plan, -1)
+        s, e = last["start_ms"], last["end_ms"]
+        at = F.coalesce(F.array_max(F.filter("_ends", lambda t: (t >= s + F.lit(late) * longest_ms) & (t <= s + longest_ms))), s + longest_ms)
+        return F.when(e - s > longest_ms, F.concat(F.slice(plan, F.lit(1), F.size(plan) - 1), F.array(span(s, at), span(at, e)))).otherwise(plan)
+
+    def step(plan: Column, x: Column) -> Column:
+        last = F.try_element_at(plan, F.lit(-1))
+        joins = (F.size(plan) > 0) & (x["end_ms"] - last["start_ms"] <= longest_ms)
+        grown = F.when(joins, F.concat(F.slice(plan, F.lit(1), F.size(plan) - 1), F.array(span(last["start_ms"], x["end_ms"])))).otherwise(F.concat(plan, F.array(span(x["start_ms"], x["end_ms"]))))
+        times = F.ceil((x["end_ms"] - x["start_ms"]) / (late * longest_ms)).cast("int")
+        return F.aggregate(F.sequence(F.lit(0), times), grown, lambda done, _: cut(done))
+
+    plan = F.aggregate("p", F.array().cast("array<struct<start_ms:bigint,end_ms:bigint>>"), step)
+    return rows.select(*keys, F.explode(plan).alias("r")).select(*keys, "r.start_ms", "r.end_ms")

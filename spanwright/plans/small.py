@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import intervals, lookups, runs, search
+from ..operators import detector, intervals, lookups, runs, search
 from ..sources import subtitles
 from ..sources.shared import table
 from . import passages, timeline
@@ -132,10 +132,28 @@ def trimmed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def opener_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.leading_openers(text.words(F.col("text")), OPENERS), ",").alias("openers"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.once(text.words(F.col("text")), lambda w: text.leading_openers(w, OPENERS)), ",").alias("openers"))
     return rows
 
 
+def stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = text.without_openings(text.words(F.col("text")), OPENERS, ["of", "the"])
+    rows = table(spark, sf_dir, "documents").select("doc_id", own.alias("w"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+def stripped_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages in documents without their opening phrases."""
+    own = text.without_openings(text.words(F.col("text")), OPENERS, ["of", "the"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(own, " ").alias("text"))
+    return detector.detect(docs, table(spark, sf_dir, "benchmark"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = intervals.merge(speech(spark, sf_dir), KEY, 60 * MINUTE).select("clip_id", "start_ms", "end_ms")
+    return intervals.request_plan(spans, of(spark, sf_dir, "view"), KEY, 20 * MINUTE)
+
+
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, other = F.col("event_type"), F.when(F.col("event_id") % 3 > 0, F.upper("event_type"))
     return events(spark, sf_dir).select("event_id", *(subtitles.in_language(own, other, x).alias(x) for x in ("own", "translation", "both")))
@@ -189,6 +207,9 @@ QUERIES = {
     "opener_names": opener_names,
     "column_functions": column_functions,
     "cue_languages": languages,
+    "stripped_words": stripped,
+    "stripped_claims": stripped_claims,
+    "request_plan": requests,
 }
 
 _words, _sql, _merged, _SPANS, _WORDS = passages._words, timeline._sql, timeline._merged, timeline._SPANS, timeline._WORDS
@@ -197,6 +218,10 @@ _CLAUSE = lambda w, a, b: f"""len({w}) AS n, greatest(0, least({a}, len({w}) - 1
 _SPAN = lambda w: f"list_max(list_filter(range(a + 1), lambda k: k = 0 OR {_ENDS(f'{w}[k]')})) AS f, list_min(list_filter(range(b, n + 1), lambda k: k = n OR {_ENDS(f'{w}[k]')})) AS l"
 
 SQL = {
+    "stripped_words": f"""WITH t AS (SELECT doc_id, {_words("text")} AS w FROM documents), a AS (SELECT *, CASE WHEN w[1] = 'That' AND w[2] = 'and' THEN 2 ELSE 0 END AS i FROM t),
+b AS (SELECT *, i + CASE WHEN w[i + 1] = 'Is' THEN 1 ELSE 0 END AS j FROM a), c AS (SELECT doc_id, w[j + CASE WHEN w[j + 1] = 'De' THEN 2 ELSE 1 END :] AS w FROM b),
+d AS (SELECT doc_id, list_filter(w, lambda x, i: NOT coalesce((x = 'of' AND w[i + 1] = 'the') OR (x = 'the' AND i > 1 AND w[i - 1] = 'of'), false)) AS w FROM c)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, md5(array_to_string(w, ' ')) AS digest FROM d""",
     "cue_languages": _sql(select="SELECT event_id, event_type AS own, CASE WHEN event_id % 3 > 0 THEN upper(event_type) ELSE event_type END AS translation, CASE WHEN event_id % 3 > 0 THEN event_type || chr(10) || upper(event_type) ELSE event_type END AS \"both\" FROM ev"),
     "verse_texts": _sql("c AS (SELECT item_id // 10 AS chapter, item_id % 10 + 1 AS verse, text FROM benchmark)", select="SELECT event_id, clip_id % 7 AS chapter, event_id % 12 + 1 AS verse, coalesce(c.text, '') AS text FROM ev LEFT JOIN c ON c.chapter = clip_id % 7 AND c.verse = event_id % 12 + 1"),
     "chapter_names": _sql(select="SELECT event_id, clip_id AS chapter, coalesce(n_name, '') AS name FROM ev LEFT JOIN nation ON n_nationkey = clip_id"),

@@ -159,6 +159,33 @@ def test_snapping_and_grouping(spark):
     assert [r.cue for r in cues.grouped(df).orderBy("idx").collect()] == [0, 0, 1, 2, 2, 3, 3, 4, 4, 5]
 
 
+def slow_requests(slices, ends, longest, late=0.6):
+    plan = []
+    for s, e in sorted(slices):
+        if plan and e - plan[-1][0] <= longest:
+            plan[-1] = (plan[-1][0], e)
+        else:
+            plan.append((s, e))
+        while plan[-1][1] - plan[-1][0] > longest:
+            a, b = plan.pop()
+            at = max([t for t in ends if a + late * longest <= t <= a + longest], default=a + longest)
+            plan += [(a, at), (at, b)]
+    return plan
+
+
+def test_requests_equal_a_loop(spark):
+    rng = random.Random(6)
+    for _ in range(3):
+        t, slices = 0, []
+        for _ in range(15):
+            t += rng.randrange(10, 60)
+            slices.append((t, t + rng.choice([20, 50, 90, 400])))
+            t = slices[-1][1]
+        ends = sorted({rng.randrange(t) for _ in range(30)})
+        found = intervals.request_plan(spans(spark, *slices), spans(spark, *((x - 1, x) for x in ends)), ["clip_id"], 100)
+        assert got(found) == slow_requests(slices, ends, 100)
+
+
 def test_wordless_gaps(spark):
     cue = lambda *rows: spark.createDataFrame([(1, s, e, t) for s, e, t in rows], CUE)
     two = cue((0, 2000, "a"), (5000, 7000, "b"))
