@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +71,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that other columns cannot clash; a null text is empty."""
     return docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"))
+
+
+def sized(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches whose strings in `column` have at most so many bytes, unless one row has more."""
+    for b in batches:
+        ends = np.cumsum(np.asarray(pc.binary_length(b.column(b.schema.get_field_index(column))).fill_null(0)), dtype=np.int64)
+        k = 0
+        while k < b.num_rows:
+            end = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + most, side="right")))
+            yield b.slice(k, end - k)
+            k = end
