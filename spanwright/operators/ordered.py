@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any, NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..sources.shared import staged
 
@@ -47,3 +51,27 @@ def over_others(df: DataFrame, keys: list[str], order: list[str], bucket: Column
         return (F.array_max if how == "max" else F.array_min)(F.filter(F.array(own, before), lambda x: x.isNotNull()))
 
     return both.select(*columns, *(found(k, v.how).alias(v.to) for k, v in enumerate(values)))
+
+
+def carried(df: DataFrame, keys: list[str], order: list[Column], start: Callable[[], Any], step: Callable[[Any, dict], Iterable[tuple]], schema: str) -> DataFrame:
+    """What `step` gives for each row of a key in order, given a state of its own that `start` makes and `step` changes.
+
+    Rows stream through a task in Arrow batches; a task holds one batch and one key's state, never a key's rows. Keys are
+    dealt over tasks by hash, so a key should be a transcript, a clip or the like."""
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    out = StructType.fromDDL(schema)
+    names = out.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, key, state = to_arrow_schema(out), None, None
+        for b in batches:
+            rows = []
+            for row in b.to_pylist():
+                own = tuple(row[k] for k in keys)
+                if state is None or own != key:
+                    key, state = own, start()
+                rows += step(state, row)
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    return dealt.mapInArrow(run, schema)

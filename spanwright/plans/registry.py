@@ -1,11 +1,11 @@
 """Queries by name, and the SQL that each should equal."""
 
-from . import assembled, passages, small, timeline
+from . import assembled, lanes, passages, small, timeline
 
 
 def queries() -> dict:
-    return passages.QUERIES | timeline.QUERIES | small.QUERIES | assembled.QUERIES
+    return passages.QUERIES | timeline.QUERIES | small.QUERIES | assembled.QUERIES | lanes.QUERIES
 
 
 def oracle_sql() -> dict:
-    return passages.SQL | timeline.SQL | small.SQL | assembled.SQL
+    return passages.SQL | timeline.SQL | small.SQL | assembled.SQL | lanes.SQL
