@@ -8,14 +8,16 @@ what is left of the transcript is searched again."""
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, word_forms, words
 from ..sources.shared import staged
 from .ordered import Over, carried, over_others
+from .search import align_pair
 
 #: Canon places that a chain leaps over at most, and a run of fewer than SETTLED matches.
 REACH, REACH_EARLY, SETTLED = 25, 6, 20
@@ -23,6 +25,9 @@ REACH, REACH_EARLY, SETTLED = 25, 6, 20
 FIRST, COMMON = 40, 100
 #: Adjacent places of a chain, matches of a run, the share of its span that they are, and rounds.
 ADJACENT, LEAST, SCORE, ROUNDS = 3, 4, 0.55, 11
+#: A transcript of LONG words is aligned with LANES chapters that its OPENING words tell, within BAND places of the diagonal;
+#: a lane has ALIGNED matches, and REST words or more that are left go on.
+LONG, LANES, OPENING, BAND, ALIGNED, REST = 300, 4, 60, 700, 10, 150
 
 
 def flat_canon(canon: DataFrame, item: str, text: str = "text", left_out: Column | None = None) -> DataFrame:
@@ -52,8 +57,7 @@ def near_seeds(heard: DataFrame, index: DataFrame, doc: str, first: int | None =
     canon; matches within `reach` of a seed on both sides count, common words too. So a common word meets canon places near
     seeds alone. Seeds and matches meet by cells of reach + 1 words a side, of which a seed's box touches nine at most."""
     over = Window.partitionBy(doc).orderBy("at")
-    told = heard.withColumn("t", F.row_number().over(over) - 1)
-    told = staged(told.withColumn("next", F.lead("form").over(over)), "told")
+    told = staged(ranked(heard, doc).withColumn("next", F.lead("form").over(over)), "told")
     rare = F.col("n") <= common
     # a pair is found from its rare word, the other one is looked up beside it
     pairs = staged(index.select("form", F.col("p"), "n"), "index")
@@ -154,9 +158,9 @@ def best_chains(points: DataFrame, doc: str, reach: int = REACH, adjacent: int =
     return carried(rows, [doc], [F.col("p").desc(), F.col("t").desc()], list, back, f"{doc} {dict(ends.dtypes)[doc]}, t long, at long, p long")
 
 
-def chain_stretches(chain: DataFrame, index: DataFrame, doc: str, item: str, reach: int = REACH, early: int = REACH_EARLY, settled: int = SETTLED) -> DataFrame:
-    """(doc, t, at, p, item, pos, run): a chain's matches with the run that each is in. A run ends at a chapter's end and
-    where more than `reach` places follow, or more than `early` while it has fewer than `settled` matches."""
+def chain_stretches(chain: DataFrame, index: DataFrame, keys: list[str], item: str, reach: int = REACH, early: int = REACH_EARLY, settled: int = SETTLED) -> DataFrame:
+    """(keys, t, at, p, item, pos, run): the matches of a key's chain with the run that each is in. A run ends at a chapter's
+    end and where more than `reach` places follow, or more than `early` while it has fewer than `settled` matches."""
     placed = chain.join(index.select("p", item, "pos").distinct(), "p")
     kinds = dict(placed.dtypes)
 
@@ -166,39 +170,103 @@ def chain_stretches(chain: DataFrame, index: DataFrame, doc: str, item: str, rea
         elif r[item] != run[3] or r["p"] - run[2] > (reach if run[1] >= settled else min(early, reach)):
             run[:2] = [run[0] + 1, 0]
         run[1:] = [run[1] + 1, r["p"], r[item]]
-        return [(r[doc], r["t"], r["at"], r["p"], r[item], r["pos"], run[0])]
+        return [(*(r[k] for k in keys), r["t"], r["at"], r["p"], r[item], r["pos"], run[0])]
 
-    return carried(placed, [doc], [F.col("p"), F.col("t")], list, step, f"{doc} {kinds[doc]}, t long, at long, p long, {item} {kinds[item]}, pos int, run int")
+    own = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return carried(placed, keys, [F.col("p"), F.col("t")], list, step, f"{own}, t long, at long, p long, {item} {kinds[item]}, pos int, run int")
 
 
-def scored_runs(stretches: DataFrame, doc: str, item: str, least: int = LEAST, score: float = SCORE) -> DataFrame:
-    """(doc, item, run, doc_from, doc_to, canon_from, canon_to, matched, score) of runs of `least` matches and a `score`,
+def scored_runs(stretches: DataFrame, keys: list[str], item: str, least: int = LEAST, score: float = SCORE) -> DataFrame:
+    """(keys, item, run, doc_from, doc_to, canon_from, canon_to, matched, score) of runs of `least` matches and a `score`,
     matches over canon words, or more; places in the chapter, ends exclusive."""
-    runs = stretches.groupBy(doc, item, "run").agg(
+    runs = stretches.groupBy(*keys, item, "run").agg(
         F.min("at").cast("int").alias("doc_from"), (F.max("at") + 1).cast("int").alias("doc_to"), F.min("pos").alias("canon_from"), (F.max("pos") + 1).alias("canon_to"), F.count("*").alias("matched")
     )
     runs = runs.withColumn("score", F.round(F.least(F.lit(1.0), F.col("matched") / (F.col("canon_to") - F.col("canon_from"))), 6))
     return runs.filter((F.col("matched") >= least) & (F.col("score") >= score))
 
 
-def collected(docs: DataFrame, canon: DataFrame, doc: str = "doc_id", item: str = "item_id", first: int | None = FIRST, rounds: int = ROUNDS, left_out: Column | None = None) -> DataFrame:
-    """Runs of each transcript, `level` telling the round: (doc, item, level, run, doc_from, ... , score).
+def chapter_candidates(told: DataFrame, index: DataFrame, doc: str, item: str, first: int = OPENING, top: int = LANES) -> DataFrame:
+    """(doc, item, score, place): the `top` chapters for the first words (t below `first`) of each transcript.
 
-    A round takes the best chain of what is left and its runs; the words of runs leave, and transcripts that lost some go
-    on with the rest. `rounds` bounds the depth, as repetitions take one round each. Every round is staged, and reads only
-    the transcripts that go on. Null and empty texts have no runs; a transcript is a distinct key."""
+    A word adds 1 / (1 + n) for each time that a chapter has it, n being how often the whole canon has it; in millionths,
+    so that sums are exact; ties: the lower chapter. Occurrences are counted by form and chapter before they meet words, so
+    a common word is one row a chapter."""
+    counts = index.groupBy("form", item, "n").agg(F.count("*").alias("many"))
+    heads = told.filter(F.col("t") < first).groupBy(doc, "form").agg(F.count("*").alias("heard"))
+    sums = heads.join(counts, "form").groupBy(doc, item).agg(F.sum(F.col("heard") * F.col("many") * F.floor(F.lit(1_000_000) / (1 + F.col("n")))).alias("score"))
+    over = Window.partitionBy(doc).orderBy(F.col("score").desc(), item)
+    return sums.withColumn("place", F.row_number().over(over)).filter(F.col("place") <= top)
+
+
+def aligned_lanes(told: DataFrame, index: DataFrame, candidates: DataFrame, doc: str, item: str, least: int = ALIGNED, band: int = BAND) -> DataFrame:
+    """(doc, item as lane, t, at, p): each transcript aligned with each of its candidate chapters as a whole, where that
+    matches `least` words or more. A task holds one transcript and one chapter at a time."""
+    forms = index.groupBy(item, "p").agg(F.sort_array(F.collect_list("form")).alias("forms"), F.sort_array(F.collect_list(F.struct("form", "n"))).alias("counts"))
+    chapters = forms.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("p", "forms", "counts"))).alias("places"))
+    heard = told.join(candidates.select(doc).distinct(), doc, "left_semi").groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("t", "at", "form"))).alias("heard"))
+    pairs = candidates.select(doc, item).join(heard, doc).join(chapters, item).repartition(doc, item)
+    kinds = dict(candidates.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in f.itertuples(index=False):
+                heard, places = getattr(row, "heard"), getattr(row, "places")
+                weight = {c["form"]: 1 / (1 + c["n"]) for x in places for c in x["counts"]}
+                found = align_pair([x["form"] for x in heard], [list(x["forms"]) for x in places], weight, band)
+                if len(found) >= least:
+                    yield pd.DataFrame([(getattr(row, doc), getattr(row, item), heard[i]["t"], heard[i]["at"], places[j]["p"]) for i, j in found], columns=[doc, "lane", "t", "at", "p"])
+
+    return pairs.mapInPandas(run, f"{doc} {kinds[doc]}, lane {kinds[item]}, t long, at long, p long")
+
+
+def lane_runs(told: DataFrame, index: DataFrame, doc: str, item: str, top: int = LANES) -> tuple[DataFrame, DataFrame]:
+    """The matches with their runs, and the runs, of each transcript's lanes. Lanes may claim the same words; settling
+    that is left to `detector.settle`."""
+    lanes = aligned_lanes(told, index, staged(chapter_candidates(told, index, doc, item, top=top), "candidates"), doc, item)
+    stretches = staged(chain_stretches(staged(lanes, "lanes"), index, [doc, "lane"], item), "stretches")
+    return stretches, scored_runs(stretches, [doc, "lane"], item)
+
+
+def ranked(heard: DataFrame, doc: str) -> DataFrame:
+    """heard with t, the rank of each word among those that are left, and how many a transcript has."""
+    over = Window.partitionBy(doc)
+    return heard.withColumn("t", (F.row_number().over(over.orderBy("at")) - 1).cast("long")).withColumn("words", F.count("*").over(over))
+
+
+def collected(docs: DataFrame, canon: DataFrame, doc: str = "doc_id", item: str = "item_id", first: int | None = FIRST, rounds: int = ROUNDS, long: int = LONG, rest: int = REST, left_out: Column | None = None) -> DataFrame:
+    """Runs of each transcript, `level` telling the round: (doc, item, level, way, doc_from, doc_to, canon_from, canon_to, matched, score).
+
+    Of a transcript with `long` words or more left, each of the best chapters is aligned as a lane; of others, the best
+    chain is taken. The words of runs leave. What is left of a chain's transcript goes on; what is left of a lane's goes
+    on if it has `rest` words, as those may repeat a chapter, or else if its two best chapters have had no run yet.
+    Transcripts without a new run are done. `rounds` bounds the depth, as a repetition takes a round. Each round is staged
+    and reads only the transcripts that go on. Null and empty texts have no runs; a transcript is a distinct key."""
     index = staged(flat_canon(canon, item, left_out=left_out), "index")
     heard, found = staged(heard_words(docs, doc, index), "heard"), None
     for level in range(rounds):
-        points = staged(near_seeds(heard, index, doc, first), "points")
-        if points.isEmpty():
+        told = staged(ranked(heard, doc), "ranked")
+        if told.isEmpty():
             break
-        stretches = staged(chain_stretches(best_chains(points, doc), index, doc, item), "stretches")
-        runs = staged(scored_runs(stretches, doc, item), "runs")
-        found = runs.withColumn("level", F.lit(level)) if found is None else found.unionByName(runs.withColumn("level", F.lit(level)))
-        taken = staged(stretches.join(runs.select(doc, "run"), [doc, "run"], "left_semi").select(doc, "at"), "taken")
-        heard = staged(heard.join(taken.select(doc).distinct(), doc, "left_semi").join(taken, [doc, "at"], "left_anti"), "heard")
+        points = staged(near_seeds(told.filter(F.col("words") < long), index, doc, first), "points")
+        chained = staged(chain_stretches(best_chains(points, doc), index, [doc], item), "stretches")
+        runs = scored_runs(chained, [doc], item)
+        taken = chained.join(runs.select(doc, "run"), [doc, "run"], "left_semi").select(doc, "at", F.lit(False).alias("lane"))
+        parts = runs.drop("run").withColumn("way", F.lit("chain"))
+        large = told.filter(F.col("words") >= long)
+        if not large.isEmpty():
+            matched, lanes = lane_runs(large, index, doc, item)
+            lanes = staged(lanes, "lanes")
+            taken = taken.unionByName(matched.join(lanes.select(doc, "lane", "run"), [doc, "lane", "run"], "left_semi").select(doc, "at", F.lit(True).alias("lane")).distinct())
+            parts = parts.unionByName(lanes.drop("run", "lane").withColumn("way", F.lit("lane")))
+        parts = staged(parts.withColumn("level", F.lit(level)), "runs")
+        found, taken = parts if found is None else found.unionByName(parts), staged(taken, "taken")
+        left = told.join(taken.groupBy(doc).agg(F.max("lane").alias("laned")), doc).join(taken.select(doc, "at"), [doc, "at"], "left_anti").drop("t", "words")
+        left = staged(ranked(left, doc), "left")
+        small = left.filter(F.col("laned") & (F.col("words") < rest))
+        known = chapter_candidates(small, index, doc, item, top=2).join(found.select(doc, item).distinct(), [doc, item], "left_semi").select(doc).distinct()
+        heard = staged(left.join(known, doc, "left_anti").select(doc, "at", "form"), "heard")
     if found is None:
         kinds = {**dict(docs.dtypes), **dict(canon.dtypes)}
-        return docs.sparkSession.createDataFrame([], f"{doc} {kinds[doc]}, {item} {kinds[item]}, run int, doc_from int, doc_to int, canon_from int, canon_to int, matched long, score double, level int")
+        return docs.sparkSession.createDataFrame([], f"{doc} {kinds[doc]}, {item} {kinds[item]}, doc_from int, doc_to int, canon_from int, canon_to int, matched long, score double, way string, level int")
     return found

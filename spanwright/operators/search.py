@@ -63,13 +63,13 @@ def primary_match(matches: DataFrame, key: str, item: str) -> DataFrame:
     return matches.groupBy(key).agg(F.max_by(F.struct(item, "doc_from", "doc_to", "score"), rank).alias("m")).select(key, "m.*")
 
 
-def idf_candidates(docs: DataFrame, canon: DataFrame, doc_key: str = "doc_id", canon_key: str = "item_id", first: int = 60, top: int = 3, most: int = 100) -> DataFrame:
-    """Of each document's first words (a feature: openings tell passages apart), the canon rows with the highest sums of
-    1/(1+df), in millionths so that sums are exact; ties go to the lower key. Words of over `most` canon rows tell
-    next to nothing and are left out, so a document meets `first` * `most` canon rows at most."""
-    index = positions(canon, canon_key).select("word", canon_key).distinct()
-    freq = index.groupBy("word").agg(F.count("*").alias("df")).filter(F.col("df") <= most)
-    weight = index.join(freq, "word").withColumn("w", F.floor(F.lit(1_000_000) / (1 + F.col("df"))))
+def idf_candidates(docs: DataFrame, canon: DataFrame, doc_key: str = "doc_id", canon_key: str = "item_id", first: int = 60, top: int = 3) -> DataFrame:
+    """The canon rows that each document's first words tell (a feature: openings tell passages apart): a word adds
+    1 / (1 + n) for each time that a row has it, n being how often the canon has it, in millionths so that sums are exact;
+    ties go to the lower key. Occurrences are counted by word and row before documents meet them, so a word that all rows
+    have is one row of counts each, however often they have it."""
+    counts = positions(canon, canon_key).groupBy("word", canon_key).agg(F.count("*").alias("many"))
+    weight = counts.join(counts.groupBy("word").agg(F.sum("many").alias("all")), "word").withColumn("w", F.col("many") * F.floor(F.lit(1_000_000) / (1 + F.col("all"))))
     heads = docs.select(doc_key, F.explode(F.slice(words(F.col("text")), 1, first)).alias("word")).groupBy(doc_key, "word").agg(F.count("*").alias("n"))
     sums = heads.join(weight, "word").groupBy(doc_key, canon_key).agg(F.sum(F.col("n") * F.col("w")).alias("score"))
     over = Window.partitionBy(doc_key).orderBy(F.col("score").desc(), canon_key)
@@ -123,14 +123,17 @@ def fuzzy_partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def align_pair(heard: list[str], canon: list[str], weight: dict[str, float], band: int = 700) -> list[tuple[int, int]]:
+def align_pair(heard: list[str], canon: list[str] | list[list[str]], weight: dict[str, float], band: int = 700) -> list[tuple[int, int]]:
     """Places (heard, canon) of a best alignment: either side may skip words free of cost, a match earns its word's
-    weight, a mismatch costs 1; under ten heard words there is none."""
+    weight, a mismatch costs 1; under ten heard words there is none. A canon word may be a list of spellings."""
     n, m = len(heard), len(canon)
     if n < 10 or not m:
         return []
-    codes = {w: k for k, w in enumerate(dict.fromkeys([*heard, *canon]))}
-    h, c = np.array([codes[w] for w in heard]), np.array([codes[w] for w in canon])
+    forms = [[w] if isinstance(w, str) else w for w in canon]
+    codes = {w: k for k, w in enumerate(dict.fromkeys([*heard, *(w for x in forms for w in x)]))}
+    h, c = np.array([codes[w] for w in heard]), np.full((max(map(len, forms)), m), -1)
+    for j, x in enumerate(forms):
+        c[: len(x), j] = [codes[w] for w in x]
     gain = np.array([weight.get(w, 0.5) for w in codes])
     width = min(m, 2 * band + 1)
     centres = [round(k * m / max(1, n - 1)) for k in range(n)]
@@ -138,7 +141,7 @@ def align_pair(heard: list[str], canon: list[str], weight: dict[str, float], ban
     best, diagonal, came = np.zeros(m + 1), np.zeros((n, width), bool), np.zeros((n, width), np.int32)
     for k, (lo, centre) in enumerate(zip(lows, centres, strict=True)):
         own, away = slice(lo, lo + width), np.abs(np.arange(lo, lo + width) - centre)
-        step = best[lo - 1 : lo + width - 1] + np.where(c[lo - 1 : lo + width - 1] == h[k], gain[h[k]], -1.0)
+        step = best[lo - 1 : lo + width - 1] + np.where((c[:, lo - 1 : lo + width - 1] == h[k]).any(0), gain[h[k]], -1.0)
         step[away > band] = -np.inf
         diagonal[k] = step > best[own]
         row = np.maximum(best[own], step)
@@ -160,7 +163,7 @@ def align_pair(heard: list[str], canon: list[str], weight: dict[str, float], ban
             j = lows[k] - 1
             continue
         if diagonal[k, j - lows[k]]:
-            if heard[k] == canon[j - 1]:
+            if heard[k] in forms[j - 1]:
                 out.append((k, j - 1))
             j -= 1
     return out[::-1]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import chains
 from ..sources.shared import staged, table
@@ -20,7 +21,21 @@ def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.collected(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"anchor_chains": anchor_chains, "collected_runs": collected}
+def lane_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chapters that the first words of each document tell, of those that the canon has."""
+    index = staged(chains.flat_canon(table(spark, sf_dir, "benchmark"), "item_id"), "index")
+    told = chains.ranked(chains.heard_words(table(spark, sf_dir, "documents"), "doc_id", index), "doc_id")
+    return chains.chapter_candidates(told, index, "doc_id", "item_id")
+
+
+def long_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of the first round of lanes: documents with many words of the canon."""
+    index = staged(chains.flat_canon(table(spark, sf_dir, "benchmark"), "item_id"), "index")
+    told = staged(chains.ranked(chains.heard_words(table(spark, sf_dir, "documents"), "doc_id", index), "doc_id"), "ranked")
+    return chains.lane_runs(told.filter(F.col("words") >= chains.LONG), index, "doc_id", "item_id")[1].drop("lane", "run")
+
+
+QUERIES = {"anchor_chains": anchor_chains, "collected_runs": collected, "lane_candidates": lane_candidates, "long_lanes": long_lanes}
 
 _INDEX = f"""cw AS (SELECT item_id, {_words("text")} AS w FROM benchmark), cb AS (SELECT item_id, w, sum(len(w)) OVER (ORDER BY item_id) - len(w) AS before FROM cw),
 ix AS MATERIALIZED (SELECT item_id, pos, before + pos AS p, form FROM (SELECT item_id, before, unnest(range(len(w))) AS pos, unnest(w) AS form FROM cb)),
@@ -46,4 +61,9 @@ e AS (SELECT * FROM c WHERE value >> 24 >= 3 QUALIFY row_number() OVER (PARTITIO
 r AS (SELECT doc_id, t, wd, p, CASE WHEN t1 IS NOT NULL THEN t1 END AS nt, p1 AS np, f1 AS nf FROM e
   UNION ALL SELECT c.doc_id, c.t, c.wd, c.p, CASE r.nf WHEN 1 THEN c.t1 ELSE c.t0 END, CASE r.nf WHEN 1 THEN c.p1 ELSE c.p0 END, CASE r.nf WHEN 1 THEN c.f1 ELSE 0 END FROM r JOIN c ON c.doc_id = r.doc_id AND c.t = r.nt AND c.p = r.np)"""
 
-SQL = {"anchor_chains": f"WITH RECURSIVE {_BACK} SELECT doc_id, CAST(t AS BIGINT) AS t, CAST(wd AS BIGINT) AS word, CAST(p AS BIGINT) AS p FROM r"}
+SQL = {
+    "lane_candidates": f"""WITH {_POINTS[: _POINTS.index("m AS MATERIALIZED")].rstrip().rstrip(",")},
+s AS (SELECT doc_id, item_id, CAST(sum(CAST(floor(1000000 / (1 + n)) AS BIGINT)) AS BIGINT) AS score FROM h JOIN ix USING (form) JOIN fr USING (form) WHERE t < 60 GROUP BY doc_id, item_id)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS INTEGER) AS place FROM s) WHERE place <= 4""",
+    "anchor_chains": f"WITH RECURSIVE {_BACK} SELECT doc_id, CAST(t AS BIGINT) AS t, CAST(wd AS BIGINT) AS word, CAST(p AS BIGINT) AS p FROM r",
+}

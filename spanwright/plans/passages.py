@@ -125,7 +125,7 @@ SELECT page_id, CASE ext %s ELSE 'application/octet-stream' END AS kind, regexp_
     "normalized_tokens": f"SELECT doc_id, md5({_FOLD}) AS digest, CAST(len({_words(_FOLD)}) AS BIGINT) AS n_words FROM documents",
     "token_stats": f"SELECT word, count(*) AS n, count(DISTINCT conv_id) AS df FROM (SELECT conv_id, unnest({_words('text')}) AS word FROM conversations) GROUP BY word",
     "inverted_index": f"SELECT word, count(DISTINCT item_id) AS df, count(*) AS n, min(item_id) AS first_key FROM (SELECT item_id, unnest({_words('text')}) AS word FROM benchmark) GROUP BY word",
-    "idf_candidates": f"""WITH i AS (SELECT DISTINCT item_id, unnest({_words("text")}) AS word FROM benchmark), f AS (SELECT word, CAST(floor(1000000 / (1 + count(*))) AS BIGINT) AS w FROM i GROUP BY word HAVING count(*) <= 100),
+    "idf_candidates": f"""WITH i AS (SELECT item_id, unnest({_words("text")}) AS word FROM benchmark), f AS (SELECT word, CAST(floor(1000000 / (1 + count(*))) AS BIGINT) AS w FROM i GROUP BY word),
 h AS (SELECT doc_id, unnest({_words("text")}[1:60]) AS word FROM documents),
 s AS (SELECT doc_id, item_id, CAST(sum(w) AS BIGINT) AS score FROM h JOIN i USING (word) JOIN f USING (word) GROUP BY doc_id, item_id)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS INTEGER) AS place FROM s) WHERE place <= 3""",

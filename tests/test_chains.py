@@ -147,5 +147,84 @@ def test_left_out_chapters_have_no_places(spark):
     canon = spark.createDataFrame([(1, numbers(0, 9)), (2, numbers(5, 14))], CANON)
     docs = spark.createDataFrame([(1, numbers(0, 9))], DOC)
     (run,) = chains.collected(docs, canon, left_out=F.col("item_id") == 1).collect()
-    assert (run.item_id, run.doc_from, run.doc_to, run.canon_from, run.canon_to) == (2, 5, 9, 0, 4)
+    assert run.way == "chain" and (run.item_id, run.doc_from, run.doc_to, run.canon_from, run.canon_to) == (2, 5, 9, 0, 4)
     assert chains.collected(docs.limit(0), canon).count() == 0 == chains.collected(docs, canon.limit(0)).count()
+
+
+def slow_candidates(words, canon, top):
+    flat = [w for _, text in canon for w in text.split()]
+    score = {k: sum(1_000_000 // (1 + flat.count(w)) for w in words[:60] for x in text.split() if x == w) for k, text in canon}
+    return [k for k in sorted(score, key=lambda k: (-score[k], k)) if score[k]][:top]
+
+
+def slow_lanes(doc, canon, long, rest):
+    """The rule round by round, for transcripts that stay long enough for lanes."""
+    from spanwright.operators.search import align_pair
+
+    flat, base, items = [], {}, []
+    for k, text in canon:
+        base[k] = len(flat)
+        flat += text.split()
+        items += [k] * len(text.split())
+    heard, out = [(at, w) for at, w in enumerate(doc.split()) if w in flat], []
+    for level in range(11):
+        if len(heard) < long:
+            return out, len(heard)
+        taken = set()
+        for k in slow_candidates([w for _, w in heard], canon, 4):
+            text = dict(canon)[k].split()
+            found = align_pair([w for _, w in heard], text, {w: 1 / (1 + flat.count(w)) for w in text})
+            if len(found) < 10:
+                continue
+            for run in slow_runs([(i, base[k] + j) for i, j in found], items):
+                words = [heard[i][0] for i, _ in run]
+                out.append((k, level, min(words), max(words) + 1, run[0][1] - base[k], run[-1][1] - base[k] + 1, len(run)))
+                taken |= set(words)
+        heard = [x for x in heard if x[0] not in taken]
+        if not taken or not heard or len(heard) < rest and set(slow_candidates([w for _, w in heard], canon, 2)) & {r[0] for r in out}:
+            return out, 0
+    return out, 0
+
+
+def test_lanes_equal_the_rule_round_by_round(spark):
+    rng = random.Random(5)
+    canon = [(k, " ".join(rng.choice([f"c{rng.randrange(6)}", f"u{k}x{j}", f"u{k}x{j}"]) for j in range(80))) for k in range(6)]
+    docs = []
+    for d in range(8):
+        parts = []
+        for _ in range(rng.randrange(2, 6)):
+            text = canon[rng.randrange(6)][1].split()
+            parts += [w for w in text if rng.random() > 0.1] if rng.random() > 0.3 else [f"c{rng.randrange(6)}" for _ in range(30)]
+        docs.append((d, " ".join(parts)))
+    got = chains.collected(spark.createDataFrame(docs, DOC), spark.createDataFrame(canon, CANON), long=20, rest=60).filter("way = 'lane'").collect()
+    want = [(d, *r) for d, text in docs for r in slow_lanes(text, canon, 20, 60)[0]]
+    assert sorted((r.doc_id, r.item_id, r.level, r.doc_from, r.doc_to, r.canon_from, r.canon_to, r.matched) for r in got) == sorted(want)
+    assert max(r[2] for r in want) >= 1 and len(want) > 12
+
+
+def test_a_long_transcript_changes_to_chains(spark):
+    """Lanes take the long chapter, what is left is short and of a new chapter, so a chain takes that one."""
+    canon = [(1, numbers(0, 60)), (2, numbers(0, 20, "v"))]
+    docs = spark.createDataFrame([(1, numbers(0, 60) + " " + numbers(4, 12, "v"))], DOC)
+    runs = chains.collected(docs, spark.createDataFrame(canon, CANON), long=30, rest=40).collect()
+    assert sorted((r.item_id, r.way, r.level, r.doc_from, r.doc_to) for r in runs) == [(1, "lane", 0, 0, 60), (2, "chain", 1, 60, 68)]
+
+
+def test_occurrences_weigh_candidates(spark):
+    """A word counts for each time that a row has it, and less the more often the canon has it."""
+    from spanwright.operators import search
+
+    canon = spark.createDataFrame([(1, "a a a b"), (2, "a b b"), (3, "c")], CANON)
+    docs = spark.createDataFrame([(1, "a"), (2, "a b b"), (3, "d"), (4, None)], DOC)
+    got = sorted((r.doc_id, r.item_id, r.score, r.place) for r in search.idf_candidates(docs, canon).collect())
+    a, b = 1_000_000 // 5, 1_000_000 // 4
+    assert got == [(1, 1, 3 * a, 1), (1, 2, a, 2), (2, 1, 3 * a + 2 * b, 2), (2, 2, a + 4 * b, 1)]
+
+
+def test_a_word_of_all_rows_is_not_dropped(spark):
+    from spanwright.operators import search
+
+    canon = spark.createDataFrame([(k, "the " * (k % 3 + 1)) for k in range(150)], CANON)
+    docs = spark.createDataFrame([(1, "the")], DOC)
+    got = sorted((r.place, r.item_id) for r in search.idf_candidates(docs, canon).collect())
+    assert got == [(1, 2), (2, 5), (3, 8)]
