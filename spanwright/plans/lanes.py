@@ -63,7 +63,8 @@ r AS (SELECT doc_id, t, wd, p, CASE WHEN t1 IS NOT NULL THEN t1 END AS nt, p1 AS
 
 SQL = {
     "lane_candidates": f"""WITH {_POINTS[: _POINTS.index("m AS MATERIALIZED")].rstrip().rstrip(",")},
-s AS (SELECT doc_id, item_id, CAST(sum(CAST(floor(1000000 / (1 + n)) AS BIGINT)) AS BIGINT) AS score FROM h JOIN ix USING (form) JOIN fr USING (form) WHERE t < 60 GROUP BY doc_id, item_id)
+hd AS MATERIALIZED (SELECT doc_id, form, count(*) FILTER (t < 60) AS heard FROM h GROUP BY doc_id, form), ic AS MATERIALIZED (SELECT item_id, form, count(*) AS many FROM ix GROUP BY item_id, form),
+s AS (SELECT doc_id, item_id, CAST(sum(heard * many * CAST(floor(1000000 / (1 + n)) AS BIGINT)) AS BIGINT) AS score FROM hd JOIN ic USING (form) JOIN fr USING (form) WHERE heard > 0 GROUP BY doc_id, item_id)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS INTEGER) AS place FROM s) WHERE place <= 4""",
     "anchor_chains": f"WITH RECURSIVE {_BACK} SELECT doc_id, CAST(t AS BIGINT) AS t, CAST(wd AS BIGINT) AS word, CAST(p AS BIGINT) AS p FROM r",
 }
