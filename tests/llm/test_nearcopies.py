@@ -13,25 +13,20 @@ def shingles(text, size=5):
     return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
 
 
-def bits(wide):
-    return np.frombuffer(wide, "<u8")
-
-
-def slow_components(rows, distance):
-    """(node, wide) -> node -> component, over all pairs."""
-    nodes = dict(rows)
-    names, root = list(nodes), {n: n for n in nodes}
+def slow_components(sets, similar=0.8):
+    """Which texts near copies connect, over all pairs."""
+    root = list(range(len(sets)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i, a in enumerate(names):
-        for b in names[:i]:
-            if np.bitwise_count(bits(nodes[a]) ^ bits(nodes[b])).sum(dtype=int) <= distance:
-                root[find(a)] = find(b)
-    return {n: find(n) for n in names}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    return {n: find(n) for n in range(len(sets))}
 
 
 def groups(of):
@@ -77,29 +72,61 @@ def test_bits_are_majorities():
         assert int(nearcopies.majorities(h, starts)[k]) == want
 
 
-@pytest.mark.parametrize("bucket,many", [(nearcopies.BUCKET, nearcopies.MANY), (4, 16), (3, 2)])
-def test_components_equal_brute_force(spark, bucket, many):
+@pytest.mark.parametrize("bucket,most", [(nearcopies.BUCKET, nearcopies.BYTES), (4, 3000), (3, 900)])
+def test_components_equal_all_pairs(spark, bucket, most):
+    """Groups of every size, in one piece and in many parts: the same as of all pairs by Jaccard similarity."""
     texts = near_texts(3, 8) + ["", "one two", "one two"]
+    want = groups(slow_components([shingles(t) for t in texts]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    rows = nearcopies.sketches(df).collect()
-    want = groups(slow_components([(r.node, r.wide) for r in rows], 102))
-    node = {r.text_hash: r.node for r in rows}
-    found = nearcopies.near_components(df, bucket=bucket, many=many).collect()
+    found = nearcopies.near_components(df, bucket=bucket, most=most).collect()
     assert len(found) == len(texts)
-    assert groups({node[r.text_hash]: r.component for r in found}) == want
-    assert any(len(g) > 4 for g in want) and len(want) > 5
-
-
-def test_texts_of_a_similarity_of_08_meet(spark):
-    texts = near_texts(5, 10)
+    assert groups({r.doc_id: r.component for r in found}) == want
+    assert any(len(g) > 4 for g in want) and len(want) > 10
+
+
+def edited(rng, base, edits):
+    text = list(base)
+    for k in rng.sample(range(len(text)), edits):
+        text[k] = f"e{rng.randrange(10**9)}"
+    return " ".join(text)
+
+
+def test_one_crowded_block_and_a_chain(spark):
+    """A large group that only its base connects (copies of it are under 0.8 to each other), a chain of texts each near
+    the next alone, and texts that share half of their shingles; blocks and groups are cut into many parts."""
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, half = words(120), words(60)
+    texts = [" ".join(base)] + [edited(rng, base, 2) for _ in range(150)]
+    chain = words(130)
+    texts += [" ".join(chain[k : k + 100]) for k in range(0, 30, 5)]
+    texts += [" ".join(half + words(60)) for _ in range(60)]
     sets = [shingles(t) for t in texts]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    own = dict(nearcopies.near_components(df).join(df.select("doc_id", F.xxhash64("text").alias("text_hash")), ["doc_id", "text_hash"]).select("doc_id", "component").collect())
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    assert len(pairs) > 100
-    assert sum(own[i] == own[j] for i, j in pairs) >= 0.98 * len(pairs)
-    apart = [(i, j) for i in range(len(texts)) for j in range(i) if not sets[i] & sets[j]]
-    assert not any(own[i] == own[j] for i, j in apart)
+    want = groups(slow_components(sets))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = nearcopies.near_components(df, bucket=8, most=4000).collect()
+    assert groups({r.doc_id: r.component for r in found}) == want
+    assert sum(5 * len(a & b) < 4 * len(a | b) for k, a in enumerate(sets[1:151]) for b in sets[1 : k + 1]) > 2000
+    assert sorted(map(len, want))[-2:] == [6, 151]
+
+
+@pytest.mark.parametrize("table", [nearcopies.TABLE, 40_000, 0])
+def test_tree_of_similar_sets(monkeypatch, table):
+    monkeypatch.setattr(nearcopies, "TABLE", table)
+    rng = np.random.default_rng(6)
+    base = [rng.choice(1 << 40, int(rng.integers(1, 90)), replace=False) for _ in range(9)]
+    sets = []
+    for k in range(120):
+        x = base[k % 9]
+        sets.append(set(x[rng.random(len(x)) > 0.08].tolist()) | set(rng.integers(0, 1 << 40, int(rng.integers(0, 6))).tolist()))
+    sets += [set(), {7}, {7}]
+    held = [b"".join(int(v).to_bytes(5, "big") for v in sorted(s)) for s in sets]
+    a, b = nearcopies.similar_tree(held, 0.8)
+    root = list(range(len(sets)))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        assert 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])
+        root = [root[y] if r == root[x] else r for r in root]
+    assert groups(dict(enumerate(root))) == groups(slow_components(sets))
 
 
 def test_stage_keeps_one_row_of_each_component(spark, odd, nothing):
