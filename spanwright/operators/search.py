@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -85,23 +85,24 @@ def window_matches(rows: DataFrame, key: str, order: str, count: str, want: int)
     return starts.join(ends, [key, "goal"]).filter("last >= first").select(key, "first", "last")
 
 
-def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit for each character of a."""
+def ratios(a: str, others: Iterable[str]) -> Iterator[float]:
+    """Similarity of `a` with each of the others by insertions and deletions alone, 0 to 100: twice the longest common
+    subsequence over both lengths. The table of a's characters, a bit for each place, is made once."""
     seen: dict[str, int] = {}
     for i, c in enumerate(a):
         seen[c] = seen.get(c, 0) | 1 << i
     full = (1 << len(a)) - 1
-    v = full
-    for c in b:
-        u = v & seen.get(c, 0)
-        v = (v + u | v - u) & full
-    return len(a) - v.bit_count()
+    for b in others:
+        v = full
+        for c in b:
+            u = v & seen.get(c, 0)
+            v = (v + u | v - u) & full
+        yield 200.0 * (len(a) - v.bit_count()) / (len(a) + len(b)) if a or b else 100.0
 
 
 def ratio(a: str | None, b: str | None) -> float:
-    """Similarity by insertions and deletions alone, 0 to 100; null counts as empty, two empty texts are alike."""
-    a, b = a or "", b or ""
-    return 200.0 * _lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
+    """Similarity of two texts as in ratios(); null counts as empty, two empty texts are alike."""
+    return next(ratios(a or "", [b or ""]))
 
 
 def partial_ratio(a: str | None, b: str | None) -> float:
@@ -110,7 +111,7 @@ def partial_ratio(a: str | None, b: str | None) -> float:
     if not short:
         return 0.0 if long else 100.0
     n = len(short)
-    return max(ratio(short, long[max(0, k) : k + n]) for k in range(1 - n, len(long)))
+    return max(ratios(short, (long[max(0, k) : k + n] for k in range(1 - n, len(long)))))
 
 
 @F.pandas_udf(DoubleType())

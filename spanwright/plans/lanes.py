@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chains
+from ..functions.text import words
+from ..operators import chains, cursor, search
 from ..sources.shared import staged, table
+from . import passages
 from .passages import _words
 
 
@@ -35,7 +37,19 @@ def long_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.lane_runs(told.filter(F.col("words") >= chains.LONG), index, "doc_id", "item_id")[1].drop("lane", "run")
 
 
-QUERIES = {"anchor_chains": anchor_chains, "collected_runs": collected, "lane_candidates": lane_candidates, "long_lanes": long_lanes}
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that has a passage, in chunks of six words of two seconds each, placed in that passage; ten of its words are a verse."""
+    best = search.primary_match(passages.passage_runs(spark, sf_dir), "doc_id", "item_id").select("doc_id", "item_id")
+    verses = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("canon"))
+    verses = verses.withColumn("verses", F.transform("canon", lambda _, i: F.floor(i / 10).cast("int")))
+    own = table(spark, sf_dir, "documents").join(best, "doc_id").select("doc_id", "item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 6).cast("int")), lambda k: F.slice("w", 6 * k + 1, 6))
+    chunks = own.select("doc_id", "item_id", F.posexplode(parts).alias("k", "w")).join(verses, "item_id")
+    chunks = chunks.withColumn("start_ms", F.col("k").cast("long") * 2000).withColumn("end_ms", F.col("start_ms") + 2000)
+    return cursor.passage_segments(staged(chunks, "chunks"), "doc_id", "k")
+
+
+QUERIES = {"passage_segments": segments, "anchor_chains": anchor_chains, "collected_runs": collected, "lane_candidates": lane_candidates, "long_lanes": long_lanes}
 
 _INDEX = f"""cw AS (SELECT item_id, {_words("text")} AS w FROM benchmark), cb AS (SELECT item_id, w, sum(len(w)) OVER (ORDER BY item_id) - len(w) AS before FROM cw),
 ix AS MATERIALIZED (SELECT item_id, pos, before + pos AS p, form FROM (SELECT item_id, before, unnest(range(len(w))) AS pos, unnest(w) AS form FROM cb)),
