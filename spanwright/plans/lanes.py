@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..operators import chains, cursor, search
+from ..operators import chains, cursor, search, windows
 from ..sources.shared import staged, table
 from . import passages
 from .passages import _words
@@ -49,7 +49,18 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cursor.passage_segments(staged(chunks, "chunks"), "doc_id", "k")
 
 
-QUERIES = {"passage_segments": segments, "anchor_chains": anchor_chains, "collected_runs": collected, "lane_candidates": lane_candidates, "long_lanes": long_lanes}
+def _sentences(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+")).alias("sentence", "text"))
+
+
+def tight_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sentence of `documents` that is, or nearly is, some sentences of `benchmark` in a row."""
+    heard = _sentences(table(spark, sf_dir, "documents"), "doc_id").select(F.struct("doc_id", "sentence").alias("key"), "text")
+    entries = _sentences(table(spark, sf_dir, "benchmark"), "item_id").select((F.col("item_id") * 1_000_000 + F.col("sentence")).alias("entry"), "text")
+    return windows.tight_windows(heard, entries, "key", "entry").select("key.*", "words", "first", "last", "score")
+
+
+QUERIES = {"tight_windows": tight_windows, "passage_segments": segments, "anchor_chains": anchor_chains, "collected_runs": collected, "lane_candidates": lane_candidates, "long_lanes": long_lanes}
 
 _INDEX = f"""cw AS (SELECT item_id, {_words("text")} AS w FROM benchmark), cb AS (SELECT item_id, w, sum(len(w)) OVER (ORDER BY item_id) - len(w) AS before FROM cw),
 ix AS MATERIALIZED (SELECT item_id, pos, before + pos AS p, form FROM (SELECT item_id, before, unnest(range(len(w))) AS pos, unnest(w) AS form FROM cb)),
