@@ -252,16 +252,15 @@ def near_links(classes: DataFrame, limit: int = LIMIT, bucket: int = BUCKET) ->
     return _linked(_dealt(met), classes, "wide", lambda x: near_tree(x, limit), "near")
 
 
-def similar_links(classes: DataFrame, groups: DataFrame, similar: float = SIMILAR, most: int = BYTES) -> DataFrame:
-    """(node, held) and (node, root) -> (a, b): links between nodes of one group whose sets have this Jaccard similarity or
-    more, so many that their components are those of all such links in the group.
+def similar_links(members: DataFrame, similar: float = SIMILAR, most: int = BYTES) -> DataFrame:
+    """(node, key, held) -> (a, b): links between nodes of one group, told by key, whose sets have this Jaccard similarity
+    or more, so many that their components are those of all such links in the group.
 
     A group is one task; one with more than `most` bytes of shingles is cut into parts, and each two of them are searched
     together. So a task's sets are bounded, and no link is lost; the tasks of one group grow with the square of its parts."""
-    members = stage(groups.join(classes.select("node", F.octet_length("held").alias("bytes")), "node").select("node", F.col("root").alias("key"), "bytes"), "members")
-    sizes = stage(members.groupBy("key").agg(F.ceil(F.sum("bytes") / most).alias("parts")), "sizes")
-    met = members.join(sizes, "key").select("node", "key", F.greatest("parts", F.lit(1)).alias("parts"))
-    return _linked(_dealt(met), classes, "held", lambda x: similar_tree(x, similar), "similar")
+    sizes = stage(members.groupBy("key").agg(F.ceil(F.sum(F.octet_length("held")) / most).alias("parts")), "sizes")
+    met = members.select("node", "key").join(sizes, "key").select("node", "key", F.greatest("parts", F.lit(1)).alias("parts"))
+    return _linked(_dealt(met), members, "held", lambda x: similar_tree(x, similar), "similar")
 
 
 def near_components(docs: DataFrame, size: int = SHINGLE, similar: float = SIMILAR, limit: int = LIMIT, bucket: int = BUCKET, most: int = BYTES) -> DataFrame:
@@ -275,9 +274,11 @@ def near_components(docs: DataFrame, size: int = SHINGLE, similar: float = SIMIL
     path = new_path(spark, "components")
     with scratch(spark):
         own = stage(sketches(docs, size), "sketches")
-        classes = stage(own.groupBy("node").agg(F.first("wide").alias("wide"), F.first("keys").alias("keys"), F.first("held").alias("held")), "classes")
+        classes = stage(own.groupBy("node").agg(F.first("wide").alias("wide"), F.first("keys").alias("keys")), "classes")
         groups = stage(connected_components(near_links(classes, limit, bucket)), "groups")
-        roots = stage(connected_components(similar_links(classes, groups, similar, most)), "roots")
+        # sets are shuffled once, and of those only what is in a group is written
+        members = own.select("node", "held").join(groups.withColumnRenamed("root", "key"), "node").groupBy("node").agg(F.first("key").alias("key"), F.first("held").alias("held"))
+        roots = stage(connected_components(similar_links(stage(members, "members"), similar, most)), "roots")
         out = own.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("component"))
         out.write.parquet(path)
     return spark.read.schema(out.schema).parquet(path)
