@@ -7,13 +7,17 @@ those in common, and no pair is lost. Only pairs that meet so are compared."""
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import words
 from ..sources.shared import staged
 from .ordered import Over, over_others
-from .search import fuzzy_partial_ratio, fuzzy_ratio
+from .search import fuzzy_ratio, ratios
 
 #: The similarity of a whole transcript with a window of as many words, of a part with a window of SIZES words, in percent.
 WHOLE, PART = 75.0, 90.0
@@ -69,6 +73,27 @@ def whole_pairs(texts: DataFrame, windows: DataFrame) -> DataFrame:
     return pairs.select("a", "b", fuzzy_ratio("text", "other").alias("score")).filter(F.col("score") >= WHOLE)
 
 
+def part_score(short: str, long: str) -> float:
+    """The similarity of `short` with the most similar stretch of `long` that is as long, or shorter at either end, if it is
+    PART percent or more, else 0. Only stretches with as many stretches of q characters in common as part_pairs says are compared."""
+    n = len(short)
+    if short in long:
+        return 100.0
+    if n < 6:
+        return 0.0  # one character less is under 90 percent
+    q, needed = (3, max(1, -int(-(n * 0.4545 - 2) // 1))) if n >= 7 else (2, 3)
+    own = {short[k : k + q] for k in range(n - q + 1)}
+    hits = [0, *accumulate(long[k : k + q] in own for k in range(len(long) - q + 1))]
+    near = (k for k in range(1 - n, len(long)) if hits[max(0, min(k + n - q + 1, len(hits) - 1))] - hits[min(max(0, k), len(hits) - 1)] >= needed)
+    best = max(ratios(short, (long[max(0, k) : k + n] for k in near)), default=0.0)
+    return best if best >= PART else 0.0
+
+
+@F.pandas_udf(DoubleType())
+def _part_scores(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([part_score(*sorted(x, key=len)) for x in zip(a, b, strict=True)], dtype="float64")
+
+
 def part_pairs(texts: DataFrame, windows: DataFrame) -> DataFrame:
     """(a, text) and (b, text) -> (a, b, score): pairs where the shorter text is PART percent like a stretch of the longer.
 
@@ -84,7 +109,12 @@ def part_pairs(texts: DataFrame, windows: DataFrame) -> DataFrame:
     pairs = near.withColumn("own", F.lit(True)).unionByName(other.withColumn("own", F.lit(False))).join(texts, "a").join(windows.select("b", F.col("text").alias("other")), "b")
     # each pair comes from its shorter text; of equal lengths either will do
     pairs = pairs.filter(F.when(F.col("own"), s <= F.length("other")).otherwise(F.length("other") < s))
-    return pairs.select("a", "b", fuzzy_partial_ratio("text", "other").alias("score")).filter(F.col("score") >= PART)
+    shorter, longer = F.when(s <= F.length("other"), F.col("text")).otherwise(F.col("other")), F.when(s <= F.length("other"), F.col("other")).otherwise(F.col("text"))
+    # what a stretch has in common the whole text has
+    pairs = pairs.withColumn("short", shorter).withColumn("long", longer).withColumn("n", F.length("short"))
+    many = F.size(F.filter(_grams(F.col("short"), F.when(F.col("n") >= 7, 3).otherwise(F.least(F.lit(2), F.col("n")))), lambda g: F.col("long").contains(g)))
+    pairs = pairs.filter(F.when(F.col("n") < 6, F.col("long").contains(F.col("short"))).when(F.col("n") < 7, many >= 3).otherwise(many >= F.ceil(F.col("n") * 0.4545 - 2)))
+    return pairs.select("a", "b", _part_scores("short", "long").alias("score")).filter(F.col("score") >= PART)
 
 
 def tight_windows(transcripts: DataFrame, entries: DataFrame, key: str, order: str) -> DataFrame:

@@ -54,10 +54,10 @@ def _sentences(df: DataFrame, key: str) -> DataFrame:
 
 
 def tight_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each sentence of `documents` that is, or nearly is, some sentences of `benchmark` in a row."""
-    heard = _sentences(table(spark, sf_dir, "documents"), "doc_id").select(F.struct("doc_id", "sentence").alias("key"), "text")
+    """What each document has of its best passage, as the sentences of `benchmark` in a row that it is, or nearly is."""
+    heard = staged(passages.pairs(spark, sf_dir), "heard").select("doc_id", F.array_join("heard", " ").alias("text"))
     entries = _sentences(table(spark, sf_dir, "benchmark"), "item_id").select((F.col("item_id") * 1_000_000 + F.col("sentence")).alias("entry"), "text")
-    return windows.tight_windows(heard, entries, "key", "entry").select("key.*", "words", "first", "last", "score")
+    return windows.tight_windows(heard, entries, "doc_id", "entry")
 
 
 QUERIES = {"tight_windows": tight_windows, "passage_segments": segments, "anchor_chains": anchor_chains, "collected_runs": collected, "lane_candidates": lane_candidates, "long_lanes": long_lanes}
