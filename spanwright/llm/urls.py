@@ -25,6 +25,8 @@ CATEGORIES = {
 }
 WORDS = sorted(w for own in CATEGORIES.values() for w in own)
 LISTED_HOST = r"(?:^|[.\-])(?:" + "|".join(WORDS) + r")(?:$|[.\-])"
+#: From the last such label on.
+LISTED_DOMAIN = r"(?s)^(?:.*\.)?((?:[^.]*-)?(?:" + "|".join(WORDS) + r")(?:-[^.]*)?(?:\..*)?)$"
 #: Bits of one level that go into a query plan at most; beyond, keys are judged shard by shard.
 MOST_BITS = 1 << 23
 #: Levels of a cascade at most; each leaves half of the rest or fewer, so this is never met in practice.
@@ -38,16 +40,20 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def parents(host: Column) -> Column:
-    """The host and every domain above it."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+def domains(host: Column, labels: list[int]) -> Column:
+    """Of the host and the domains above it those with so many labels as one of `labels`: what a rule or a list of hosts
+    with those numbers of labels could name. A host costs a few passes over it, however many labels it has."""
+    size = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    own = F.array(*(F.when(size >= n, F.substring_index(host, ".", -n)) for n in labels)) if labels else F.array().cast("array<string>")
+    return F.filter(own, lambda h: h.isNotNull())
 
 
-def rule_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every rule that could fit: each domain with each beginning of the path that is as long as some rule's path."""
+def rule_keys(host: Column, path: Column, rules: list[str]) -> Column:
+    """Every rule that could fit: each domain with as many labels as some rule's, with each beginning of the path that is as
+    long as some rule's."""
+    lengths, labels = sorted({len(r) - r.index("/") for r in rules}), sorted({r[: r.index("/")].count(".") + 1 for r in rules})
     beginnings = F.array(*(F.when(F.length(path) >= n, F.substr(path, F.lit(1), F.lit(n))) for n in lengths))
-    keys = F.transform(parents(host), lambda h: F.transform(beginnings, lambda p: F.concat(h, p)))
+    keys = F.transform(domains(host, labels), lambda h: F.transform(beginnings, lambda p: F.concat(h, p)))
     return F.filter(F.flatten(keys), lambda k: k.isNotNull())
 
 
@@ -143,29 +149,30 @@ def filter_keys(rows: DataFrame, keys: str, found: Cascade, to: str) -> DataFram
     return out
 
 
-def listed_hosts(pages: DataFrame, pattern: str = LISTED_HOST) -> DataFrame:
-    """(host): the block list over the hosts of pages, and over the domains above them, that carry a word of CATEGORIES."""
-    hosts = pages.select(F.explode(parents(host_and_path(F.col("url"))[0])).alias("host")).distinct()
-    return hosts.filter(F.col("host").rlike(pattern))
+def listed_hosts(pages: DataFrame) -> DataFrame:
+    """(host): the block list of a corpus: of each host with a word of CATEGORIES the shortest domain that has one."""
+    hosts = pages.select(host_and_path(F.col("url"))[0].alias("host")).distinct()
+    return hosts.select(F.regexp_extract("host", LISTED_DOMAIN, 1).alias("host")).filter("host <> ''").distinct()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """(page_id, url, ...) and listed (host) -> page_id, host, path, rule, verdict: one row per page, all pages.
 
     Allow rules, block rules and listed hosts are keys of three cascades over one staged universe of the corpus's keys
-    (every rule that could fit some page, and every host with the domains above it), so membership is exact and no page
-    is joined. Of the rules that fit, the longest wins and gives the verdict; without a rule a page is blocked iff its
-    host or a domain above it is listed. A null url or one without :// has empty host and path, and is allowed if no
-    rule fits; very long urls are one key each. Repeated rows stay; hosts listed twice or null count once or not at all;
+    (every rule that could fit some page, and every host or domain above it with as many labels as some listed one), so
+    membership is exact and no page is joined. Of the rules that fit, the longest wins and gives the verdict; without a
+    rule a page is blocked iff its host or a domain above it is listed. A null url or one without :// has empty host and
+    path, and is allowed if no rule fits; very long urls and hosts of very many labels give no more keys than others.
+    The numbers of labels that listed hosts have come to the driver. Repeated rows stay; hosts listed twice or null count once or not at all;
     other columns are left out; an empty table gives no rows."""
-    lengths = sorted({len(r) - r.index("/") for r, _ in rules})
+    named = stage(listed.select(F.col("host").alias("key")).dropna().distinct().withColumn("listed", F.lit(True)), "listed")
+    labels = sorted(r[0] for r in named.select(F.size(F.split("key", r"\."))).distinct().collect())
     host, path = host_and_path(F.col("url"))
     work = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
-    work = work.withColumn("_rules", rule_keys(F.col("host"), F.col("path"), lengths)).withColumn("_hosts", parents(F.col("host")))
+    work = work.withColumn("_rules", rule_keys(F.col("host"), F.col("path"), [r for r, _ in rules])).withColumn("_hosts", domains(F.col("host"), labels))
     # the keys of a page's host and path; a domain has no slash, a rule has one
     every = stage(work.select(F.explode(F.concat("_rules", "_hosts")).alias("key")).distinct(), "keys")
     of_rules = {v: [r for r, x in rules if x == v] for v in ("allow", "block")}
-    named = listed.select(F.col("host").alias("key")).dropna().distinct().withColumn("listed", F.lit(True))
     is_rule = F.contains("key", F.lit("/"))
     hosts = stage(every.filter(~is_rule).join(named, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False))), "hosts")
     found = {v: cascade(every.filter(is_rule).withColumn("listed", F.col("key").isin(own)), most_bits) for v, own in of_rules.items()}

@@ -34,6 +34,17 @@ def test_url_verdicts(spark):
     assert {r.host: r.verdict for r in urls.judge(df, urls.RULES, own).collect() if r.host in ("x.org", "free-casino.net")} == {"x.org": "block", "free-casino.net": "allow"}
 
 
+def test_hosts_of_very_many_labels(spark):
+    """As many keys as any other host gives, listed by their last labels or as a whole."""
+    long = "a." * 30_000
+    rows = [(1, f"http://{long}spam.net/x"), (2, f"http://{long}example.org/es/"), (3, f"http://spam.{long}io/"), (4, f"http://{long}io")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(df, urls.RULES, urls.listed_hosts(df)).collect()}
+    assert got == {k: slow_url(u)[2:] for k, u in rows} and got[3] == (None, "block")
+    sizes = df.select(F.size(urls.domains(urls.host_and_path(F.col("url"))[0], [1, 2, 3, 30_001]))).collect()
+    assert max(sizes)[0] == 4
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(30000).select(F.concat(F.lit("key"), F.col("id")).alias("key"), (F.col("id") % 37 == 5).alias("listed"))
     found = urls.cascade(universe)
