@@ -189,3 +189,22 @@ def request_plan(slices: DataFrame, speech: DataFrame, keys: list[str], longest_
 
     plan = F.aggregate("p", F.array().cast("array<struct<start_ms:bigint,end_ms:bigint>>"), step)
     return rows.select(*keys, F.explode(plan).alias("r")).select(*keys, "r.start_ms", "r.end_ms")
+
+
+def halved(spans: DataFrame, keys: list[str], failed: Column, least_ms: int, depth: int = 3) -> DataFrame:
+    """(keys, start_ms, end_ms, ...) -> the same with `depth` and `failed`: spans for which `failed` is true are halved and
+    tried again, each half for itself, unless they are shorter than least_ms or were halved `depth` times already.
+
+    `failed` is an expression over the rows, such as an answer's status; halves keep the other columns. The middle is
+    rounded down to a millisecond. Each round halves only what failed in the one before; what still fails at the end has
+    failed = true, and null counts as false."""
+    now, done = _whole(spans, keys).withColumn("depth", F.lit(0)), None
+    middle = F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) / 2)
+    for level in range(depth + 1):
+        tried = now.withColumn("failed", F.coalesce(failed, F.lit(False)))
+        again = F.col("failed") & (F.col("end_ms") - F.col("start_ms") >= least_ms) & F.lit(level < depth)
+        kept = tried.filter(~again)
+        done = kept if done is None else done.unionByName(kept)
+        halves = F.explode(F.array(F.struct(F.col("start_ms").alias("s"), middle.alias("e")), F.struct(middle.alias("s"), F.col("end_ms").alias("e"))))
+        now = tried.filter(again).drop("failed").withColumn("_half", halves).withColumns({"start_ms": F.col("_half.s"), "end_ms": F.col("_half.e"), "depth": F.col("depth") + 1}).drop("_half")
+    return done

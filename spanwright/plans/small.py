@@ -154,6 +154,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.request_plan(spans, of(spark, sf_dir, "view"), KEY, 20 * MINUTE)
 
 
+def halved_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged speech as requests that are refused if they are longer than their clip's limit, halved until they are not."""
+    spans = intervals.merge(speech(spark, sf_dir), KEY, 60 * MINUTE).select("clip_id", "start_ms", "end_ms")
+    limit = (10 + F.col("clip_id") % 50) * MINUTE
+    return intervals.halved(spans, KEY, F.col("end_ms") - F.col("start_ms") > limit, 15 * MINUTE)
+
+
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, other = F.col("event_type"), F.when(F.col("event_id") % 3 > 0, F.upper("event_type"))
     return events(spark, sf_dir).select("event_id", *(subtitles.in_language(own, other, x).alias(x) for x in ("own", "translation", "both")))
@@ -176,6 +183,7 @@ def column_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "halved_requests": halved_requests,
     "verse_texts": verse_texts,
     "chapter_names": chapter_names,
     "verse_range": lambda s, d: lookups.verses(canon(s, d), 1, 3, 7),
@@ -218,6 +226,10 @@ _CLAUSE = lambda w, a, b: f"""len({w}) AS n, greatest(0, least({a}, len({w}) - 1
 _SPAN = lambda w: f"list_max(list_filter(range(a + 1), lambda k: k = 0 OR {_ENDS(f'{w}[k]')})) AS f, list_min(list_filter(range(b, n + 1), lambda k: k = n OR {_ENDS(f'{w}[k]')})) AS l"
 
 SQL = {
+    "halved_requests": _sql(_merged("speech", 3600000, "m"), select="""SELECT * FROM (WITH RECURSIVE r AS (SELECT clip_id, start_ms, end_ms, 0 AS depth FROM m UNION ALL
+  SELECT clip_id, CASE h WHEN 0 THEN start_ms ELSE start_ms + (end_ms - start_ms) // 2 END, CASE h WHEN 0 THEN start_ms + (end_ms - start_ms) // 2 ELSE end_ms END, depth + 1
+  FROM r, (VALUES (0), (1)) x(h) WHERE end_ms - start_ms > (10 + clip_id % 50) * 60000 AND end_ms - start_ms >= 900000 AND depth < 3)
+  SELECT *, end_ms - start_ms > (10 + clip_id % 50) * 60000 AS failed FROM r WHERE NOT (end_ms - start_ms > (10 + clip_id % 50) * 60000 AND end_ms - start_ms >= 900000 AND depth < 3))"""),
     "stripped_words": f"""WITH t AS (SELECT doc_id, {_words("text")} AS w FROM documents), a AS (SELECT *, CASE WHEN w[1] = 'That' AND w[2] = 'and' THEN 2 ELSE 0 END AS i FROM t),
 b AS (SELECT *, i + CASE WHEN w[i + 1] = 'Is' THEN 1 ELSE 0 END AS j FROM a), c AS (SELECT doc_id, w[j + CASE WHEN w[j + 1] = 'De' THEN 2 ELSE 1 END :] AS w FROM b),
 d AS (SELECT doc_id, list_filter(w, lambda x, i: NOT coalesce((x = 'of' AND w[i + 1] = 'the') OR (x = 'the' AND i > 1 AND w[i - 1] = 'of'), false)) AS w FROM c)

@@ -236,3 +236,17 @@ def test_subtitles(spark, sink, tmp_path):
     assert f"01:02:03{mark}004 --> 01:02:04{mark}000\nb, c\n" in body and f"1\n00:00:00{mark}020" in body
     subtitles.write_subtitles(sink(df), str(tmp_path / "out"))
     assert [p.parent.name for p in tmp_path.glob("out/*/part*")] == ["clip_id=1"]
+
+
+def test_requests_are_halved(spark):
+    rows = [(1, 0, 100, "a"), (1, 200, 209, "b"), (2, 0, 1601, "c"), (3, 5, 6, None), (4, None, 9, "d")]
+    df = spark.createDataFrame(rows, "clip_id long, start_ms long, end_ms long, name string")
+    got = intervals.halved(df, ["clip_id"], F.when(F.col("name").isNotNull(), F.col("end_ms") - F.col("start_ms") > 30), 20, 2)
+    assert sorted((r.clip_id, r.start_ms, r.end_ms, r.depth, r.failed) for r in got.collect()) == [
+        *((1, k, k + 25, 2, False) for k in (0, 25, 50, 75)),
+        (1, 200, 209, 0, False),
+        *((2, a, b, 2, True) for a, b in ((0, 400), (400, 800), (800, 1200), (1200, 1601))),
+        (3, 5, 6, 0, False),
+    ]
+    # too short to be halved, or no round left
+    assert {(r.depth, r.failed) for r in intervals.halved(df, ["clip_id"], F.col("end_ms") > 30, 1000, 0).collect()} == {(0, True), (0, False)}
