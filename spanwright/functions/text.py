@@ -113,7 +113,7 @@ def video_of(name: Column) -> Column:
 
 def within_alphabet(text: Column, alphabet: str) -> Column:
     """Letters of an aligner: marks go, forms fold, a space is |; empty if a letter outside the alphabet is left."""
-    marks = "".join(map(chr, [*range(0x064B, 0x0653), 0x0670]))
+    marks = "".join(map(chr, [*range(0x064B, 0x0660), 0x0670, *range(0x06D6, 0x06EE), 0x0640, 0xFDFD]))
     plain = F.translate(F.translate(text, "ةىٱ" + marks, "هيا"), " ", "|")
     return F.when(F.translate(plain, alphabet, "") == "", plain).otherwise("")
 
