@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import forced
+from ..operators import answers, forced
 from ..sources.shared import staged, table
+from .passages import _words
+from .small import _CLAUSE, _SPAN
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS = ["-", forced.SEPARATOR, *ALPHABET]
@@ -28,6 +30,72 @@ def forced_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced.aligned_words(frames.select("clip_id", "frame", p.alias("p")), turns, "clip_id", SYMBOLS)
 
 
-QUERIES = {"forced_words": forced_words}
+OPENINGS = [
+    answers.Opening("seek", 1, 0, "I seek help now here", "seeking help", "isti", ("0:1",)),
+    answers.Opening("name", 1, 1, "in the name", "naming", "basmala", ("0:0", "0:2")),
+    answers.Opening("that", 1, 0, "That and", "both"),
+]
 
-SQL: dict[str, str] = {}
+
+def _answer(spark: SparkSession, sf_dir: str) -> answers.Answer:
+    """Each conversation as an aligner's answer: turns are segments, every fifth a special one, their words refer to
+    passages of `benchmark`, some to places that those have not got."""
+    verses = table(spark, sf_dir, "benchmark").select((F.floor(F.col("item_id") / 10) + 1).cast("int").alias("chapter"), (F.col("item_id") % 10 + 1).cast("int").alias("verse"), text.words(F.col("text")).alias("canon"))
+    verses = verses.withColumn("translation", F.filter("canon", lambda _, k: k % 3 < 2))
+    turns = table(spark, sf_dir, "conversations").withColumn("special", F.when(F.col("turn") % 5 == 4, F.element_at(F.array(F.lit("Isti'adha"), F.lit("Basmala"), F.lit("isti, basmala"), F.lit(None)), (F.col("conv_id") % 4 + 1).cast("int"))))
+    kind = F.when(F.col("turn") % 5 == 4, "Special").when(F.col("turn") % 2 == 0, "quran")
+    segments = turns.select(F.col("conv_id").alias("clip_id"), F.col("turn").cast("long").alias("seg"), kind.alias("kind"), "special", (F.col("turn") * 60_000).cast("long").alias("from_ms"))
+    own = turns.select(F.col("conv_id").alias("clip_id"), F.col("turn").cast("long").alias("seg"), F.posexplode(text.words(F.col("text"))).alias("w", "_word")).withColumn("w", F.col("w").cast("long"))
+    item = F.pmod(F.col("clip_id") * 3 + F.col("seg") + F.floor(F.col("w") / (F.col("clip_id") % 3 + 2)), F.lit(40))
+    place = F.when((F.col("clip_id") % 9 == 5) & (F.col("w") == 7), 99).otherwise(F.col("w") % 14 + 1)
+    heard = F.concat_ws(":", F.floor(item / 10) + 1, item % 10 + 1, place)
+    opened = F.when(F.col("clip_id") % 8 < 6, F.concat_ws(":", F.lit(0), F.col("w") % 2, "w")).otherwise("x")
+    start = F.col("w") * 300 + F.when(F.col("w") < 2, 0).otherwise(F.col("w") * 4 % 5 * 400)
+    words = own.select("clip_id", "seg", "w", F.when(F.col("seg") % 5 == 4, opened).otherwise(heard).alias("location"), start.alias("start_ms"), (start + 250 - F.col("w") % 11 * 30).alias("end_ms"))
+    return answers.read_answer(segments, words, verses, OPENINGS)
+
+
+def answer_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(spark, sf_dir).pieces
+
+
+def answer_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(spark, sf_dir).words
+
+
+def answer_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(spark, sf_dir).problems
+
+
+QUERIES = {"forced_words": forced_words, "answer_pieces": answer_pieces, "answer_words": answer_words, "answer_problems": answer_problems}
+
+_ANSWER = f"""WITH v AS (SELECT item_id, w AS canon, list_filter(w, lambda x, i: (i - 1) % 3 < 2) AS other FROM (SELECT item_id, {_words("text")} AS w FROM benchmark)),
+u AS (SELECT conv_id AS clip_id, CAST(turn AS BIGINT) AS seg, len({_words("text")}) AS n, unnest(range(len({_words("text")}))) AS w FROM conversations),
+l AS (SELECT *, (clip_id * 3 + seg + w // (clip_id % 3 + 2)) % 40 AS item, CASE WHEN clip_id % 9 = 5 AND w = 7 THEN 98 ELSE w % 14 END AS place, seg * 60000 + w * 300 + CASE WHEN w < 2 THEN 0 ELSE w * 4 % 5 * 400 END AS s, seg % 5 = 4 AS special, clip_id % 8 < 6 AS referred FROM u),
+k AS (SELECT l.*, CASE WHEN NOT special THEN NULL WHEN clip_id % 4 = 0 THEN CASE WHEN referred THEN CASE WHEN n > 1 THEN CASE WHEN w % 2 = 1 THEN 'seek' ELSE 'name' END ELSE 'name' END ELSE 'seek' END
+  WHEN clip_id % 4 = 1 THEN CASE WHEN referred AND n > 1 AND w % 2 = 1 THEN 'seek' ELSE 'name' END
+  WHEN clip_id % 4 = 2 THEN CASE WHEN referred AND n > 1 THEN CASE WHEN w % 2 = 1 THEN 'seek' ELSE 'name' END WHEN n >= 9 AND w < 5 THEN 'seek' ELSE 'name' END
+  WHEN referred THEN CASE WHEN n > 1 AND w % 2 = 1 THEN 'seek' ELSE 'name' END END AS phrase, greatest(s, s + 250 - w % 11 * 30) AS e, canon, other FROM l LEFT JOIN v b ON b.item_id = l.item),
+q AS (SELECT *, CASE WHEN special AND phrase IS NULL THEN 'special' WHEN NOT special AND (canon IS NULL OR place >= len(canon)) THEN 'numbering' END AS problem FROM k),
+pb AS (SELECT clip_id, arg_min(problem, (seg, w)) FILTER (WHERE problem IS NOT NULL) AS problem FROM q GROUP BY clip_id HAVING count(problem) > 0 UNION ALL SELECT conv_id, 'empty' FROM conversations GROUP BY conv_id HAVING sum(len({_words("text")})) = 0)"""
+_PIECES = (
+    _ANSWER
+    + """,
+r AS (SELECT *, CASE WHEN special THEN CASE WHEN phrase = 'name' THEN 1 ELSE 0 END WHEN lag(item) OVER o <> item THEN 1 ELSE 0 END AS new FROM q WHERE clip_id NOT IN (SELECT clip_id FROM pb) WINDOW o AS (PARTITION BY clip_id, seg ORDER BY s, w)),
+rp AS (SELECT *, CAST(CASE WHEN special THEN new ELSE sum(new) OVER (PARTITION BY clip_id, seg ORDER BY s, w ROWS UNBOUNDED PRECEDING) END AS BIGINT) AS piece FROM r),
+rt AS (SELECT * REPLACE (CASE WHEN special THEN row_number() OVER (PARTITION BY clip_id, seg, piece ORDER BY s, w) - 1 ELSE place END AS place) FROM rp),
+rw AS (SELECT *, CASE WHEN phrase = 'seek' THEN coalesce((['I', 'seek', 'help', 'now', 'here'])[place + 1], '') WHEN phrase = 'name' THEN coalesce((['in', 'the', 'name'])[place + 1], '') ELSE canon[place + 1] END AS word FROM rt),
+g AS (SELECT clip_id, seg, piece, any_value(phrase) AS phrase, any_value(item) AS item, min(place) AS lo, max(place) + 1 AS hi, min(s) AS s, max(e) AS e, list(word ORDER BY s, w) AS forms FROM rw GROUP BY clip_id, seg, piece),
+gt AS (SELECT *, CASE WHEN phrase IS NULL AND row_number() OVER (PARTITION BY clip_id ORDER BY s, seg, piece) = 1 THEN CASE WHEN forms = ['I', 'seek', 'help', 'now', 'here'] THEN 'seek' WHEN forms = ['That', 'and'] THEN 'that' END END AS again FROM g)"""
+)
+_OF = lambda seek, name, that, other: f"CASE coalesce(again, phrase) WHEN 'seek' THEN {seek} WHEN 'name' THEN {name} WHEN 'that' THEN {that} ELSE {other} END"
+
+SQL: dict[str, str] = {
+    "answer_problems": f"{_ANSWER} SELECT clip_id, problem FROM pb",
+    "answer_words": f"""{_PIECES} SELECT clip_id, seg, piece, rw.w, CAST(place - CASE WHEN again IS NOT NULL THEN lo ELSE 0 END AS INTEGER) AS place, word AS text, rw.s AS start_ms, rw.e AS end_ms FROM rw JOIN gt USING (clip_id, seg, piece)""",
+    "answer_pieces": f"""{_PIECES}, ga AS (SELECT gt.*, canon, other, CAST(CASE WHEN len(other) <> len(canon) THEN round_even(lo * len(other) / len(canon), 0) ELSE lo END AS INTEGER) AS x, CAST(CASE WHEN len(other) <> len(canon) THEN round_even(hi * len(other) / len(canon), 0) ELSE hi END AS INTEGER) AS y FROM gt LEFT JOIN v ON v.item_id = gt.item)
+"""
+    + f""", gc AS (SELECT *, {_CLAUSE("other", "x", "y")} FROM ga), gs AS (SELECT *, {_SPAN("other")} FROM gc)
+SELECT clip_id, seg, piece, coalesce(again, phrase) AS name, CAST({_OF(1, 1, 1, "item // 10 + 1")} AS INTEGER) AS chapter, CAST({_OF(0, 1, 0, "item % 10 + 1")} AS INTEGER) AS verse, CAST(CASE WHEN again IS NOT NULL THEN 0 ELSE lo END AS INTEGER) AS first, CAST(CASE WHEN again IS NOT NULL THEN hi - lo ELSE hi END AS INTEGER) AS last, s AS start_ms, e AS end_ms,
+  {_OF("'I seek help now here'", "'in the name'", "'That and'", "array_to_string(canon[lo + 1 : hi], ' ')")} AS text, {_OF("'seeking help'", "'naming'", "'both'", "array_to_string(other[f + 1 : l], ' ')")} AS translation FROM gs""",
+}
