@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import answers, forced
+from ..operators import answers, composed, forced, intervals
 from ..sources.shared import staged, table
 from .passages import _words
 from .small import _CLAUSE, _SPAN
@@ -67,7 +67,28 @@ def answer_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answer(spark, sf_dir).problems
 
 
-QUERIES = {"forced_words": forced_words, "answer_pieces": answer_pieces, "answer_words": answer_words, "answer_problems": answer_problems}
+def answer_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions of those answers, with a breath behind every fifth word."""
+    answer = _answer(spark, sf_dir)
+    silence = answer.words.filter("w % 5 = 4").select("clip_id", (F.col("end_ms") + 10).alias("start_ms"), (F.col("end_ms") + 600).alias("end_ms"))
+    return composed.answer_cues(answer, intervals.coalesce(silence, ["clip_id"]))
+
+
+def word_time_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation as a clip: nine words are a verse's, a word lasts 300 ms, a breath follows every seventh; of each third verse the first two words are not in the clip."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("clip_id"), F.posexplode(text.words(F.col("text"))).alias("idx", "_word"))
+    start = (F.col("idx") * 300 + F.floor(F.col("idx") / 7) * 600).cast("long")
+    words = turns.select("clip_id", F.col("idx").cast("long").alias("idx"), (F.floor(F.col("idx") / 9) % 42 - 2).cast("int").alias("verse"), start.alias("start_ms"), (start + 290).alias("end_ms"))
+    words = staged(words, "words")
+    silence = words.filter("idx % 7 = 6").select("clip_id", (F.col("end_ms") + 10).alias("start_ms"), (F.col("end_ms") + 600).alias("end_ms"))
+    verses = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("verse"), text.words(F.col("text")).alias("canon"))
+    verses = verses.withColumn("translation", F.filter("canon", lambda _, k: k % 3 < 2))
+    offsets = words.select("clip_id", "verse").distinct().filter("verse % 3 = 1").withColumns({"first": F.lit(2), "last": F.lit(12)})
+    openings = {-2: (0, "I seek help", "seeking help"), -1: (0, "That and", "both"), 0: (1, "in the name", "naming")}
+    return composed.word_time_cues(words, verses, offsets, openings, silence)
+
+
+QUERIES = {"forced_words": forced_words, "answer_pieces": answer_pieces, "answer_words": answer_words, "answer_problems": answer_problems, "answer_cues": answer_cues, "word_time_cues": word_time_cues}
 
 _ANSWER = f"""WITH v AS (SELECT item_id, w AS canon, list_filter(w, lambda x, i: (i - 1) % 3 < 2) AS other FROM (SELECT item_id, {_words("text")} AS w FROM benchmark)),
 u AS (SELECT conv_id AS clip_id, CAST(turn AS BIGINT) AS seg, len({_words("text")}) AS n, unnest(range(len({_words("text")}))) AS w FROM conversations),
