@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..sources.shared import staged
+from . import intervals
 
 #: Word pairs that the canon has more often are no anchors.
 COMMON = 100
@@ -21,6 +22,8 @@ LEAST, SCORE = 4, 0.55
 SURE, REPEATED, AT_LEAST = 0.85, 0.7, 6
 #: Share of a claim that another one may take.
 TAKEN, SHARED = 0.3, 0.5
+#: Word places of a cell in which spans meet.
+CELL = 256
 
 
 def pairs(df: DataFrame, key: str, place: str) -> DataFrame:
@@ -72,7 +75,7 @@ def repeats(runs: DataFrame, found: DataFrame, doc: str, item: str, sure: float
     the span, chained as above, that hold REPEATED of its words (AT_LEAST of them, or all of a shorter span), where runs
     have taken no more than TAKEN of the occurrence's words."""
     spans = staged(runs.filter(F.col("score") >= sure).select(doc, item, F.col("canon_from").alias("a"), F.col("canon_to").alias("b")).distinct(), "spans")
-    inside = found.join(spans, [doc, item]).filter((F.col("canon_from") < F.col("b")) & (F.col("canon_to") > F.col("a")))
+    inside = intervals.meeting(found, spans, [doc, item], ("canon_from", "canon_to"), ("a", "b"), CELL)
     cut = F.greatest(F.lit(0), F.col("a") - F.col("canon_from"))
     over = F.greatest(F.lit(0), F.col("canon_to") - F.col("b"))
     inside = inside.select(doc, F.struct(item, "a", "b").alias("span"), (F.col("doc_from") + cut).alias("doc_from"), (F.col("doc_to") - over).alias("doc_to"), (F.col("canon_from") + cut).alias("canon_from"), (F.col("canon_to") - over).alias("canon_to"))
@@ -80,7 +83,7 @@ def repeats(runs: DataFrame, found: DataFrame, doc: str, item: str, sure: float
     length = F.col("span.b") - F.col("span.a")
     every = every.filter(F.col("matched") >= F.greatest(F.least(F.lit(AT_LEAST), length), F.ceil(length * REPEATED)))
     every = staged(every.select(doc, f"span.{item}", F.col("span.a").alias("a"), "doc_from", "doc_to", "canon_from", "canon_to", "matched", F.round(F.col("matched") / length, 6).alias("score")), "occurrences")
-    taken = every.join(runs.select(doc, F.col("doc_from").alias("f"), F.col("doc_to").alias("t")), doc).filter((F.col("f") < F.col("doc_to")) & (F.col("t") > F.col("doc_from")))
+    taken = intervals.meeting(every, runs.select(doc, F.col("doc_from").alias("f"), F.col("doc_to").alias("t")), [doc], ("doc_from", "doc_to"), ("f", "t"), CELL)
     taken = taken.groupBy(doc, item, "a", "doc_from", "doc_to").agg(F.sum(F.least("t", "doc_to") - F.greatest("f", "doc_from")).alias("taken"))
     left = every.join(taken, [doc, item, "a", "doc_from", "doc_to"], "left").filter(F.coalesce("taken", F.lit(0)) <= TAKEN * (F.col("doc_to") - F.col("doc_from")))
     return left.drop("a", "taken")
@@ -96,11 +99,13 @@ def settle(claims: DataFrame, doc: str, item: str, shared: float = SHARED) -> Da
     rank = F.struct((-F.col("_all")).alias("all"), (-F.col("score")).alias("score"), F.col(item).alias("item"), "doc_from", "doc_to", "canon_from")
     columns = claims.columns
     every = staged(claims.join(total, [doc, item]).withColumn("_rank", rank).withColumn("_claim", F.monotonically_increasing_id()), "claims")
-    a, b = every.select(doc, item, "doc_from", "doc_to", "_rank", "_claim").alias("a"), every.select(doc, item, "doc_from", "doc_to", "_rank", "_claim").alias("b")
-    common = F.least("a.doc_to", "b.doc_to") - F.greatest("a.doc_from", "b.doc_from")
-    smaller = F.least(F.col("a.doc_to") - F.col("a.doc_from"), F.col("b.doc_to") - F.col("b.doc_from"))
-    before = (F.col("a._rank") < F.col("b._rank")) & (F.col(f"a.{item}") != F.col(f"b.{item}"))
-    rivals = staged(a.join(b, doc).filter(before & (common > 0) & (common >= shared * smaller)).select(F.col("a._claim").alias("over"), F.col("b._claim").alias("_claim")), "rivals")
+    own = every.select(doc, item, "doc_from", "doc_to", "_rank", "_claim")
+    after = own.select(doc, *(F.col(c).alias(f"_b_{c}") for c in (item, "doc_from", "doc_to", "_rank", "_claim")))
+    common = F.least("doc_to", "_b_doc_to") - F.greatest("doc_from", "_b_doc_from")
+    smaller = F.least(F.col("doc_to") - F.col("doc_from"), F.col("_b_doc_to") - F.col("_b_doc_from"))
+    before = (F.col("_rank") < F.col("_b__rank")) & (F.col(item) != F.col(f"_b_{item}"))
+    met = intervals.meeting(own, after, [doc], ("doc_from", "doc_to"), ("_b_doc_from", "_b_doc_to"), CELL)
+    rivals = staged(met.filter(before & (common >= shared * smaller)).select(F.col("_claim").alias("over"), F.col("_b__claim").alias("_claim")), "rivals")
     dropped = None
     open_ = rivals
     while not open_.isEmpty():

@@ -97,6 +97,18 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], more_than_ms: i
     return pairs.withColumn("overlap_ms", shared).drop("_bucket")
 
 
+def meeting(left: DataFrame, right: DataFrame, keys: list[str], own: tuple[str, str], other: tuple[str, str], cell: int) -> DataFrame:
+    """Pairs of a left and a right row of the keys whose spans, from a place up to before another, share a place; the columns
+    of both, whose names differ but for the keys. Rows meet by cells of places; a pair is made in the cell where its overlap begins."""
+    def dealt(df: DataFrame, span: tuple[str, str]) -> DataFrame:
+        at = F.sequence(F.floor(F.col(span[0]) / cell), F.floor((F.col(span[1]) - 1) / cell))
+        return df.filter(F.col(span[1]) > F.col(span[0])).withColumn("_cell", F.explode(at))
+
+    begin = F.greatest(own[0], other[0])
+    pairs = dealt(left, own).join(dealt(right, other), [*keys, "_cell"])
+    return pairs.filter((F.least(own[1], other[1]) > begin) & (F.col("_cell") == F.floor(begin / cell))).drop("_cell")
+
+
 def contained(points: DataFrame, spans: DataFrame, keys: list[str], bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Points (keys, t_ms, ...) inside one of the spans, edges included, with the earliest such span's start; a point once.
 
