@@ -102,6 +102,17 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("user_id", ms("start"), ms("end"), "n_events")
 
 
+def purged_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups as starts of jobs, replayed as a stream: those that a day's life has ended for by the stream's last watermark."""
+    events_ = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events_.schema).parquet(f"{sf_dir}/events.parque[t]").filter("event_type = 'signup'")
+    starts = stream.select("user_id", "event_id", F.timestamp_millis(millis(F.col("ts"))).alias("at"))
+    to, log = new_path(spark, "purged"), new_path(spark, "purged-log")
+    purges = state.purged(starts, "user_id", "event_id", "at", 24 * 60 * MINUTE, "1 hour")
+    purges.writeStream.format("parquet").option("path", to).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(purges.schema).parquet(to)
+
+
 def words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("clip_id").orderBy("t_ms", "event_id")
     return captions(spark, sf_dir).select("clip_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), "start_ms", "end_ms")
@@ -189,6 +200,7 @@ QUERIES = {
     "first_starts": first_starts,
     "expired_starts": expired,
     "streamed_sessions": streamed_sessions,
+    "purged_jobs": purged_jobs,
 }
 
 _BASE = """ev AS (SELECT event_id, user_id AS clip_id, event_type, value, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + CAST(round(value * 6000) AS BIGINT) AS end_ms, epoch_us(ts) // 1000 AS t_ms FROM events),
@@ -384,6 +396,11 @@ SQL = {
         "r AS (SELECT clip_id, k, s AS a, e AS b FROM p WHERE k = 1 UNION ALL SELECT p.clip_id, p.k, CASE WHEN e - a <= 3600000 THEN a ELSE s END, CASE WHEN e - a <= 3600000 THEN greatest(b, e) ELSE e END FROM r JOIN p ON p.clip_id = r.clip_id AND p.k = r.k + 1)",
         select="SELECT clip_id, a AS start_ms, max(b) AS end_ms FROM r GROUP BY clip_id, a",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
+    "purged_jobs": _sql(
+        "j AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type = 'signup' AND user_id IS NOT NULL AND ts IS NOT NULL)",
+        "n AS (SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS following, max(ms) OVER () AS latest FROM j)",
+        select=f"SELECT user_id, event_id, ms AS created_ms, coalesce(following > ms + {24 * 60 * MINUTE}, true) AS orphan FROM n WHERE ms + {24 * 60 * MINUTE} < latest - {60 * MINUTE}",
+    ),
     "streamed_sessions": _sql(
         "pts AS (SELECT clip_id, start_ms, start_ms AS end_ms FROM ev)", _merged("pts", 1800000, "m"), select="SELECT clip_id AS user_id, start_ms, end_ms + 1800000 AS end_ms, n AS n_events FROM m"
     ),

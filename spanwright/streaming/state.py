@@ -77,6 +77,36 @@ def evictions(files: DataFrame, cap: int) -> DataFrame:
     return rows.join(total, "_all").filter(F.col("_total") - F.coalesce("_older", F.lit(0)) > cap).select("path", "mtime", "size")
 
 
+def purged(starts: DataFrame, key: str, job: str, at: str, ttl_ms: int, late: str) -> DataFrame:
+    """A stream of job starts (key, job, at: a timestamp) -> (key, job, created_ms, orphan): each job once the watermark is over
+    ttl_ms past its start, and whether its key has no job then, so that the key goes too.
+
+    State is a key's living jobs; a timer on event time wakes it at the end of the oldest one, so an idle key is freed as
+    well. Starts later than the watermark are dropped, as are null keys, jobs and times."""
+    kinds = dict(starts.dtypes)
+
+    def step(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        created, jobs = state.get if state.exists else ([], [])
+        living = list(zip(created, jobs, strict=True))
+        if not state.hasTimedOut:
+            living += [t for f in frames for t in zip(f["_ms"].tolist(), f[job].tolist(), strict=True)]
+        living.sort()
+        now = state.getCurrentWatermarkMs()
+        gone = [k for k, (ms, _) in enumerate(living) if ms + ttl_ms < now]
+        if gone:
+            left = [k + 1 == len(living) or living[k + 1][0] > living[k][0] + ttl_ms for k in gone]
+            yield pd.DataFrame({key: [own[0]] * len(gone), job: [living[k][1] for k in gone], "created_ms": [living[k][0] for k in gone], "orphan": left})
+        living = living[len(gone) :]
+        if living:
+            state.update(([ms for ms, _ in living], [j for _, j in living]))
+            state.setTimeoutTimestamp(max(now + 1, living[0][0] + ttl_ms))
+        elif state.exists:
+            state.remove()
+
+    rows = starts.dropna(subset=[key, job, at]).withWatermark(at, late).select(key, job, at, F.unix_millis(at).alias("_ms"))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {job} {kinds[job]}, created_ms long, orphan boolean", f"created array<long>, jobs array<{kinds[job]}>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def expired(jobs: DataFrame, now_ms: int, ttl_ms: int) -> DataFrame:
     """Jobs (key, start_ms) older than ttl_ms."""
     return jobs.filter(F.lit(now_ms) - F.col("start_ms") > ttl_ms)
