@@ -67,7 +67,7 @@ def final_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = events(spark, sf_dir).groupBy("clip_id").agg(F.min("event_id").alias("first"), F.max_by("event_id", "value").alias("last"), F.round(F.max("value"), 2).alias("score"))
+    matches = events(spark, sf_dir).groupBy("clip_id").agg(F.min("event_id").alias("first"), F.max_by("event_id", F.struct("value", (-F.col("event_id")).alias("first"))).alias("last"), F.round(F.max("value"), 2).alias("score"))
     return lookups.result_card(matches, of(spark, sf_dir, "signup"))
 
 
