@@ -12,6 +12,9 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.text import words
 
+#: Cells of an alignment's table that are held as a whole.
+CELLS = 1 << 25
+
 
 def positions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, pos, word), one row per word."""
@@ -124,6 +127,35 @@ def fuzzy_partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _align_columns(h: np.ndarray, c: np.ndarray, gain: np.ndarray) -> list[tuple[int, int]]:
+    """align_pair() where the band leaves nothing out: the same table, a canon word at a time over all heard words."""
+    n, m = len(h), c.shape[1]
+    own, before = gain[h], np.zeros(n + 1)
+    kept, diagonal = np.zeros((m, n), bool), np.zeros((m, n), bool)
+    for j in range(m):
+        step = before[:-1] + np.where((h == c[:, j, None]).any(0), own, -1.0)
+        best = np.maximum.accumulate(np.concatenate(([0.0], np.maximum(step, before[1:]))))
+        diagonal[j] = step > best[:-1]
+        kept[j] = np.maximum(step, best[:-1]) >= best[1:]
+        before = best
+        if j == 0:
+            top, end = best[-1], j + 1 if best[-1] > 0 else 0
+        elif best[-1] > top:
+            top, end = best[-1], j + 1
+    # the last heard word up to here at which the path turns
+    turns = np.maximum.accumulate(np.where(kept & ~diagonal, -1, np.arange(n, dtype=np.int32)), axis=1)
+    j, k, out = end, n - 1, []
+    while j and k >= 0 and (k := int(turns[j - 1, k])) >= 0:
+        while not kept[j - 1, k]:
+            j -= 1
+        if diagonal[j - 1, k]:
+            if h[k] in c[:, j - 1]:
+                out.append((k, j - 1))
+            j -= 1
+        k -= 1
+    return out[::-1]
+
+
 def align_pair(heard: list[str], canon: list[str] | list[list[str]], weight: dict[str, float], band: int = 700) -> list[tuple[int, int]]:
     """Places (heard, canon) of a best alignment: either side may skip words free of cost, a match earns its word's
     weight, a mismatch costs 1; under ten heard words there is none. A canon word may be a list of spellings."""
@@ -136,6 +168,8 @@ def align_pair(heard: list[str], canon: list[str] | list[list[str]], weight: dic
     for j, x in enumerate(forms):
         c[: len(x), j] = [codes[w] for w in x]
     gain = np.array([weight.get(w, 0.5) for w in codes])
+    if m <= band and n * m <= CELLS:
+        return _align_columns(h, c, gain)
     width = min(m, 2 * band + 1)
     centres = [round(k * m / max(1, n - 1)) for k in range(n)]
     lows = [min(max(1, x - band), m - width + 1) for x in centres]

@@ -15,8 +15,7 @@ from .passages import _words
 def anchor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first round's chain of each document, match by match, anchors anywhere."""
     index = staged(chains.flat_canon(table(spark, sf_dir, "benchmark"), "item_id"), "index")
-    points = chains.near_seeds(chains.heard_words(table(spark, sf_dir, "documents"), "doc_id", index), index, "doc_id", first=None)
-    return chains.best_chains(staged(points, "points"), "doc_id").withColumnRenamed("at", "word")
+    return chains.chain_matches(table(spark, sf_dir, "documents"), index, "doc_id", "item_id", first=None).withColumnRenamed("at", "word")
 
 
 def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
