@@ -2,18 +2,22 @@
 
 A text's letters and separators stand with a blank before, between and behind them. A path begins at the first blank and, from
 frame to frame, stays or moves on by one; the path with the highest sum of scores wins. Frames stream through a task in order with
-the scores of the states as state, and are walked back the same way, so no task holds a clip's frames."""
+the scores of the states as state; of frames gone by it keeps the moves alone, a bit for each state of a block's stretch, and walks
+back over them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from ..functions.text import once
 from ..sources.shared import staged
-from .ordered import carried
 
 #: Milliseconds of a frame, frames of a block (a minute), letters that a block may be ahead of or behind its even share.
 FRAME, BLOCK, MARGIN = 20, 3000, 80
@@ -28,21 +32,18 @@ def letters_of(canon: Column, symbols: list[str]) -> Column:
     known = F.create_map(*(x for k, s in enumerate(symbols) if k for x in (F.lit(s), F.lit(k))))
     each = F.filter(F.split(F.array_join(canon, SEPARATOR), ""), lambda c: c != "")
     found = F.transform(each, lambda c: F.try_element_at(known, c))
-    return F.when((F.size(found) > 0) & ~F.exists(found, lambda k: k.isNull()), found)
+    return once(found, lambda x: F.when((F.size(x) > 0) & ~F.exists(x, lambda k: k.isNull()), x))
 
 
 class _States:
-    """Scores of the states of one clip, and the stretch of letters that the current block may be in."""
+    """Scores of the states of one clip, the stretch of letters that the current block may be in, and of all blocks so far
+    which states the best paths have moved to, a bit each."""
 
-    def __init__(self, block: int, margin: int) -> None:
-        self.block, self.margin = block, margin
-        self.letters: list[int] = []
-        self.anchor = 0
-
-    def begin(self, letters: list[int]) -> None:
-        self.letters = letters
+    def __init__(self, letters: list[int], block: int, margin: int) -> None:
+        self.block, self.margin, self.letters, self.anchor = block, margin, letters, 0
         self.scores = np.full(2 * len(letters) + 1, _NEVER)
         self.scores[0] = 0.0
+        self.moves: list[tuple[int, int, np.ndarray]] = []
 
     def open(self, frame: int, frames: int) -> None:
         n = len(self.letters)
@@ -51,46 +52,41 @@ class _States:
         self.high = max(min(n, self.anchor + share + self.margin), min(n, self.low + 1))
         self.symbols = np.zeros(2 * (self.high - self.low) + 1, dtype=np.int64)
         self.symbols[1::2] = self.letters[self.low : self.high]
+        self.own = self.scores[2 * self.low : 2 * self.high + 1]
+        self.moved = np.zeros((min(self.block, frames - frame), len(self.own)), bool)
+        self.next = np.full(len(self.own), _NEVER)
 
-    def step(self, scores: np.ndarray) -> np.ndarray:
-        """Whether the best path to each state of the stretch comes from the state before it."""
-        own = self.scores[2 * self.low : 2 * self.high + 1]
+    def step(self, frame: int, scores: np.ndarray) -> None:
         here = scores[self.symbols]
-        stay, move = own + here, np.concatenate(([_NEVER], own[:-1] + here[1:]))
-        moved = move > stay
-        own[:] = np.where(moved, move, stay)
-        return moved
+        np.add(self.own[:-1], here[1:], out=self.next[1:])
+        self.own += here
+        np.greater(self.next, self.own, out=self.moved[frame % self.block])
+        np.copyto(self.own, self.next, where=self.moved[frame % self.block])
+
+    def close(self, frame: int) -> None:
+        self.moves.append((frame - frame % self.block, 2 * self.low, np.packbits(self.moved, axis=1)))
+        self.anchor = self.best() // 2
 
     def best(self) -> int:
-        return 2 * self.low + int(self.scores[2 * self.low : 2 * self.high + 1].argmax())
-
-
-def _forward(state: _States, r: dict) -> Iterable[tuple]:
-    if r["letters"] is not None:
-        state.begin(r["letters"])
-    if r["frame"] % state.block == 0:
-        state.open(r["frame"], r["frames"])
-    moved, end = state.step(np.asarray(r["p"], dtype=np.float64)), None
-    if (r["frame"] + 1) % state.block == 0:
-        state.anchor = state.best() // 2
-    if r["frame"] + 1 == r["frames"]:
-        end = state.best()
-        end = end if state.scores[end] > _LOST else None
-    yield r["_clip"], r["frame"], 2 * state.low, np.packbits(moved).tobytes(), end
-
-
-def _backward(state: list, r: dict) -> Iterable[tuple]:
-    """state: the path's state at this frame, if there is a path."""
-    if r["end"] is not None:
-        state.append(r["end"])
-    if not state:
-        return
-    at = state[0]
-    if at % 2:
-        yield r["_clip"], r["frame"], at // 2
-    k = at - r["low"]
-    if 0 < k < 8 * len(r["moved"]) and r["moved"][k // 8] >> (7 - k % 8) & 1:
-        state[0] = at - 1
+        return 2 * self.low + int(self.own.argmax())
+
+    def spans(self) -> Iterator[tuple[int, int, int]]:
+        """(letter, first, last) of the best path, from its end."""
+        at = self.best()
+        if not self.scores[at] > _LOST:
+            return
+        last = first = -1
+        for begin, low, bits in reversed(self.moves):
+            moved = np.unpackbits(bits, axis=1).view(bool)
+            for k in range(len(moved) - 1, -1, -1):
+                first = begin + k
+                last = first if last < 0 else last
+                if 0 < at - low < moved.shape[1] and moved[k, at - low]:
+                    if at % 2:
+                        yield at // 2, first, last
+                    at, last = at - 1, -1
+        if at % 2 and last >= 0:
+            yield at // 2, first, last
 
 
 def letter_frames(frames: DataFrame, texts: DataFrame, clip: str, block: int = BLOCK, margin: int = MARGIN) -> DataFrame:
@@ -99,16 +95,38 @@ def letter_frames(frames: DataFrame, texts: DataFrame, clip: str, block: int = B
     frames (clip, frame, p): frame counts from 0 without gaps, p are the scores of all symbols, as logarithms; texts (clip,
     letters): numbers of symbols, without null. Ties: a path that stays. In a block of `block` frames the path is looked for among its even
     share of the letters, `margin` more on either side, from where the block before it has ended best. The path may end at any state,
-    as a clip may be cut. A text's letters and the scores of its states are in a task's memory, its frames are not."""
+    as a clip may be cut. A text's letters, the scores of its states and the moves
+    of its frames, as bits, are in a task's memory, the frames' scores are not."""
     sizes = frames.groupBy(clip).agg(F.count("*").alias("frames"))
     own = texts.filter(F.size("letters") > 0).select(clip, "letters").join(sizes, clip)
-    rows = frames.select(clip, F.col("frame").cast("long").alias("frame"), "p").join(own, clip)
-    # a clip's first frame brings the letters
-    rows = rows.select(F.col(clip).alias("_clip"), "frame", "frames", F.when(F.col("frame") == 0, F.col("letters")).alias("letters"), "p")
-    kind = dict(texts.dtypes)[clip]
-    moves = carried(rows, ["_clip"], [F.col("frame")], lambda: _States(block, margin), _forward, f"_clip {kind}, frame long, low long, moved binary, end long")
-    path = carried(moves, ["_clip"], [F.col("frame").desc()], list, _backward, f"_clip {kind}, frame long, letter long")
-    return path.groupBy(F.col("_clip").alias(clip), "letter").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+    # a clip's letters come before its frames; a join could send all frames around, which are many more than the table they are made of tells
+    first = own.select(F.col(clip).alias("_clip"), F.lit(-1).cast("long").alias("frame"), "frames", "letters")
+    rows = first.unionByName(frames.select(F.col(clip).alias("_clip"), F.col("frame").cast("long").alias("frame"), "p"), allowMissingColumns=True)
+    schema = f"{clip} {dict(texts.dtypes)[clip]}, letter long, first long, last long"
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = own = None
+        for b in batches:
+            found, column = [], b.column("p")
+            values, starts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+            clips, at, many, letters = (b.column(c).to_pylist() for c in ("_clip", "frame", "frames", "letters"))
+            for k, frame in enumerate(at):
+                if letters[k] is not None:
+                    state, own, n = _States(letters[k], block, margin), clips[k], many[k]
+                if frame < 0 or state is None or clips[k] != own:
+                    continue
+                if frame % block == 0:
+                    state.open(frame, n)
+                state.step(frame, values[starts[k] : starts[k + 1]])
+                if (frame + 1) % block == 0 or frame + 1 == n:
+                    state.close(frame)
+                if frame + 1 == n:
+                    found += [(clips[k], *x) for x in state.spans()]
+            columns = list(zip(*found, strict=True)) or [()] * len(out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    return rows.repartition("_clip").sortWithinPartitions("_clip", "frame").mapInArrow(run, schema)
 
 
 def aligned_words(frames: DataFrame, texts: DataFrame, clip: str, symbols: list[str], block: int = BLOCK, margin: int = MARGIN) -> DataFrame:
@@ -117,13 +135,14 @@ def aligned_words(frames: DataFrame, texts: DataFrame, clip: str, symbols: list[
     Words behind the last one reached are left out; a text of which an earlier word has no frame, or with a symbol that is not
     among `symbols`, gets no row, nor does an empty text or a clip without frames. A word lasts from its first letter's first frame
     to its last letter's end, as far as it is reached. Repeated rows of a clip in `texts` or of a frame are not told apart: keys are to be distinct."""
-    own = texts.select(clip, "canon", letters_of(F.col("canon"), symbols).alias("letters")).filter("letters is not null")
+    # staged, as letters would else be worked out again for each word
+    own = staged(texts.select(clip, "canon", letters_of(F.col("canon"), symbols).alias("letters")), "letters").filter("letters is not null")
     each = own.select(clip, F.posexplode("canon").alias("idx", "word"))
     # the words of one text, which is one row
     before = F.sum(F.length("word") + 1).over(Window.partitionBy(clip).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
     each = each.withColumn("from", F.coalesce(before, F.lit(0))).filter("word <> ''")
     letters = each.select(clip, "idx", "word", F.explode(F.sequence("from", F.col("from") + F.length("word") - 1)).alias("letter"))
-    placed = letter_frames(frames, own, clip, block, margin).join(letters, [clip, "letter"])
+    placed = letter_frames(frames, own, clip, block, margin).join(letters.hint("merge"), [clip, "letter"])
     words = placed.groupBy(clip, F.col("idx").cast("long").alias("idx"), "word").agg((F.min("first") * FRAME).alias("start_ms"), ((F.max("last") + 1) * FRAME).alias("end_ms"))
     words = staged(words, "words")
     # a word is reached only behind all before it

@@ -81,3 +81,14 @@ def test_words_of_frames(spark, block, margin):
             want |= {(k, w): (own[w], 20 * min(f), 20 * max(f) + 20) for w, f in spans.items()}
     assert got == want and {k for k, _ in want} >= {0, 1, 2}
     assert (102, 2) not in got
+
+
+def test_frames_of_other_clips_and_no_broadcast_of_frames(spark):
+    """Frames without a text are left out, and frames are never sent around as a table that looks small."""
+    frames = spark.range(300).selectExpr("id div 100 as clip", "id % 100 as frame", "array(0D, -1D, 0D, -1D, -1D, -1D) as p")
+    texts = spark.createDataFrame([(1, ["aa"])], "clip long, canon array<string>")
+    own = texts.select("clip", forced.letters_of(texts.canon, SYMBOLS).alias("letters"))
+    spans = forced.letter_frames(frames, own, "clip")
+    assert {r.clip for r in spans.collect()} <= {1}
+    plan = spans._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not any("BroadcastExchange" in x and "frame" in x for x in plan.splitlines())
