@@ -32,8 +32,7 @@ def lane_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def long_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of the first round of lanes: documents with many words of the canon."""
     index = staged(chains.flat_canon(table(spark, sf_dir, "benchmark"), "item_id"), "index")
-    told = staged(chains.ranked(chains.heard_words(table(spark, sf_dir, "documents"), "doc_id", index), "doc_id"), "ranked")
-    return chains.lane_runs(told.filter(F.col("words") >= chains.LONG), index, "doc_id", "item_id")[1].drop("lane", "run")
+    return chains.long_runs(table(spark, sf_dir, "documents"), index, "doc_id", "item_id")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
