@@ -25,8 +25,7 @@ def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lane_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chapters that the first words of each document tell, of those that the canon has."""
     index = staged(chains.flat_canon(table(spark, sf_dir, "benchmark"), "item_id"), "index")
-    told = chains.ranked(chains.heard_words(table(spark, sf_dir, "documents"), "doc_id", index), "doc_id")
-    return chains.chapter_candidates(told, index, "doc_id", "item_id")
+    return chains.opening_chapters(table(spark, sf_dir, "documents"), index, "doc_id", "item_id")
 
 
 def long_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
