@@ -4,16 +4,19 @@ Words are (clip_id, idx, start_ms, end_ms, ...), idx distinct in a clip, times i
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.text import fold, fold_standard, word_forms
 from ..sources.shared import staged
 from . import intervals
 from .ordered import Over, over_others
-from .search import ratio
+from .search import ratios
 
 #: How near a place has to be to the expected one, and how alike (of 100), for a word that was misheard.
 NEARBY, ALIKE = 10, 78
@@ -22,19 +25,56 @@ EDGE = 50
 PLACES = 65_536
 
 
-@F.pandas_udf(ArrayType(ArrayType(StructType([StructField("place", IntegerType()), StructField("score", DoubleType())]))))
-def misheard(heard: pd.Series, canon: pd.Series) -> pd.Series:
-    """For each word that is not in the canon, the canon places that it is ALIKE to; canon is an array of arrays of spellings."""
+@lru_cache(1 << 16)
+def _letters(word: str) -> int:
+    """A bit for each letter's first, second, ... time in a word: words share no more letters than their bits tell."""
+    seen = 0
+    for c in word:
+        bit = 1 << ord(c) % 32
+        while seen & bit:
+            bit <<= 32
+        seen |= bit
+    return seen
+
+
+def _most_alike(word: str, near: list[list[str]]) -> int | None:
+    """The first place of those whose spellings the word is most ALIKE to; spellings that share too few letters are passed over."""
+    n, own, some = len(word), _letters(word), []
+    for k, forms in enumerate(near):
+        for f in forms:
+            if f and 200 * (own & _letters(f)).bit_count() >= ALIKE * (n + len(f)):
+                some.append((k, f))
+    if not some:
+        return None
+    top, k = max((s, -k) for s, (k, _) in zip(ratios(word, [f for _, f in some]), some, strict=True))
+    return -k if top >= ALIKE else None
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def recited(heard: pa.Array, canon: pa.Array, plain: pa.Array) -> pa.Array:
+    """For each heard word the canon place that it recites, or null: `canon_places`. canon has all spellings of each canon word, plain
+    those that a misheard word is compared with. A word is looked up, and a misheard one meets the places nearby alone."""
     out = []
-    for words, forms in zip(heard, canon, strict=True):
-        known = {f for own in forms for f in own}
-        alike: dict[str, list] = {}
+    for words, every, spelled in zip(heard.to_pylist(), canon.to_pylist(), plain.to_pylist(), strict=True):
+        places: dict[str, list[int]] = {}
+        for j, own in enumerate(every):
+            for form in own:
+                places.setdefault(form, []).append(j)
+        pos, found = 0, []
         for w in words:
-            if w and w not in known and w not in alike:
-                scores = [(j, max((ratio(w, f) for f in own), default=0.0)) for j, own in enumerate(forms)]
-                alike[w] = [{"place": j, "score": s} for j, s in scores if s >= ALIKE]
-        out.append([alike.get(w, []) for w in words])
-    return pd.Series(out)
+            place = None
+            if w and w in places:
+                at = places[w]
+                k = bisect_left(at, pos)
+                place = at[k] if k < len(at) and (k == 0 or at[k] - pos <= pos - at[k - 1]) else at[k - 1]
+            elif w:
+                low = max(0, pos - NEARBY)
+                place = _most_alike(w, spelled[low : pos + NEARBY])
+                place = None if place is None else low + place
+            pos = pos if place is None else place + 1
+            found.append(place)
+        out.append(found)
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def canon_places(words: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,23 +82,13 @@ def canon_places(words: DataFrame, texts: DataFrame, keys: list[str]) -> DataFra
 
     The expected place is the one behind the last found. Of equal words the nearest to it counts, of two as near the later one; a
     word that is nowhere takes the most alike place up to NEARBY away (the first of equally alike). What is expected hangs on the
-    words before, so one passage's words are folded as one array; keys name a passage."""
+    words before, so one passage's words are gone through as one array; keys name a passage."""
     parts = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", fold(F.coalesce("word", F.lit(""))).alias("w")))).alias("own")).join(texts.select(*keys, "canon"), keys, "left")
-    parts = parts.withColumn("forms", F.transform(F.coalesce("canon", F.array().cast("array<string>")), word_forms))
-    plain = F.transform(F.coalesce("canon", F.array().cast("array<string>")), lambda c: F.array(fold(c), fold_standard(c)))
-    parts = parts.withColumn("near", misheard(F.transform("own", lambda x: x["w"]), plain))
-    each = F.zip_with("own", "near", lambda x, n: F.struct(x["idx"].alias("idx"), x["w"].alias("w"), n.alias("near")))
-
-    def step(done: Column, x: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size("forms") - 1), lambda j: F.array_contains(F.get("forms", j), x["w"]))
-        best = F.array_min(F.transform(at, lambda j: F.struct(F.abs(j - done["pos"]).alias("d"), (j < done["pos"]).alias("back"), j.alias("j"))))["j"]
-        near = F.filter(x["near"], lambda n: (n["place"] >= done["pos"] - NEARBY) & (n["place"] < done["pos"] + NEARBY))
-        alike = F.array_min(F.transform(near, lambda n: F.struct((-n["score"]).alias("s"), n["place"].alias("j"))))["j"]
-        place = F.when((x["w"] != "") & (F.size("forms") > 0), F.coalesce(best, alike))
-        return F.struct(F.coalesce(place + 1, done["pos"]).alias("pos"), F.concat(done["out"], F.array(F.struct(x["idx"].alias("idx"), place.alias("place")))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<idx:bigint,place:int>>").alias("out"))
-    found = parts.select(*keys, F.explode(F.aggregate(each, start, step)["out"]).alias("x")).select(*keys, "x.idx", "x.place")
+    canon = F.coalesce("canon", F.array().cast("array<string>"))
+    plain = F.transform(canon, lambda c: F.array(fold(c), fold_standard(c)))
+    parts = parts.withColumn("place", recited(F.transform("own", lambda x: x["w"]), F.transform(canon, word_forms), plain))
+    each = F.zip_with("own", "place", lambda x, place: F.struct(x["idx"].alias("idx"), place.alias("place")))
+    found = parts.select(*keys, F.explode(each).alias("x")).select(*keys, "x.idx", "x.place")
     return words.join(found, [*keys, "idx"], "left")
 
 

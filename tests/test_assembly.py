@@ -16,6 +16,33 @@ def test_places_of_words(spark):
     assert [got[1, k] for k in range(10)] == [0, 1, 2, 3, 3, 4, 5, None, 0, None] and got[2, 0] is None
 
 
+def slow_places(heard, canon):
+    pos, out = 0, []
+    for w in heard:
+        at = [j for j, c in enumerate(canon) if c == w]
+        near = [(-search.ratio(w, c), j) for j, c in enumerate(canon) if pos - 10 <= j < pos + 10 and search.ratio(w, c) >= 78]
+        place = min(at, key=lambda j: (abs(j - pos), j < pos)) if w and at else min(near)[1] if w and near else None
+        pos = pos if place is None else place + 1
+        out.append(place)
+    return out
+
+
+def test_long_passages_take_a_pass(spark):
+    rng = random.Random(5)
+    some = ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 8))) for _ in range(60)]
+    texts = [[rng.choice(some) for _ in range(rng.randrange(1, 80))] for _ in range(40)]
+    heard = [[w if rng.random() < 0.6 else w[:-1] if rng.random() < 0.5 else rng.choice(some) for w in canon] for canon in texts]
+    # some 20,000 words in one passage: an array that is copied for each word doesn't get there
+    texts.append([f"w{k}" for k in range(20_000)])
+    heard.append([f"w{k}" if k % 50 else f"w{k}x" for k in range(20_000)])
+    words = spark.createDataFrame([(c, k, w) for c, own in enumerate(heard) for k, w in enumerate(own)], "clip_id long, idx long, word string")
+    rows = assembly.canon_places(words, spark.createDataFrame(list(enumerate(texts)), "clip_id long, canon array<string>"), ["clip_id"]).collect()
+    got = {(r.clip_id, r.idx): r.place for r in rows}
+    for c in range(40):
+        assert [got[c, k] for k in range(len(heard[c]))] == slow_places(heard[c], texts[c])
+    assert [got[40, k] for k in range(1, 20_000) if k % 50] == [k for k in range(1, 20_000) if k % 50]
+
+
 def test_partial_ratio():
     assert search.partial_ratio("abc", "xxabcxx") == 100 and search.partial_ratio("", "") == 100 and search.partial_ratio("", "a") == 0
     assert search.partial_ratio("abcd", "abxd") == search.ratio("abcd", "abxd") == 75
