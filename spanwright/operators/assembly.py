@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from ..functions.text import fold, fold_standard, word_forms
+from ..functions.text import fold, fold_standard, lists, word_forms
 from ..sources.shared import staged
 from . import intervals
 from .ordered import Over, over_others
@@ -55,7 +55,7 @@ def recited(heard: pa.Array, canon: pa.Array, plain: pa.Array) -> pa.Array:
     """For each heard word the canon place that it recites, or null: `canon_places`. canon has all spellings of each canon word, plain
     those that a misheard word is compared with. A word is looked up, and a misheard one meets the places nearby alone."""
     out = []
-    for words, every, spelled in zip(heard.to_pylist(), canon.to_pylist(), plain.to_pylist(), strict=True):
+    for words, every, spelled in zip(lists(heard), lists(canon), lists(plain), strict=True):
         places: dict[str, list[int]] = {}
         for j, own in enumerate(every):
             for form in own:
