@@ -4,6 +4,7 @@ import json
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,17 @@ def test_contract(spark):
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names)
     assert entry.entry(spark).columns
+
+
+def test_known_ends_of_clauses(spark):
+    rows = spark.createDataFrame([("a b, c d. e f".split(), k, k + n) for k in range(7) for n in range(1, 4)], "w array<string>, a int, b int")
+    ends = F.transform("w", text.ends_clause)
+    w, a, b = map(F.col, "wab")
+    got = rows.select(text.clause_span(w, a, b), text.clause_span(w, a, b, ends), text.trimmed(w, w, a, b), text.trimmed(w, w, a, b, ends)).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] for r in got)
+
+
+def test_lists_of_arrow_arrays():
+    nested = pa.list_(pa.list_(pa.string()))
+    for rows, kind in (([["a", None], None, [], ["b"]], pa.list_(pa.string())), ([[1, None], None, [2]], pa.list_(pa.int64())), ([[["a"], None, []], [], [["b"]]], nested)):
+        assert text.lists(pa.array(rows, kind)) == rows and text.lists(pa.array(rows, kind)[1:]) == rows[1:]
