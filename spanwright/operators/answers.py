@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, reference, trimmed
+from ..functions.text import ends_clause, fold, reference, trimmed
 from ..sources.shared import staged
 
 
@@ -113,7 +113,9 @@ def read_answer(segments: DataFrame, words: DataFrame, verses: DataFrame, openin
     found = staged(found.withColumn("retagged", retagged).drop("forms", "_begins"), "found")
     name = F.coalesce("retagged", "name")
     of = lambda value: F.coalesce(*(F.when(name == o.name, F.lit(value(o))) for o in openings))
-    pieces = found.join(verses.select("chapter", "verse", "canon", "translation"), ["chapter", "verse"], "left").withColumn("t", trimmed(F.col("canon"), F.coalesce("translation", F.array().cast("array<string>")), F.col("first"), F.col("last")))
+    other = F.coalesce("translation", F.array().cast("array<string>"))
+    known = verses.select("chapter", "verse", "canon", other.alias("translation"), F.transform(other, ends_clause).alias("ends"))
+    pieces = found.join(known, ["chapter", "verse"], "left").withColumn("t", trimmed(F.col("canon"), F.coalesce("translation", F.array().cast("array<string>")), F.col("first"), F.col("last"), F.col("ends")))
     columns: dict[str, Column] = {
         "name": name,
         "chapter": F.coalesce(of(lambda o: o.chapter), "chapter"),
