@@ -110,3 +110,10 @@ def test_rivals_are_settled_in_order(spark, seed):
     got = sorted(tuple(r) for r in detector.settle(df, "doc_id", "item_id").collect())
     assert got == slow_settle(list(claims)) and len(got) < len(claims)
     assert detector.settle(df.limit(0), "doc_id", "item_id").count() == 0
+
+
+def test_hits_are_dealt_over_more_tasks_than_the_input_has(spark):
+    docs = spark.createDataFrame([(k, "a b c d") for k in range(40)], "doc_id long, text string").repartition(12)
+    canon = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    plan = detector.chain_runs(detector.fragments(docs, canon, "doc_id", "item_id"), "doc_id", "item_id")._jdf.queryExecution().toString()
+    assert "hashpartitioning(doc_id" in plan and f", {12 * detector.PARTS})" in plan
