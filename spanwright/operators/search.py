@@ -12,6 +12,8 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.text import words
 
+#: Tasks for the documents of each of their partitions.
+PARTS = 4
 #: Cells of an alignment's table that are held as a whole.
 CELLS = 1 << 25
 
@@ -73,7 +75,10 @@ def idf_candidates(docs: DataFrame, canon: DataFrame, doc_key: str = "doc_id", c
     have is one row of counts each, however often they have it."""
     counts = positions(canon, canon_key).groupBy("word", canon_key).agg(F.count("*").alias("many"))
     weight = counts.join(counts.groupBy("word").agg(F.sum("many").alias("all")), "word").withColumn("w", F.col("many") * F.floor(F.lit(1_000_000) / (1 + F.col("all"))))
-    heads = docs.select(doc_key, F.explode(F.slice(words(F.col("text")), 1, first)).alias("word")).groupBy(doc_key, "word").agg(F.count("*").alias("n"))
+    # the documents of a part of the input are a task's in all steps, so its memory doesn't grow with the input
+    parts = max(PARTS * docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    opening = docs.select(doc_key, F.slice(words(F.col("text")), 1, first).alias("w")).repartition(parts, doc_key)
+    heads = opening.select(doc_key, F.explode("w").alias("word")).groupBy(doc_key, "word").agg(F.count("*").alias("n"))
     sums = heads.join(weight, "word").groupBy(doc_key, canon_key).agg(F.sum(F.col("n") * F.col("w")).alias("score"))
     over = Window.partitionBy(doc_key).orderBy(F.col("score").desc(), canon_key)
     return sums.withColumn("place", F.row_number().over(over)).filter(F.col("place") <= top)

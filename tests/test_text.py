@@ -121,3 +121,11 @@ def test_lists_of_arrow_arrays():
     nested = pa.list_(pa.list_(pa.string()))
     for rows, kind in (([["a", None], None, [], ["b"]], pa.list_(pa.string())), ([[1, None], None, [2]], pa.list_(pa.int64())), ([[["a"], None, []], [], [["b"]]], nested)):
         assert text.lists(pa.array(rows, kind)) == rows and text.lists(pa.array(rows, kind)[1:]) == rows[1:]
+
+
+def test_candidates_are_dealt_over_more_tasks_than_the_input_has(spark):
+    docs = spark.createDataFrame([(k, "a b c d") for k in range(40)], "doc_id long, text string").repartition(12)
+    canon = spark.createDataFrame([(1, "a b"), (2, "c x")], "item_id long, text string")
+    found = search.idf_candidates(docs, canon)
+    assert f", {12 * search.PARTS})" in found._jdf.queryExecution().toString()
+    assert found.count() == 80
