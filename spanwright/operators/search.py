@@ -16,6 +16,8 @@ from ..functions.text import words
 PARTS = 4
 #: Cells of an alignment's table that are held as a whole.
 CELLS = 1 << 25
+#: Cells of the tables of pairs that are aligned together.
+TOGETHER = 1 << 22
 
 
 def positions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -132,33 +134,48 @@ def fuzzy_partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _align_columns(h: np.ndarray, c: np.ndarray, gain: np.ndarray) -> list[tuple[int, int]]:
-    """align_pair() where the band leaves nothing out: the same table, a canon word at a time over all heard words."""
-    n, m = len(h), c.shape[1]
-    own, before = gain[h], np.zeros(n + 1)
-    kept, diagonal = np.zeros((m, n), bool), np.zeros((m, n), bool)
-    for j in range(m):
-        step = before[:-1] + np.where((h == c[:, j, None]).any(0), own, -1.0)
-        best = np.maximum.accumulate(np.concatenate(([0.0], np.maximum(step, before[1:]))))
-        diagonal[j] = step > best[:-1]
-        kept[j] = np.maximum(step, best[:-1]) >= best[1:]
-        before = best
-        if j == 0:
-            top, end = best[-1], j + 1 if best[-1] > 0 else 0
-        elif best[-1] > top:
-            top, end = best[-1], j + 1
-    # the last heard word up to here at which the path turns
-    turns = np.maximum.accumulate(np.where(kept & ~diagonal, -1, np.arange(n, dtype=np.int32)), axis=1)
-    j, k, out = end, n - 1, []
-    while j and k >= 0 and (k := int(turns[j - 1, k])) >= 0:
-        while not kept[j - 1, k]:
-            j -= 1
-        if diagonal[j - 1, k]:
-            if h[k] in c[:, j - 1]:
-                out.append((k, j - 1))
-            j -= 1
-        k -= 1
-    return out[::-1]
+def align_columns(pairs: list[tuple[np.ndarray, np.ndarray]], gain: np.ndarray) -> list[list[tuple[int, int]]]:
+    """align_pair() of many pairs (heard forms, forms of each canon word with -1 where it has fewer) where the band leaves nothing
+    out: the same tables, a canon word at a time over all heard words of pairs of like length. A word beyond a text's end is
+    skipped by any best alignment."""
+    found: list[list[tuple[int, int]]] = [[] for _ in pairs]
+    slots, m = (max((c.shape[k] for _, c in pairs), default=0) for k in (1, 0))
+    order = sorted((k for k, (h, c) in enumerate(pairs) if len(h) and len(c)), key=lambda k: -len(pairs[k][0]))
+    while order:
+        n = len(pairs[order[0]][0])
+        part, order = order[: (many := max(1, TOGETHER // (n * m)))], order[many:]
+        h, c = np.full((len(part), n), -2, np.int32), np.full((m, slots, len(part), 1), -1, np.int32)
+        for k, i in enumerate(part):
+            own, canon = pairs[i]
+            h[k, : len(own)], c[: len(canon), : canon.shape[1], k, 0] = own, canon
+        own, best = gain[h], np.zeros((len(part), n + 1))
+        kept, diagonal = np.zeros((m, *h.shape), bool), np.zeros((m, *h.shape), bool)
+        top, end = np.zeros(len(part)), np.zeros(len(part), np.int64)
+        for j in range(m):
+            same = h == c[j, 0]
+            for x in c[j, 1:]:
+                same |= h == x
+            step = best[:, :-1] + np.where(same, own, -1.0)
+            best[:, 1:] = np.maximum(step, best[:, 1:])
+            np.maximum.accumulate(best, axis=1, out=best)
+            diagonal[j] = step > best[:, :-1]
+            kept[j] = np.maximum(step, best[:, :-1]) >= best[:, 1:]
+            end[best[:, -1] > top] = j + 1
+            np.maximum(top, best[:, -1], out=top)
+        # the last heard word up to here at which the path turns
+        turns = np.maximum.accumulate(np.where(kept & ~diagonal, np.int32(-1), np.arange(n, dtype=np.int32)), axis=2)
+        for x, i in enumerate(part):
+            (heard, canon), j, k, out = pairs[i], int(end[x]), n - 1, found[i]
+            while j and k >= 0 and (k := int(turns[j - 1, x, k])) >= 0:
+                while not kept[j - 1, x, k]:
+                    j -= 1
+                if diagonal[j - 1, x, k]:
+                    if k < len(heard) and heard[k] in canon[j - 1]:
+                        out.append((k, j - 1))
+                    j -= 1
+                k -= 1
+            out.reverse()
+    return found
 
 
 def align_pair(heard: list[str], canon: list[str] | list[list[str]], weight: dict[str, float], band: int = 700) -> list[tuple[int, int]]:
@@ -174,7 +191,7 @@ def align_pair(heard: list[str], canon: list[str] | list[list[str]], weight: dic
         c[: len(x), j] = [codes[w] for w in x]
     gain = np.array([weight.get(w, 0.5) for w in codes])
     if m <= band and n * m <= CELLS:
-        return _align_columns(h, c, gain)
+        return align_columns([(h, c.T)], gain)[0]
     width = min(m, 2 * band + 1)
     centres = [round(k * m / max(1, n - 1)) for k in range(n)]
     lows = [min(max(1, x - band), m - width + 1) for x in centres]

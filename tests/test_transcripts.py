@@ -2,7 +2,9 @@
 
 import random
 
-from spanwright.operators import chains, search
+import numpy as np
+
+from spanwright.operators import chains, search, transcripts
 
 from test_chains import CANON, DOC, garbled
 
@@ -39,3 +41,24 @@ def test_columns_and_rows_align_alike(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(search, "CELLS", -1)
             assert search.align_pair(heard, canon, weight) == columns
+
+
+def test_stretches_take_their_places_in_step(monkeypatch):
+    entries = [{"item": k // 50, "pos": k % 50, "p": k, "form": f"w{k}", "split": False} for k in range(2000)]
+    canon, calls, step = transcripts.Canon(entries, 100), [], transcripts.Canon._step
+    monkeypatch.setattr(transcripts.Canon, "_step", lambda *a: calls.append(a[1:3]) or step(*a))
+    told = [np.arange(k, k + 12) for k in range(0, 1900, 20)]
+    chains = canon.chains(told, 40, 25, 3)
+    assert chains == {k: [(t, 20 * k + t) for t in range(12)] for k in range(len(told))}
+    assert len(calls) == 12
+
+
+def test_many_pairs_align_as_each_of_them(monkeypatch):
+    rng = random.Random(2)
+    gain = 1 / (1 + np.arange(1, 7))
+    pairs = [(np.array([rng.randrange(6) for _ in range(rng.randrange(10, 60))]), np.array([[rng.randrange(6), rng.choice([-1, 3])] for _ in range(rng.randrange(1, 30))])) for _ in range(200)]
+    monkeypatch.setattr(search, "TOGETHER", 20_000)
+    together = search.align_columns(pairs, gain)
+    monkeypatch.setattr(search, "CELLS", -1)
+    for (h, c), found in zip(pairs, together, strict=True):
+        assert search.align_pair([str(x) for x in h], [[str(y) for y in x if y >= 0] for x in c], {str(k): g for k, g in enumerate(gain)}) == found
