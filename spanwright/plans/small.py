@@ -145,7 +145,7 @@ def stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stripped_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages in documents without their opening phrases."""
     own = text.without_openings(text.words(F.col("text")), OPENERS, ["of", "the"])
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(own, " ").alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", own.alias("w"))
     return detector.detect(docs, table(spark, sf_dir, "benchmark"))
 
 

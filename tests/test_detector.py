@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from spanwright.functions import text
 from spanwright.operators import detector
 
 CLAIM = "doc_id long, item_id long, doc_from int, doc_to int, canon_from int, canon_to int, matched long, score double"
@@ -117,3 +119,14 @@ def test_hits_are_dealt_over_more_tasks_than_the_input_has(spark):
     canon = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     plan = detector.chain_runs(detector.fragments(docs, canon, "doc_id", "item_id"), "doc_id", "item_id")._jdf.queryExecution().toString()
     assert "hashpartitioning(doc_id" in plan and f", {12 * detector.PARTS})" in plan
+
+
+def test_words_of_transcripts_are_worked_out_once(spark):
+    rows = spark.createDataFrame([(1, "and of the of the end of"), (2, "of of the the"), (3, None), (4, "of the"), (5, "one"), (6, "That and ofَ the x y")], "doc_id long, text string")
+    own = text.without_openings(text.words(F.col("text")), {"first": ["That", "and"]}, ["of", "the"])
+    docs = rows.select("doc_id", own.alias("w"))
+    assert {r.doc_id: list(r.w) for r in docs.collect()} == {1: ["and", "end", "of"], 2: ["of", "the"], 3: [], 4: [], 5: ["one"], 6: ["x", "y"]}
+    found = detector.pairs(docs, "doc_id", "at")
+    assert sorted(map(tuple, found.collect())) == [(1, 0, "and end"), (1, 1, "end of"), (2, 0, "of the"), (6, 0, "x y")]
+    for df in (found, detector.pairs(rows, "doc_id", "at")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
