@@ -1,12 +1,12 @@
 """Chunks of a clip placed in its passage by a cursor that only moves forward.
 
-Where a chunk goes hangs on the cursor that the chunks before it have left. So each chunk is worked out for every cursor that
-it may meet, as a map from the cursor before it to that after it; maps are composed along the clip by doubling, and no task
-walks through a clip."""
+Where a chunk goes hangs on the cursor that the chunks before it have left: a clip's chunks stream through a task with the
+cursor as state. For clips too long for that, a chunk is a map from the cursor before it to that after it (`chunk_moves`), and
+maps are composed along the clip by doubling (`composed`)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import staged
+from .ordered import carried
 from .search import ratios
 
 #: A chunk is looked for in as many places as it has words and WIDER ones, LEAST at least, and placed from a similarity of ALIKE on.
@@ -61,13 +62,30 @@ def chunk_moves(chunks: DataFrame, clip: str, order: str) -> DataFrame:
     return chunks.select(clip, order, "w", "canon").mapInPandas(run, f"{clip} {kinds[clip]}, {order} {kinds[order]}, moves array<int>, places array<int>")
 
 
-def placed_chunks(chunks: DataFrame, clip: str, order: str) -> DataFrame:
-    """(clip, order, w, canon, ...) -> (clip, order, first, last): the chunks that have a place among their canon's words."""
-    own = staged(chunk_moves(chunks, clip, order), "moves")
-    after = composed(own.drop("places"), clip, order, "moves").select(clip, (F.col(order) + 1).alias(order), F.get("moves", F.lit(0)).alias("cursor"))
-    met = own.select(clip, order, "places").join(after, [clip, order], "left").withColumn("first", F.get("places", F.coalesce("cursor", F.lit(0)))).filter("first >= 0")
-    sizes = chunks.select(clip, order, F.size("w").alias("n"), F.size("canon").alias("m"))
-    return met.join(sizes, [clip, order]).select(clip, order, "first", F.least(F.col("first") + F.col("n"), F.col("m")).alias("last"))
+def placed_chunks(chunks: DataFrame, clip: str, order: str, *more: str) -> DataFrame:
+    """(clip, order, w, canon, ...) -> (clip, order, more, first, last): the chunks that have a place among their canon's words.
+
+    The chunks of a clip stream in order with the cursor as state, so a chunk is compared with the places about that cursor
+    alone; `chunk_moves` is the same rule for every cursor."""
+    kinds = dict(chunks.dtypes)
+    kept = [clip, order, *more]
+
+    def step(cursor: list[int], r: dict) -> Iterable[tuple]:
+        w, canon = r["w"] or [], r["canon"] or []
+        n, m, c = len(w), len(canon), cursor[0]
+        if not n or c >= m:
+            return []
+        score = list(ratios(" ".join(w), (" ".join(canon[k : k + n]) for k in range(c, min(m, c + max(n + WIDER, LEAST))))))
+        best = max(score)
+        if best < ALIKE:
+            return []
+        k = c + score.index(best)
+        cursor[0] = max(c, min(k + n, m))
+        return [(*(r[x] for x in kept), k, min(k + n, m))]
+
+    rows = chunks.select(*kept, "w", "canon").dropna(subset=[clip, order])
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return carried(rows, [clip], [F.col(order)], lambda: [0], step, ", ".join(f"{x} {kinds[x]}" for x in kept) + ", first int, last int", parts)
 
 
 def passage_segments(chunks: DataFrame, clip: str, order: str) -> DataFrame:
@@ -75,7 +93,7 @@ def passage_segments(chunks: DataFrame, clip: str, order: str) -> DataFrame:
 
     A chunk belongs to the verse that most of its canon words are of; ties: the earlier. A verse lasts from its first chunk's
     start to its last one's end."""
-    placed = placed_chunks(chunks, clip, order).join(chunks.select(clip, order, "verses", "start_ms", "end_ms"), [clip, order])
+    placed = placed_chunks(chunks, clip, order, "verses", "start_ms", "end_ms")
     own = F.slice("verses", F.col("first") + 1, F.col("last") - F.col("first"))
     rows = placed.withColumn("own", own)
     tally = F.transform(F.array_distinct("own"), lambda v: F.struct(F.size(F.filter("own", lambda x: x == v)).alias("n"), (-F.array_position("own", v)).alias("at"), v.alias("verse")))

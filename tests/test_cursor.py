@@ -90,3 +90,15 @@ def test_a_shared_table_gives_the_same_similarities(spark):
                     table[i + 1][j + 1] = table[i][j] + 1 if c == d else max(table[i][j + 1], table[i + 1][j])
             assert x == (200.0 * table[-1][-1] / (len(a) + len(b)) if a or b else 100.0)
             assert x == search.ratio(a, b)
+
+
+def test_chunks_are_compared_about_their_cursor_alone(spark, monkeypatch):
+    rng = random.Random(5)
+    canon, chunks = clip(rng, 40)
+    want = walk(chunks, canon)
+    rows = spark.createDataFrame([(1, k, w, canon, [p // 5 for p in range(len(canon))], 1000 * k, 1000 * k + 900) for k, w in chunks], CHUNK)
+    staged = []
+    monkeypatch.setattr(cursor, "staged", lambda df, name: staged.append(name) or df)
+    assert {r.k: (r["first"], r["last"]) for r in cursor.placed_chunks(rows, "clip", "k", "verses").collect()} == want
+    # no rounds of maps over the whole clip
+    assert staged == []
