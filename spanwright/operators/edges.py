@@ -69,9 +69,10 @@ def hold_tails(phrases: DataFrame, speech: DataFrame, silence: DataFrame) -> Dat
 def onset_issues(cues: DataFrame, speech: DataFrame, words: DataFrame, within_ms: int = INSIDE) -> DataFrame:
     """(clip_id, phrase_id, kind, severity, t0_ms, t1_ms) of cues that start over LATE after, or over EARLY before, the
     nearest word's start; a cue within ON_ONSET of an onset of speech has no issue, nor one without a word in within_ms."""
-    points = cues.select("clip_id", "phrase_id", F.col("start_ms").alias("t_ms"))
-    onset = intervals.nearest(points, speech.select("clip_id", F.col("start_ms").alias("t_ms")), KEY, ON_ONSET)
-    rest = points.join(onset.select("phrase_id"), "phrase_id", "left_anti")
-    off = intervals.nearest(rest, words.select("clip_id", F.col("start_ms").alias("t_ms")), KEY, within_ms)
+    at = lambda df, *more: df.select("clip_id", *more, F.col("start_ms").alias("t_ms"))
+    near = intervals.beside(at(cues, "phrase_id"), {"_onset": at(speech), "_word": at(words)}, KEY)
+    found = lambda kind: F.col("t_ms") - intervals.closer(F.col(f"{kind}_before"), F.col(f"{kind}_after"), F.col("t_ms"))
+    rest = near.filter(F.coalesce(F.abs(found("_onset")) > ON_ONSET, F.lit(True)))
+    off = rest.withColumn("residual_ms", found("_word")).filter(F.abs("residual_ms") <= within_ms)
     kind = F.when(F.col("residual_ms") > LATE, "late_start").when(F.col("residual_ms") < -EARLY, "early_start")
     return off.withColumn("kind", kind).filter("kind is not null").select("clip_id", "phrase_id", "kind", F.lit("info").alias("severity"), F.col("t_ms").alias("t0_ms"), (F.col("t_ms") + F.abs("residual_ms")).alias("t1_ms"))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Over, over_others
+from ..sources.shared import staged
+from .ordered import Over, few, over_others
 
 BUCKET_MS = 86_400_000
 
@@ -21,39 +22,56 @@ def _bucket(of: str, width: int) -> Column:
     return F.floor(F.col(of) / width)
 
 
-def islands(spans: DataFrame, keys: list[str], gap_ms: int, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def measured(spans: DataFrame, keys: list[str], whole: bool | None) -> tuple[DataFrame, bool]:
+    """Whole intervals, and whether their keys are `few` rows each; if that is not known, they are staged and counted. Rows of few keys
+    are dealt by key once, which serves all that follows."""
+    if whole is None:
+        spans = staged(_whole(spans, keys), "spans")
+        if whole := few(spans, keys):
+            spans = spans.repartition(*keys)
+        return spans, whole
+    return _whole(spans, keys), whole
+
+
+def islands(spans: DataFrame, keys: list[str], gap_ms: int, bucket_ms: int = BUCKET_MS, whole: bool = False) -> DataFrame:
     """(keys, start_ms, end_ms, n rows) with `island_ms`, the start of the merged run that each belongs to: a run ends where the next start is
     over gap_ms past every end so far (a gap of exactly gap_ms still merges)."""
     # rows of equal start and end are alike, so counting them makes the order total
     rows = _whole(spans, keys).groupBy(*keys, "start_ms", "end_ms").agg(F.count("*").alias("n"))
     order, bucket = ["start_ms", "end_ms"], _bucket("start_ms", bucket_ms)
-    rows = over_others(rows, keys, order, bucket, Over("_reach", "max", F.col("end_ms")))
+    rows = over_others(rows, keys, order, bucket, Over("_reach", "max", F.col("end_ms")), whole=whole)
     opens = F.when(F.col("_reach").isNull() | (F.col("start_ms") > F.col("_reach") + gap_ms), F.col("start_ms"))
     rows = rows.withColumn("_opens", opens)
-    rows = over_others(rows, keys, order, bucket, Over("_before", "max", F.col("_opens")))
+    rows = over_others(rows, keys, order, bucket, Over("_before", "max", F.col("_opens")), whole=whole)
     return rows.withColumn("island_ms", F.coalesce("_opens", "_before")).drop("_reach", "_opens", "_before")
 
 
-def merge(spans: DataFrame, keys: list[str], gap_ms: int = 0, least_ms: int = 0, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def merge(spans: DataFrame, keys: list[str], gap_ms: int = 0, least_ms: int = 0, bucket_ms: int = BUCKET_MS, whole: bool | None = None) -> DataFrame:
     """Merged runs (keys, start_ms, end_ms, n rows); runs under least_ms are left out after merging."""
-    runs = islands(spans, keys, gap_ms, bucket_ms).groupBy(*keys, F.col("island_ms").alias("start_ms"))
+    spans, whole = measured(spans.select(*keys, "start_ms", "end_ms"), keys, whole)
+    runs = islands(spans, keys, gap_ms, bucket_ms, whole).groupBy(*keys, F.col("island_ms").alias("start_ms"))
     runs = runs.agg(F.max("end_ms").alias("end_ms"), F.sum("n").alias("n"))
     return runs.filter(F.col("end_ms") - F.col("start_ms") >= least_ms)
 
 
-def coalesce(spans: DataFrame, keys: list[str], least_ms: int = 0) -> DataFrame:
+def coalesce(spans: DataFrame, keys: list[str], least_ms: int = 0, whole: bool | None = None) -> DataFrame:
     """Union of the non-empty intervals: touching ones are one."""
-    return merge(spans.filter("end_ms > start_ms"), keys, 0, least_ms)
+    return merge(spans.filter("end_ms > start_ms"), keys, 0, least_ms, whole=whole)
 
 
 def union_length(spans: DataFrame, keys: list[str]) -> DataFrame:
     return coalesce(spans, keys).groupBy(*keys).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("union_ms"))
 
 
-def gaps(spans: DataFrame, keys: list[str], least_ms: int, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def gaps(spans: DataFrame, keys: list[str], least_ms: int, bucket_ms: int = BUCKET_MS, whole: bool | None = None) -> DataFrame:
     """Between merged runs, what lasts least_ms or longer."""
-    runs = merge(spans, keys, 0, 0, bucket_ms)
-    runs = over_others(runs, keys, ["start_ms"], _bucket("start_ms", bucket_ms), Over("_next", "min", F.col("start_ms"), later=True))
+    spans, whole = measured(spans.select(*keys, "start_ms", "end_ms"), keys, whole)
+    return between(merge(spans, keys, 0, 0, bucket_ms, whole), keys, least_ms, bucket_ms, whole)
+
+
+def between(runs: DataFrame, keys: list[str], least_ms: int, bucket_ms: int = BUCKET_MS, whole: bool = False) -> DataFrame:
+    """Between runs that are merged, what lasts least_ms or longer."""
+    runs = over_others(runs, keys, ["start_ms"], _bucket("start_ms", bucket_ms), Over("_next", "next", F.col("start_ms")), whole=whole)
     return runs.filter(F.col("_next") - F.col("end_ms") >= least_ms).select(*keys, F.col("end_ms").alias("start_ms"), F.col("_next").alias("end_ms"))
 
 
@@ -62,18 +80,29 @@ def _steps(spans: DataFrame, keys: list[str], side: str) -> DataFrame:
     return spans.filter("end_ms > start_ms").select(*keys, step.alias("x")).select(*keys, "x.t", (F.col("x.d") if side == "a" else F.lit(0)).alias("a"), (F.col("x.d") if side == "b" else F.lit(0)).alias("b"))
 
 
+def _both_steps(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, bool]:
+    """Staged boundaries of either side, and whether their keys are few."""
+    steps = staged(_steps(_whole(left, keys), keys, "a").unionByName(_steps(_whole(right, keys), keys, "b")), "steps")
+    whole = few(steps, keys)
+    return steps.repartition(*keys) if whole else steps, whole
+
+
 def sweep(left: DataFrame, right: DataFrame, keys: list[str], bucket_ms: int = BUCKET_MS) -> DataFrame:
     """(keys, start_ms, end_ms, a, b): between neighbouring boundaries, how many of either side's intervals hold."""
-    steps = _steps(_whole(left, keys), keys, "a").unionByName(_steps(_whole(right, keys), keys, "b"))
+    return _swept(*_both_steps(left, right, keys), keys, bucket_ms)
+
+
+def _swept(steps: DataFrame, whole: bool, keys: list[str], bucket_ms: int = BUCKET_MS) -> DataFrame:
     steps = steps.groupBy(*keys, "t").agg(F.sum("a").alias("da"), F.sum("b").alias("db"))
-    steps = over_others(steps, keys, ["t"], _bucket("t", bucket_ms), Over("a", "sum", F.col("da")), Over("b", "sum", F.col("db")), Over("_next", "min", F.col("t"), later=True))
+    steps = over_others(steps, keys, ["t"], _bucket("t", bucket_ms), Over("a", "sum", F.col("da")), Over("b", "sum", F.col("db")), Over("_next", "next", F.col("t")), whole=whole)
     held = [(F.coalesce(d, F.lit(0)) + F.col(f"d{d}")).alias(d) for d in ("a", "b")]
     return steps.filter("_next is not null").select(*keys, F.col("t").alias("start_ms"), F.col("_next").alias("end_ms"), *held)
 
 
 def subtract(spans: DataFrame, cover: DataFrame, keys: list[str], least_ms: int = 0) -> DataFrame:
     """The union of spans without what cover holds; pieces of least_ms or longer."""
-    return coalesce(sweep(spans, cover, keys).filter("a > 0 and b = 0").select(*keys, "start_ms", "end_ms"), keys, least_ms).drop("n")
+    steps, whole = _both_steps(spans, cover, keys)
+    return coalesce(_swept(steps, whole, keys).filter("a > 0 and b = 0").select(*keys, "start_ms", "end_ms"), keys, least_ms, whole).drop("n")
 
 
 def coverage(spans: DataFrame, cover: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,16 +157,33 @@ def _latest(points: DataFrame, marks: DataFrame, keys: list[str], bucket_ms: int
     return got.filter("_point is not null").select("_point.*", F.col("_found._run").alias("_run"))
 
 
+def beside(points: DataFrame, marks: dict[str, DataFrame], keys: list[str], bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """points (keys, t_ms, ...) with `<name>_before` and `<name>_after` for each kind of marks (keys, t_ms): the last mark at or before
+    a point and the first one behind it, or null. All kinds take one pass, and nothing is paired."""
+    mine = points.dropna(subset=[*keys, "t_ms"])
+    every = mine.select(*keys, F.struct(*mine.columns).alias("_point"), F.col("t_ms").alias("_t"), F.lit(None).cast("string").alias("_kind"))
+    for name, of in marks.items():
+        own = of.dropna(subset=[*keys, "t_ms"]).select(*keys, F.col("t_ms").alias("_t"), F.lit(name).alias("_kind"))
+        every = every.unionByName(own, allowMissingColumns=True)
+    every = staged(every.withColumn("_side", F.col("_point").isNotNull().cast("int")).withColumn("_row", F.monotonically_increasing_id()), "marks")
+    at = {n: F.when(F.col("_kind") == n, F.col("_t")) for n in marks}
+    values = [v for n in marks for v in (Over(f"{n}_before", "max", at[n]), Over(f"{n}_after", "min", at[n], later=True))]
+    got = over_others(every, keys, ["_t", "_side", "_row"], F.floor(F.col("_t") / bucket_ms), *values, whole=few(every, keys))
+    return got.filter("_point is not null").select("_point.*", *(v.to for v in values))
+
+
+def closer(before: Column, after: Column, at: Column) -> Column:
+    """The nearer of two marks, the earlier of two as near; null if there is none."""
+    return F.when(before.isNotNull() & (after.isNull() | (at - before <= after - at)), before).otherwise(after)
+
+
 def nearest(points: DataFrame, marks: DataFrame, keys: list[str], within_ms: int, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """points with `nearest_ms`, the nearest mark's t_ms at most within_ms away (the earlier of two as near), and the
     signed `residual_ms` (point less mark); points without such a mark stay out. No pair is made: the last mark before
     and the first after each point are carried along the time order."""
-    known = marks.dropna(subset=[*keys, "t_ms"]).select(*keys, F.col("t_ms").alias("_t"), F.struct(F.col("t_ms").alias("m")).alias("_run")).distinct()
-    found = _latest(points, known, keys, bucket_ms).withColumn("_before", F.col("_run.m")).drop("_run")
-    found = _latest(found, known, keys, bucket_ms, later=True).withColumn("_after", F.col("_run.m")).drop("_run")
-    first = F.col("_after").isNull() | (F.col("t_ms") - F.col("_before") <= F.col("_after") - F.col("t_ms"))
-    found = found.withColumn("nearest_ms", F.when(F.col("_before").isNotNull() & first, F.col("_before")).otherwise(F.col("_after")))
-    return found.withColumn("residual_ms", F.col("t_ms") - F.col("nearest_ms")).filter(F.abs("residual_ms") <= within_ms).drop("_before", "_after")
+    found = beside(points, {"_mark": marks}, keys, bucket_ms)
+    found = found.withColumn("nearest_ms", closer(F.col("_mark_before"), F.col("_mark_after"), F.col("t_ms")))
+    return found.withColumn("residual_ms", F.col("t_ms") - F.col("nearest_ms")).filter(F.abs("residual_ms") <= within_ms).drop("_mark_before", "_mark_after")
 
 
 def padded_hull(spans: DataFrame, keys: list[str], pad_ms: int = 1500) -> DataFrame:
