@@ -5,6 +5,8 @@ tasks; it does not change a result."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +128,29 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], more_than_ms: i
     return pairs.withColumn("overlap_ms", shared).drop("_bucket")
 
 
+def met(rows: DataFrame, spans: DataFrame, keys: list[str], ranges: list[tuple[Column, Column]], values: Callable[[Callable[[Column], Column], Column, Column, Column], dict[str, Column]], more_than_ms: int = -1, dealt: list[str] | None = None, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """rows, no two of them equal, with aggregates over the spans that share over more_than_ms with one of a row's ranges (low, high).
+
+    values(held, a, b, shared) names them: held(x) is x for such spans and else null, a and b are a span's start and end, shared what it
+    shares with the range. A row without a range or a span is kept. Rows take their columns along, so none is joined back; a span
+    counts once for each range. `dealt`: keys that the rows are dealt by for what follows."""
+    columns = rows.columns
+    of = [F.struct(low.cast("long").alias("low"), high.cast("long").alias("high")) for low, high in ranges]
+    left = rows.withColumn("_range", F.explode(F.array(*of)) if len(of) > 1 else of[0]).select(*columns, F.col("_range.low").alias("_low"), F.col("_range.high").alias("_high"))
+    left = left.withColumn("_bucket", F.explode_outer(F.when(F.col("_high") >= F.col("_low"), F.sequence(_bucket("_low", bucket_ms), _bucket("_high", bucket_ms)))))
+    right = _whole(spans.select(*keys, "start_ms", "end_ms"), keys).filter("end_ms >= start_ms")
+    right = right.select(*keys, F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to"), F.explode(F.sequence(_bucket("start_ms", bucket_ms), _bucket("end_ms", bucket_ms))).alias("_bucket"))
+    shared = F.least("_high", "_to") - F.greatest("_low", "_from")
+    hit = (shared > more_than_ms) & (F.col("_bucket") == F.floor(F.greatest("_low", "_from") / bucket_ms))
+    # what does not meet is left out in the join, before pairs are dealt again
+    right = right.withColumnsRenamed({k: f"_of_{k}" for k in (*keys, "_bucket")})
+    same = [F.col(k) == F.col(f"_of_{k}") for k in keys]
+    both = left.join(right, [*same, F.col("_bucket") == F.col("_of__bucket"), hit], "left")
+    both = both.repartition(*dealt) if dealt else both
+    found = values(lambda x: F.when(F.col("_from").isNotNull(), x), F.col("_from"), F.col("_to"), shared)
+    return both.groupBy(*columns).agg(*(v.alias(n) for n, v in found.items()))
+
+
 def meeting(left: DataFrame, right: DataFrame, keys: list[str], own: tuple[str, str], other: tuple[str, str], cell: int) -> DataFrame:
     """Pairs of a left and a right row of the keys whose spans, from a place up to before another, share a place; the columns
     of both, whose names differ but for the keys. Rows meet by cells of places; a pair is made in the cell where its overlap begins."""

@@ -55,6 +55,9 @@ def test_large_and_small_keys_give_the_same(spark, monkeypatch):
     phrases = more.withColumn("phrase_id", F.col("start_ms") * 10 + F.col("clip_id")).dropDuplicates(["phrase_id"])
     points = more.select("clip_id", "end_ms", F.col("start_ms").alias("t_ms"))
 
+    silence = intervals.gaps(spans, ["clip_id"], 250)
+    words = spark.createDataFrame([(c, k, 60_000 * k, 60_000 * k + 50_000) for c in range(3) for k in range(0, 4000, 9)], "clip_id long, idx long, start_ms long, end_ms long")
+
     def run():
         found = [
             intervals.merge(spans, ["clip_id"], 1000),
@@ -63,6 +66,10 @@ def test_large_and_small_keys_give_the_same(spark, monkeypatch):
             intervals.coverage(spans, more, ["clip_id"]),
             intervals.nearest(points, spans.select("clip_id", F.col("start_ms").alias("t_ms")), ["clip_id"], 600_000),
             cues.audit(texts, spans),
+            cues.show(texts.dropDuplicates(["clip_id", "start_ms", "end_ms"]), silence),
+            cues.trim_overhang(texts, spans),
+            cues.phrases(words, silence),
+            cues.phrases(words, None),
             edges.onset_issues(phrases, spans, more.withColumn("start_ms", F.col("start_ms") + 700), 10**9),
         ]
         return [sorted(map(str, df.collect())) for df in found]
@@ -70,3 +77,21 @@ def test_large_and_small_keys_give_the_same(spark, monkeypatch):
     small = run()
     monkeypatch.setattr(ordered, "WHOLE", 0)
     assert run() == small and all(small)
+
+
+def test_texts_of_equal_times_have_an_order(spark):
+    """Cues that begin and end together show their texts in one order, however they are dealt."""
+    rows = [(1, 1000, 1020, t) for t in "cabed"] + [(1, 5000, 6000, "z")]
+    df = spark.createDataFrame(rows, SPAN + ", text string")
+    none = spark.createDataFrame([], SPAN)
+    for own in (df.coalesce(1), df.orderBy(F.desc("text")).coalesce(1), df.repartition(3, "text")):
+        assert [r.text for r in cues.show(own, none).orderBy("start_ms").collect()] == ["a b c d e", "z"]
+
+
+def test_spans_that_a_row_meets(spark):
+    rows = spark.createDataFrame([(1, 0, 50, 250), (1, 1, 400, 300), (1, 2, None, 9), (2, 3, 0, 10)], "c long, k long, low long, high long")
+    spans = spark.createDataFrame([(1, 0, 60), (1, 90, 210), (1, 250, 900), (3, 0, 9)], "c long, start_ms long, end_ms long")
+    ranges = [(F.col("low"), F.col("high")), (F.col("low") + 400, F.col("low") + 500)]
+    for dealt, width in ((None, 100), (["c"], 10**6)):
+        got = intervals.met(rows, spans, ["c"], ranges, lambda held, a, b, shared: {"n": F.count(held(a)), "s": F.sum(held(shared)), "first": F.min(held(a))}, 0, dealt, width)
+        assert {tuple(r)[1:] for r in got.collect()} == {(0, 50, 250, 3, 230, 0), (1, 400, 300, 1, 100, 250), (2, None, 9, 0, None, None), (3, 0, 10, 0, None, None)}
