@@ -102,15 +102,19 @@ def read_answer(segments: DataFrame, words: DataFrame, verses: DataFrame, openin
     said = F.when(F.col("phrase") == first.name, F.get(shown(first), F.col("place"))).when(F.col("phrase") == second.name, F.get(shown(second), F.col("place")))
     rows = staged(rows.withColumn("text", F.when(F.col("is_special"), F.coalesce(said, F.lit(""))).otherwise(F.col("text"))).drop("_opens"), "pieces")
     key = ["clip_id", "seg", "piece"]
+    # a piece's words share these
+    of_piece = [*key, F.col("phrase").alias("name"), "chapter", "verse"]
+    found = rows.groupBy(*of_piece).agg(F.min("place").alias("first"), (F.max("place") + 1).alias("last"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    # only a clip's first piece is compared with openings
+    begin = rows.groupBy("clip_id").agg(F.min(F.struct("start_ms", "seg", "piece")).alias("x")).select("clip_id", "x.seg", "x.piece")
     forms = F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda x: fold(x["text"]))
-    found = rows.groupBy(*key).agg(F.first("phrase").alias("name"), F.first("chapter").alias("chapter"), F.first("verse").alias("verse"), F.min("place").alias("first"), (F.max("place") + 1).alias("last"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), forms.alias("forms"))
-    begin = found.groupBy("clip_id").agg(F.min(F.struct("start_ms", "seg", "piece")).alias("x")).select("clip_id", "x.seg", "x.piece", F.lit(True).alias("_begins"))
-    found = found.join(begin, key, "left")
+    begun = rows.join(begin, key).groupBy(*of_piece).agg(F.min("place").alias("_first"), forms.alias("forms"))
     retagged = F.lit(None).cast("string")
     for o in reversed([o for o in openings if o is not second]):
         same = F.col("forms") == F.transform(shown(o), fold)
-        retagged = F.when(F.col("_begins") & F.col("name").isNull() & (F.col("verse") > 0) & same, o.name).otherwise(retagged)
-    found = staged(found.withColumn("retagged", retagged).drop("forms", "_begins"), "found")
+        retagged = F.when(F.col("name").isNull() & (F.col("verse") > 0) & same, o.name).otherwise(retagged)
+    moved = staged(begun.select(*key, retagged.alias("_as"), "_first").filter("_as is not null"), "retagged")
+    found = found.join(moved.select(*key, F.col("_as").alias("retagged")), key, "left")
     name = F.coalesce("retagged", "name")
     of = lambda value: F.coalesce(*(F.when(name == o.name, F.lit(value(o))) for o in openings))
     other = F.coalesce("translation", F.array().cast("array<string>"))
@@ -128,7 +132,6 @@ def read_answer(segments: DataFrame, words: DataFrame, verses: DataFrame, openin
         "translation": F.coalesce(of(lambda o: o.translation), "t.other"),
     }
     pieces = pieces.select(*key, *(c.alias(n) for n, c in columns.items()))
-    moved = found.filter("retagged is not null").select(*key, F.col("retagged").alias("_as"), F.col("first").alias("_first"))
     spoken = F.coalesce(*(F.when(F.col("_as") == o.name, F.get(shown(o), F.col("place"))) for o in openings), F.col("text"))
     out = rows.join(moved, key, "left").withColumn("place", F.col("place") - F.coalesce("_first", F.lit(0)))
     return Answer(pieces, out.select(*key, "w", "place", spoken.alias("text"), "start_ms", "end_ms"), problems)
