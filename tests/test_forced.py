@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanwright.operators import forced
+from spanwright.plans import aligned
 
 SYMBOLS = ["-", "|", *"abcd"]
 
@@ -92,3 +95,47 @@ def test_frames_of_other_clips_and_no_broadcast_of_frames(spark):
     assert {r.clip for r in spans.collect()} <= {1}
     plan = spans._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and not any("BroadcastExchange" in x and "frame" in x for x in plan.splitlines())
+
+
+@pytest.mark.parametrize(("block", "margin"), [(3000, 80), (40, 6), (7, 1)])
+def test_clips_in_step_equal_clips_one_by_one(monkeypatch, block, margin):
+    """Clips of any lengths, cut ones and texts longer than their frames among them, whose scores come in pieces."""
+    rng = np.random.default_rng(block)
+
+    def pieces():
+        own = np.random.default_rng(1)
+        for k in range(60):
+            n, frames = int(own.integers(1, 60)), int(own.integers(1, 250))
+            clip = forced._Clip(k, own.integers(1, 6, n), None, frames)
+            scores = -own.integers(0, 9, (frames, 6)).astype(float)
+            yield from ((clip, p) for p in np.array_split(scores, int(own.integers(1, min(4, frames + 1)))))
+
+    def found(held, states):
+        monkeypatch.setattr(forced, "HELD", held)
+        monkeypatch.setattr(forced, "STATES", states)
+        return {c.key: (letter, list(first), list(last)) for c, letter, first, last in forced._streamed(pieces(), block, margin)}
+
+    want = found(0, 1)
+    assert len(want) > 50 and found(1000, 1) == want
+    assert found(1000, 100_000) == want and found(100, int(rng.integers(200, 2000))) == want
+
+
+def test_frames_scored_in_the_task_equal_frames_of_a_table(spark, tmp_path):
+    """The query's frames as a table, a row a frame, give the same words; scored in the task, they are not dealt."""
+    said = ["and so it goes on for a while, twice", "", None, "Überall  bell bell", "a", " ".join(f"w{k}" for k in range(700))]
+    spark.createDataFrame([(k // 2, k % 2, "user", t) for k, t in enumerate(said)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = aligned.forced_words(spark, str(tmp_path))
+    spelled = lambda w: "".join(aligned.ALPHABET[ord(c) % 26] for c in w)
+    texts = spark.createDataFrame([(k // 2 * 1000 + k % 2, [spelled(w) for w in t.split()]) for k, t in enumerate(said) if t], "clip_id long, canon array<string>")
+    letters = texts.select("clip_id", forced.letters_of(F.col("canon"), aligned.SYMBOLS).alias("letters")).collect()
+    rows = [(clip, f, p) for clip, own in letters for f, p in enumerate(np.concatenate(list(aligned._scores(clip, np.array(own))[1])).tolist())]
+    frames = spark.createDataFrame(rows, "clip_id long, frame long, p array<double>")
+    want = forced.aligned_words(frames, texts, "clip_id", aligned.SYMBOLS)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 400
+    lasting = F.flatten(F.transform("letters", lambda c, k: F.array_repeat(c, ((k * 7 + F.col("clip_id")) % 3 + 1).cast("int"))))
+    own = spark.createDataFrame(letters, "clip_id long, letters array<int>").select("clip_id", F.posexplode(lasting).alias("frame", "symbol"))
+    noise = lambda s: -(F.pmod(F.col("frame") * 31 + s * 17 + F.col("clip_id") * 7, F.lit(50)) + 1)
+    p = F.array(*(F.when((F.col("symbol") == s) & (F.col("frame") % 9 != 8), 0).otherwise(noise(s)).cast("double") for s in range(len(aligned.SYMBOLS))))
+    assert sorted(map(tuple, own.select("clip_id", "frame", p).collect())) == sorted(rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.count("MapInArrow") == 1 and "Join" not in plan and "Aggregate" not in plan
