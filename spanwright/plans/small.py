@@ -67,7 +67,12 @@ def final_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = events(spark, sf_dir).groupBy("clip_id").agg(F.min("event_id").alias("first"), F.max_by("event_id", F.struct("value", (-F.col("event_id")).alias("first"))).alias("last"), F.round(F.max("value"), 2).alias("score"))
+    # of equally high events the first; one without a value or an id is no last passage
+    valued = F.when(F.col("value").isNotNull() & F.col("event_id").isNotNull(), F.struct("value", (-F.col("event_id")).alias("first")))
+    top, hundredths = F.max("value"), F.max("value") * 100
+    # a double's hundredths are rounded, not the digits that it shows
+    score = F.when(F.abs(hundredths) < float("inf"), F.round(hundredths) / 100).otherwise(top)
+    matches = events(spark, sf_dir).groupBy("clip_id").agg(F.min("event_id").alias("first"), F.max_by("event_id", valued).alias("last"), score.alias("score"))
     return lookups.result_card(matches, of(spark, sf_dir, "signup"))
 
 
