@@ -70,6 +70,14 @@ def test_common_pairs_are_no_anchors(spark):
     assert rows(detector.fragments(d, c, "doc_id", "item_id", 3), *PLACES) == [(1, 3, 1, 4, 1, 4)]
 
 
+def test_claims_count_pairs_however_common(spark):
+    """A pair that the canon has more than COMMON times is part of a claim; `fragments` alone leaves it out."""
+    c = spark.createDataFrame([(k, f"of the w{k} v{k}") for k in range(detector.COMMON + 20)], "item_id long, text string")
+    d = spark.createDataFrame([(1, "um of the w3 v3"), (2, "of the of the")], "doc_id long, text string")
+    assert rows(detector.detect(d, c), *PLACES, "matched") == [(1, 3, 1, 5, 0, 4, 4)]
+    assert rows(detector.fragments(d, c, "doc_id", "item_id"), *PLACES) == [(1, 3, 2, 5, 1, 4)]
+
+
 def numbers(a, b, name="w"):
     return " ".join(f"{name}{k}" for k in range(a, b))
 
